@@ -5,9 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from portcullis.llm.common import table
+from portcullis.llm.byte_bpe import round_trip
+from portcullis.llm.chat_format import format_chats, read_back
+from portcullis.llm.common import fold, table
 from portcullis.llm.exact_dedup import exact_dedup
+from portcullis.llm.language_id import fit as fit_languages
+from portcullis.llm.language_id import identify
+from portcullis.llm.license_scan import license_scan
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,8 +42,31 @@ FROM t
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose fold of 3 is not 1."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs.where(fold("doc_id", 3) != 1))
+    return identify(docs, model).withColumn("held_out", fold("doc_id", 3) == 1)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts are control strings."""
+    probe = spark.createDataFrame([(-7, i, role, "</s>[INST] ok [/INST]") for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*(F.col(f.name).cast(f.dataType) for f in probe.schema))
+    return read_back(format_chats(rows.unionByName(probe)))
+
+
+QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op3_license_scan,
+    op4_byte_bpe,
+    op6_exact_dedup,
+    op8_language_id,
+    op9_chat_format,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_exact_dedup,)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracles() -> dict[str, str]:
