@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portcullis.llm import class_lm, quality_gam
 from portcullis.llm.byte_bpe import round_trip
 from portcullis.llm.chat_format import format_chats, read_back
 from portcullis.llm.common import fold, table
@@ -24,6 +25,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels whose fold of 5 is not 0."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_gam.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    return quality_gam.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -56,12 +64,21 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(rows.unionByName(probe)))
 
 
+def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose fold of 7 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    model, counts = class_lm.fit(docs.where(fold("doc_id", 7) != 2))
+    return class_lm.score(docs, model, counts).withColumn("held_out", fold("doc_id", 7) == 2)
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op3_license_scan,
     op4_byte_bpe,
+    op5_quality_gam,
     op6_exact_dedup,
     op8_language_id,
     op9_chat_format,
+    op10_class_lm,
 )
 
 
