@@ -7,16 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis.llm import class_lm, quality_gam
+from portcullis.llm import class_lm, quality_gam, url_filter
 from portcullis.llm.byte_bpe import round_trip
 from portcullis.llm.chat_format import format_chats, read_back
 from portcullis.llm.common import fold, table
+from portcullis.llm.decontaminate import find_leaks
 from portcullis.llm.exact_dedup import exact_dedup
 from portcullis.llm.language_id import fit as fit_languages
 from portcullis.llm.language_id import identify
 from portcullis.llm.license_scan import license_scan
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.fit(pages))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +56,11 @@ FROM t
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that it holds."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the documents whose fold of 3 is not 1."""
     docs = table(spark, sf_dir, "documents")
@@ -72,10 +83,12 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
+    op1_url_filter,
     op3_license_scan,
     op4_byte_bpe,
     op5_quality_gam,
     op6_exact_dedup,
+    op7_decontaminate,
     op8_language_id,
     op9_chat_format,
     op10_class_lm,
