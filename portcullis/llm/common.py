@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
+#: Most 64-bit keys that are broadcast to filter a table before a shuffle: some 32 MB. Beyond it the table is shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,18 +21,34 @@ def fold(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared folder of spark.checkpoint.dir.
-
-    Only where that setting is empty (tests, one machine) a folder of our own is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Only where that setting is empty (tests, one machine) one of our own is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="portcullis-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="portcullis-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and written to checkpoint_folder()."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def with_row(df: DataFrame) -> DataFrame:
     """Adds ROW, a number for each row. df must give the same rows in the same order when run again, as a Parquet scan does."""
     return df.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def only(df: DataFrame, keys: DataFrame, key: str = ROW) -> DataFrame:
+    """The rows of df whose key is among keys, which is written and has that column alone."""
+    small = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str = ROW) -> DataFrame:
+    """The rows of df whose key isn't among keys, which is written and has that column alone."""
+    small = keys.count() <= BROADCAST_KEYS
+    return df.join(F.broadcast(keys) if small else keys, key, "left_anti")

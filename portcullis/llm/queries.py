@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portcullis.llm import class_lm, quality_gam, url_filter
+from portcullis.llm.bag_minhash import near_duplicates
 from portcullis.llm.byte_bpe import round_trip
 from portcullis.llm.chat_format import format_chats, read_back
 from portcullis.llm.common import fold, table
@@ -23,6 +24,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.fit(pages))
 
 
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_url_filter,
+    op2_bag_minhash,
     op3_license_scan,
     op4_byte_bpe,
     op5_quality_gam,
