@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-FLAGSHIP = "scan_summary"
+FLAGSHIP = "externalized_pct"
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("portcullis.plans.relational",)
 
 
 def load() -> None:
