@@ -10,14 +10,16 @@ texts at once, and a shingle stops when its time is past all of its text's compo
 Bands of ROWS components put texts into buckets. No bucket's pairs are written out:
 
 1. Texts with the same bag are one (a shuffle of digests; the first row stands for them).
-2. Star: each bucket's first member is its centre; each member is verified against the centre, by the multiset overlap of
-   the shingles of their whole texts. Pairs of SIMILARITY or more are links. Members of one centre are dealt out in
-   slices, so a task streams texts past one centre text.
+2. Star: each bucket's centre is the member whose buckets are fullest (of edited copies, the text nearest to all); each
+   member is verified against the centre, by the multiset overlap of the shingles of their whole texts. Pairs of
+   SIMILARITY or more are links. Members of one centre are dealt out in slices, so a task streams texts past one
+   centre text.
 3. Links are closed to classes (large star, small star; checkpointed rounds).
-4. Rest: in a bucket that still has more than one class, every member outside the bucket's most common class is
-   compared with every member of other classes, by signature, in cells of CELL members; pairs whose signatures agree in
-   LEAST or more of the components (4.5 standard deviations below SIMILARITY) are verified like the others, and the
-   classes are closed again. So a link between texts that share a bucket isn't lost when neither is near the centre.
+4. Rest: in a bucket that still has more than one class, every member outside the bucket's most common class meets every
+   member, in cells of at most CELL by CELL. There, members of different classes whose signatures agree in LEAST or more of
+   the components (4.5 standard deviations below SIMILARITY) are verified, the likeliest first, and a link unites their
+   classes at once, so a cell gives fewer links than it has classes. A pair is compared in the first bucket that it shares.
+   Then classes are closed again. So a link between texts that share a bucket isn't lost when neither is near the centre.
 
 At a similarity of exactly 0.8 a pair shares one of the 24 buckets with probability 0.9993.
 
@@ -44,7 +46,7 @@ BANDS, ROWS = 24, 6
 M = BANDS * ROWS
 LEAST = 0.65
 #: Elements whose points are drawn at once; members of a centre in a slice; members of a bucket in a cell.
-GROUP, SLICE, CELL = 400_000, 256, 256
+GROUP, SLICE, CELL = 400_000, 256, 2048
 
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -215,50 +217,97 @@ def classes(links: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
+class _Cell:
+    """Strays and home members of one cell of a bucket. Classes are united as links are found."""
+
+    def __init__(self, band: int) -> None:
+        self.band, self.strays, self.home, self.parent = band, [], [], {}
+
+    def find(self, c: int) -> int:
+        while (up := self.parent.get(c, c)) != c:
+            c = up
+        return c
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        if not self.strays or not self.home:
+            return
+        s = np.frombuffer(b"".join(x[2] for x in self.strays), np.uint16).reshape(len(self.strays), M)
+        s_row = np.array([x[0] for x in self.strays])
+        bags: dict[int, tuple] = {}
+        for row, class_, signature, packed, stray in self.home:
+            same = s == np.frombuffer(signature, np.uint16)
+            agree = same.sum(1)
+            near = np.flatnonzero((agree >= LEAST * M) & (s_row != row) & ((s_row < row) | (not stray)))
+            if self.band and len(near):  # a pair is compared in the first bucket that it shares
+                near = near[~same[near].reshape(len(near), BANDS, ROWS).all(2)[:, : self.band].any(1)]
+            own = None
+            for i in near[np.argsort(-agree[near], kind="stable")].tolist():
+                a, b = self.find(class_), self.find(self.strays[i][1])
+                if a == b:
+                    continue
+                own = own or _unpacked(packed)
+                if i not in bags:
+                    bags[i] = _unpacked(self.strays[i][3])
+                if similarity(own, bags[i]) >= SIMILARITY:
+                    self.parent[max(a, b)] = min(a, b)
+                    yield row, int(s_row[i])
+
+
+def _packed(bags: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return bags[0].tobytes() + bags[1].astype(np.int32).tobytes()
+
+
+def _unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(b) // 12
+    return np.frombuffer(b, _U, n), np.frombuffer(b, np.int32, n, 8 * n)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            part = b.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([part.column(ROW), pa.array([_packed(bag(t.as_py())) for t in part.column("text")], pa.binary())], names=["row", "bag"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by cell. In a cell, rows that are at home there are compared with strays; all pairs that include a stray meet in one cell."""
-
-    def pairs(cell: list[tuple]) -> list[tuple[int, int]]:
-        strays = [c for c in cell if c[2]]
-        home = [c for c in cell if c[3]]
-        if not strays or not home:
-            return []
-        s = np.frombuffer(b"".join(c[4] for c in strays), np.uint16).reshape(len(strays), M)
-        s_class, s_row = np.array([c[1] for c in strays]), np.array([c[0] for c in strays])
-        out = []
-        for row, class_, stray, _, signature in home:
-            agree = (s == np.frombuffer(signature, np.uint16)).sum(1)
-            ok = (agree >= LEAST * M) & (s_class != class_)
-            if stray:
-                ok &= s_row < row
-            out += [(int(min(row, x)), int(max(row, x))) for x in s_row[ok].tolist()]
-        return out
-
-    now, cell = None, []
+    """Rows by cell. Each member at home in a cell meets each stray of the cell."""
+    names = ("key", "i", "j", "band", "role", "stray", "row", "class", "signature", "bag")
+
+    def out(cell: _Cell) -> pa.RecordBatch:
+        found = list(cell.links())
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["u", "v"])
+
+    now, cell = None, None
     for b in batches:
-        found: set[tuple[int, int]] = set()
-        columns = [b.column(c).to_pylist() for c in ("key", "cell", "row", "class", "stray", "home", "signature")]
-        for key, at, *rest in zip(*columns, strict=True):
-            if (key, at) != now:
-                found.update(pairs(cell))
-                now, cell = (key, at), []
-            cell.append(rest)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["centre", "row"])
-    found = set(pairs(cell))
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["centre", "row"])
-
-
-def rest_pairs(buckets: DataFrame, found: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (centre, row) of different classes that share a bucket and may be similar. buckets: key, row, written."""
-    of = buckets.join(found, F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("class", "row").alias("class"))
-    of = checkpointed(of)
+        for key, i, j, band, role, stray, *member in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if (key, i, j) != now:
+                if cell is not None:
+                    yield out(cell)
+                now, cell = (key, i, j), _Cell(band)
+            if role:
+                cell.home.append((*member, stray))
+            else:
+                cell.strays.append(tuple(member))
+    if cell is not None:
+        yield out(cell)
+
+
+def rest_links(buckets: DataFrame, found: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between different classes that share a bucket. buckets: key, band, row, written."""
+    of = checkpointed(buckets.join(found, F.col("row") == F.col("node"), "left").select("key", "band", "row", F.coalesce("class", "row").alias("class")))
     shares = of.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k"))
-    mixed = checkpointed(shares.where("k > 1").select("key", F.col("top.class").alias("top"), F.ceil(F.col("n") / CELL).cast("int").alias("cells")))
-    members = of.join(mixed, "key").withColumn("stray", F.col("class") != F.col("top")).withColumn("own", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int"))
-    at = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array("own"))
-    spread = members.select("key", "row", "class", "stray", "own", F.explode(at).alias("cell")).withColumn("home", F.col("own") == F.col("cell"))
-    spread = spread.join(signed.select(F.col(ROW).alias("row"), "signature"), "row").select("key", "cell", "row", "class", "stray", "home", "signature")
-    return spread.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_compare, "centre long, row long").distinct()
+    blocks = lambda n: F.ceil(n / CELL).cast("int")
+    mixed = checkpointed(shares.where("k > 1").select("key", F.col("top.class").alias("top"), blocks(F.col("n")).alias("homes"), blocks(F.col("n") - F.col("top.n")).alias("blocks")))
+    members = checkpointed(of.join(mixed, "key").withColumn("stray", F.col("class") != F.col("top")))
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = ["key", "band", "row", "class", "stray"]
+    at_home = members.select(*base, F.lit(True).alias("role"), own("homes").alias("j"), all_("blocks").alias("i"))
+    as_strays = members.where("stray").select(*base, F.lit(False).alias("role"), own("blocks").alias("i"), all_("homes").alias("j"))
+    bags = only(texts, checkpointed(members.select(F.col("row").alias(ROW)).distinct())).mapInArrow(_pack, "row long, bag binary")
+    facts = bags.join(signed.select(F.col(ROW).alias("row"), "signature"), "row")
+    cells = at_home.unionByName(as_strays).join(facts, "row").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return cells.mapInArrow(_compare, "u long, v long")
 
 
 def near_classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,14 +316,17 @@ def near_classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     signed = checkpointed(texts.mapInArrow(_sign, f"{ROW} long, digest binary, bands array<long>, signature binary"))
     same = checkpointed(signed.groupBy("digest").agg(F.min(ROW).alias("rep")))
     reps = signed.join(same.select(F.col("rep").alias(ROW)), ROW, "left_semi")
-    keys = reps.select(F.explode("bands").alias("key"), F.col(ROW).alias("row"))
-    centres = checkpointed(keys.groupBy("key").agg(F.min("row").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"))
-    buckets = checkpointed(keys.join(centres, "key"))
-    star = buckets.where("row <> centre").select("centre", "row").distinct()
+    keys = reps.select(F.posexplode("bands").alias("band", "key"), F.col(ROW).alias("row"))
+    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    buckets = checkpointed(keys.join(shared, "key"))
+    # the centre of a bucket is its member with the fullest buckets: of edited copies, the text nearest to all
+    weight = checkpointed(buckets.groupBy("row").agg(F.sum("n").alias("weight")))
+    best = F.max(F.struct("weight", (-F.col("row")).alias("last")))
+    centres = checkpointed(buckets.join(weight, "row").groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.last")).alias("centre")))
+    star = buckets.select("key", "row").join(centres, "key").where("row <> centre").select("centre", "row").distinct()
     links = checkpointed(verified(checkpointed(star), texts))
     found = checkpointed(classes(links))
-    more = checkpointed(rest_pairs(buckets.select("key", "row"), found, signed))
-    extra = verified(more, texts)
+    extra = rest_links(buckets.select("key", "band", "row"), found, signed, texts)
     joined = classes(links.unionByName(extra))
     rep_of = signed.select(ROW, "digest").join(same, "digest").join(joined, F.col("rep") == F.col("node"), "left")
     first = rep_of.select(F.col(ROW).alias("r"), F.coalesce("class", "rep").alias("first"))
