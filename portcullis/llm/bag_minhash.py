@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import ROW, checkpointed, only, with_row, without
+from portcullis.llm.common import BROADCAST_KEYS, ROW, checkpointed, only, with_row, without
 from portcullis.llm.license_scan import _WORD_BYTES
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -187,9 +187,10 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (centre, row), written and distinct, those whose texts are similar, as (u, v). texts: ROW, text."""
-    slices = pairs.groupBy("centre").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    # a centre with few rows is one slice; others are dealt out by row
-    cut = pairs.join(slices, "centre").select("centre", F.pmod(F.xxhash64("row"), F.col("slices")).cast("int").alias("slice"), "row")
+    # centres with more rows than a slice holds; the others are one slice and need no join
+    large = checkpointed(pairs.groupBy("centre").agg(F.count("*").alias("n")).where(F.col("n") > SLICE).select("centre", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")))
+    hint = F.broadcast if large.count() <= BROADCAST_KEYS else lambda df: df
+    cut = pairs.join(hint(large), "centre", "left").select("centre", F.pmod(F.xxhash64("row"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"), "row")
     cut = checkpointed(cut)
     centres = cut.select(F.col("centre").alias(ROW), "centre", "slice", F.lit(None).cast("long").alias("row")).distinct()
     wanted = cut.select(F.col("row").alias(ROW), "centre", "slice", "row").unionByName(centres)
