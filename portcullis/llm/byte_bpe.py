@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_VOCABULARY = 64 << 20
 #: Pre-tokens whose ids are kept, and the longest that is.
-KEPT, KEPT_LENGTH = 400_000, 64
+KEPT, KEPT_LENGTH = 150_000, 64
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Stand-ins: printable characters stand for themselves in Latin-1, others for U+0100 and on.
