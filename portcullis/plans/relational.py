@@ -226,9 +226,9 @@ def fp_anti(spark, sf):
     return semantic.without_rejected(f, frame(spark, sf, D.SEMANTIC)).select("seq")
 
 
-@query("running_cost_cut", W(s=D.SEMANTIC) + ", c AS (SELECT seq, CAST(round((input_tokens / 1000.0 * 3.0 + output_tokens / 1000.0 * 15.0) * 1000000) AS BIGINT) AS micro_usd FROM s), r AS (SELECT *, coalesce(sum(micro_usd) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT seq, micro_usd FROM r WHERE before <= 500000")
+@query("running_cost_cut", W(s=D.SEMANTIC) + ", c AS (SELECT seq, CAST(round((input_tokens / 1000.0 * 3.0 + output_tokens / 1000.0 * 15.0) * 1000000) AS BIGINT) AS micro_usd FROM s), r AS (SELECT *, coalesce(sum(micro_usd) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT seq, micro_usd FROM r WHERE before <= 2000000000")
 def running_cost_cut(spark, sf):
-    return semantic.within_cost(frame(spark, sf, D.SEMANTIC), 3.0, 15.0, 0.5, ("seq",)).select("seq", "micro_usd")
+    return semantic.within_cost(frame(spark, sf, D.SEMANTIC), 3.0, 15.0, 2000.0, ("seq",)).select("seq", "micro_usd")
 
 
 @query("semantic_rule_id", W(s=D.SEMANTIC) + "SELECT seq, CASE WHEN seq % 2 = 0 AND line_start <= window_end AND window_start <= line_end THEN seed_rule || '-semantic' ELSE 'semantic-' || category END AS pattern_rule FROM s")
