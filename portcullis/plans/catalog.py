@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-FLAGSHIP = "externalized_pct"
+FLAGSHIP = "scan_summary"
 
-MODULES = ("portcullis.plans.relational",)
+MODULES = ("portcullis.plans.relational", "portcullis.plans.scans")
 
 
 def load() -> None:

@@ -1 +1,24 @@
-"""Streaming of the engine."""
+"""Streaming extension: the stateless scan over a stream of source files.
+
+The engine's own entities have no event time. A stream of files is scanned batch by batch; bindings of Go packages reach over the files
+of one batch only, so feed whole packages at a time."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from portcullis.operators.scan import Scan
+from portcullis.rules import Rule
+
+
+def scan_stream(files: DataFrame, rules: list[Rule], sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, **options) -> StreamingQuery:
+    """files: a streaming DataFrame of (path, content). sink gets findings, enforcement points and the batch's number."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        s = Scan(df, rules, **options)
+        sink(s.findings, s.enforcement_points, n)
+
+    return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()

@@ -6,10 +6,12 @@ what fits nowhere is passed over, so a file with errors still gives the trees of
 
 from __future__ import annotations
 
+import sys
+
 from portcullis.syntax.lexer import ID, NEWLINE, NUMBER, OP, STRING, SYMBOL, VARIABLE, Token, tokens
 from portcullis.syntax.tree import Node
 
-DEEPEST = 150
+DEEPEST = 120
 
 _LEVELS = [
     "= += -= *= /= %= := ??= ||= &&= |= &= ^= **= <<= >>=", "=> ->", "?", "|| ?? ?: or", "&& and", "|", "^", "&", "== != === !== <=> =~ !~ is is_not not_in in !in",
@@ -38,6 +40,7 @@ class Parser:
     identifier_kind = "identifier"
     member_ops = {".", "?.", "::"}
     methods_before_braces = False
+    typed_methods = False  # Type name(...); declares a method
 
     def __init__(self, text: str) -> None:
         self.text = text
@@ -45,6 +48,7 @@ class Parser:
         self.n = len(self.tokens)
         self.at = 0
         self.depth = 0
+        self.pairs = self.brackets()
         self.no_braces = 0  # in a header whose block begins with a brace
 
     # tokens
@@ -72,20 +76,20 @@ class Parser:
         while self.kind_at() == NEWLINE:
             self.at += 1
 
-    def closing(self, k: int = 0) -> int:
-        """How far from here the bracket that opens at k closes; -1 if it doesn't."""
-        depth, i = 0, self.at + k
-        while i < self.n:
-            t = self.tokens[i]
+    def brackets(self) -> dict[int, int]:
+        """Where each bracket closes that does."""
+        out, open_ = {}, []
+        for i, t in enumerate(self.tokens):
             if t.kind == OP:
                 if t.text in "([{":
-                    depth += 1
-                elif t.text in ")]}":
-                    depth -= 1
-                    if depth == 0:
-                        return i - self.at
-            i += 1
-        return -1
+                    open_.append(i)
+                elif t.text in ")]}" and open_:
+                    out[open_.pop()] = i
+        return out
+
+    def closing(self, k: int = 0) -> int:
+        """How far from here the bracket that opens at k closes; -1 if it doesn't."""
+        return self.pairs.get(self.at + k, self.at - 1) - self.at
 
     def skip_brackets(self) -> None:
         """Past a bracketed run."""
@@ -180,7 +184,7 @@ class Parser:
         after = self.text_at(k + 1)
         if after in ("{", "throws", "where"):
             return True
-        if before is not None and before.kind in ("identifier", "binary_expression", "subscript", "generic") and after in (";", "=>", ":"):
+        if self.typed_methods and before is not None and before.kind in ("identifier", "binary_expression", "subscript") and after in (";", "=>", ":"):
             return True
         if after == ":" and self.language in ("typescript", "javascript"):
             for i in range(k + 2, k + 40):
@@ -208,16 +212,20 @@ class Parser:
 
     # expressions
 
-    def expression(self, least: int = 0) -> Node | None:
-        if self.depth >= DEEPEST:
-            self.at += 1
+    def deeper(self, f, *a) -> Node | None:
+        """f(*a) one level down; past the deepest, a token is passed over."""
+        if self.depth >= DEEPEST or self.at >= self.n:
+            self.at = min(self.n, self.at + 1)
             return None
         self.depth += 1
         try:
-            return self._expression(least)
+            return f(*a)
         finally:
             self.depth -= 1
 
+    def expression(self, least: int = 0) -> Node | None:
+        return self.deeper(self._expression, least)
+
     def _expression(self, least: int) -> Node | None:
         left = self.unary()
         if left is None:
@@ -455,17 +463,14 @@ class Parser:
         c = self.condition()
         if c is not None:
             children.append(("condition", c))
-        begin = self.at
-        body = self.statement(None) if self.peek() is not None and self.text_at() not in (")", "]", "}") else None
+        body = self.deeper(self.statement, None) if self.peek() is not None and self.text_at() not in (")", "]", "}") else None
         if body is not None:
             children.append(("consequence", body))
-        elif self.at == begin:
-            pass
         while self.text_at() in (";", ","):
             self.at += 1
         if self.text_at() == "else":
             self.at += 1
-            other = self.statement(None) if self.peek() is not None and self.text_at() not in (")", "]", "}") else None
+            other = self.deeper(self.statement, None) if self.peek() is not None and self.text_at() not in (")", "]", "}") else None
             if other is not None:
                 children.append(("alternative", other))
         return self.node("if_statement", start, children)
@@ -546,7 +551,7 @@ class Java(Parser):
     words = _C_WORDS - {"type", "get", "set", "init", "select", "map", "range", "go", "object", "data", "open", "when", "use", "match", "module", "end", "begin", "print", "echo", "require", "include", "unless", "until", "then", "with", "self", "val", "fun", "func", "def", "function", "params", "where", "ref", "out", "internal", "partial", "pass", "not", "and", "or", "is", "fn", "operator", "inline", "infix", "ensure", "raise", "global", "clone", "virtual", "override", "chan", "defer", "lambda", "from", "as", "of", "in", "struct", "trait", "using", "let", "await", "async", "typeof", "yield", "del", "export", "namespace", "suspend", "companion", "record", "var", "readonly", "elif", "elsif", "foreach", "rescue", "goto"}
     string_kind, content_kind = "string_literal", "string_fragment"
     arguments_kind = "argument_list"
-    methods_before_braces = True
+    methods_before_braces = typed_methods = True
 
     def string_kind_of(self, t: Token) -> str:
         return "character_literal" if t.mark == "'" else "string_literal"
@@ -570,9 +575,7 @@ class Java(Parser):
 
     def annotation(self) -> Node:
         start = self.take().start
-        begin = self.at
         first, last = self.dotted()
-        del begin
         children: list[tuple[str | None, Node]] = [("name", self.scoped(first, last))]
         if self.text_at() != "(":
             return self.node("marker_annotation", start, children)
@@ -583,7 +586,7 @@ class Java(Parser):
                 self.at += 1
                 continue
             begin = self.at
-            value = self.element()
+            value = self.deeper(self.element)
             if value is not None:
                 args.append((None, value))
             if self.at == begin:
@@ -597,7 +600,7 @@ class Java(Parser):
         if self.kind_at() == ID and self.text_at(1) == "=":
             key = self.leaf("identifier", self.take())
             self.at += 1
-            value = self.element()
+            value = self.deeper(self.element)
             return self.node("element_value_pair", start, [("key", key), *([("value", value)] if value is not None else [])])
         if self.text_at() == "{":
             self.at += 1
@@ -605,7 +608,7 @@ class Java(Parser):
             while (t := self.peek()) is not None and not (t.kind == OP and t.text in ")]}"):
                 begin = self.at
                 if t.text != "," or t.kind == STRING:
-                    x = self.element()
+                    x = self.deeper(self.element)
                     if x is not None:
                         items.append((None, x))
                 if self.at == begin:
@@ -613,7 +616,7 @@ class Java(Parser):
             self.accept("}")
             return self.node("element_value_array_initializer", start, items)
         if self.text_at() == "@":
-            return self.annotation()
+            return self.deeper(self.annotation)
         return self.expression(1)
 
     def member(self, left: Node, op: Token, name: Token) -> Node:
@@ -790,7 +793,7 @@ class Go(Parser):
             children.append(("consequence", self.block("block")))
         if self.text_at() == "else":
             self.at += 1
-            x = self.statement(None) if self.peek() is not None else None
+            x = self.deeper(self.statement, None) if self.peek() is not None else None
             if x is not None:
                 children.append(("alternative", x))
         return self.node("if_statement", start, children)
@@ -911,13 +914,6 @@ class Kotlin(Parser):
 
     word_interface = word_object = word_class
 
-    def word_if(self) -> Node:
-        self.no_braces += 1
-        saved, self.no_braces = self.no_braces - 1, 0
-        self.no_braces = saved
-        return super().word_if()
-
-
 class Php(Parser):
     language = "php"
     words = _C_WORDS - {"type", "get", "set", "init", "select", "map", "range", "go", "object", "data", "open", "when", "match", "module", "end", "begin", "unless", "until", "then", "with", "self", "val", "fun", "func", "def", "params", "where", "ref", "out", "internal", "partial", "pass", "not", "is", "operator", "inline", "infix", "ensure", "raise", "virtual", "override", "chan", "defer", "assert", "lambda", "from", "of", "package", "struct", "using", "let", "await", "async", "typeof", "del", "export", "suspend", "companion", "in", "import", "void", "record", "synchronized", "sealed", "range", "elif", "elsif", "rescue", "nonlocal", "lateinit"}
@@ -938,13 +934,15 @@ class Php(Parser):
         return t.text not in ("*", "::")
 
     def postfix(self, left: Node) -> Node:
-        while self.text_at() == "." and left is not None:  # concatenation
+        left = super().postfix(left)
+        while self.text_at() == ".":  # concatenation
             self.at += 1
-            right = self.unary()
+            right = self.primary() if self.peek() is not None else None
             if right is None:
                 break
+            right = super().postfix(right)
             left = Node("binary_expression", left.start, right.end, [("left", left), ("right", right)])
-        return super().postfix(left)
+        return left
 
     def word(self) -> Node | None:
         t = self.peek()
@@ -1188,9 +1186,6 @@ class Python(Parser):
     def continues(self) -> bool:
         return False
 
-    def postfix(self, left: Node) -> Node:
-        return super().postfix(left)
-
     def braced(self) -> Node:
         return self.block("dictionary")
 
@@ -1208,6 +1203,7 @@ class _BracketedPython(Python):
                 kept.append(t)
             depth = max(0, depth)
         self.tokens, self.n = kept, len(kept)
+        self.pairs = self.brackets()
 
 
 class Ruby(Parser):
@@ -1316,9 +1312,6 @@ class Ruby(Parser):
     def indexes(self, left: Node) -> bool:
         return self.peek().start == left.end
 
-    def block(self, kind: str = "block") -> Node:
-        return super().block(kind)
-
     def word_def(self) -> Node:
         start = self.take().start
         while self.peek() is not None and self.kind_at() != NEWLINE and self.text_at() not in ("(", ";", "="):
@@ -1377,6 +1370,8 @@ PARSERS = {"typescript": TypeScript, "javascript": JavaScript, "java": Java, "cs
 
 def parse(text: str, language: str) -> Node:
     """The tree of a source text. Past DEEPEST levels of nesting, inner parts are passed over."""
+    if sys.getrecursionlimit() < 5000:
+        sys.setrecursionlimit(5000)  # DEEPEST levels take some ten calls each
     if language == "php" and (at := text.find("<?php")) >= 0:
         text = " " * (at + 5) + text[at + 5 :]
     return PARSERS[language](text).parse()

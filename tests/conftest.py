@@ -24,3 +24,9 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def spark_session(spark):
+    """The same session, under a name that hypothesis tests use."""
+    return spark
