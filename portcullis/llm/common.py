@@ -37,6 +37,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """df if it has at most so many rows, else the ones with the smallest hashes of their key, at most so many.
+
+    A cut-off of the hash comes first, so a partition hands on its share of the sample only, however many partitions there are."""
+    n = df.count()
+    if n <= most:
+        return df
+    hashed = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40))
+    return df.withColumn("__h", hashed).where(F.col("__h") <= int((1 << 40) * min(1.0, 1.2 * most / n))).orderBy("__h", *df.columns).limit(most).drop("__h")
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """Adds ROW, a number for each row. df must give the same rows in the same order when run again, as a Parquet scan does."""
     return df.withColumn(ROW, F.monotonically_increasing_id())

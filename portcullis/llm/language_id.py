@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portcullis.llm.common import sample
+
 BUCKETS, DIMENSION, GRAMS = 1 << 15, 16, (2, 3, 4, 5)
 SAMPLE, HOLD, EPOCHS, BATCH, RATE = 3000, 5, 6, 32, 40.0
 PRECISION = 0.995
@@ -34,7 +36,11 @@ KEPT = 200_000
 UNKNOWN = "und"
 
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_MAY_BE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAY_BE_LETTER.finditer(text))
 
 
 def words(text: str) -> list[bytes]:
@@ -159,7 +165,7 @@ class Predictor:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         m, out = self.model, []
-        split = [words(t) if t and m.labels and _LETTER.search(t) else [] for t in texts]
+        split = [words(t) if t and m.labels and has_letter(t) else [] for t in texts]
         for at in range(0, len(split), 256):  # so many texts' new words are learned at once
             group = split[at : at + 256]
             if new := {w for s in group for w in s}.difference(self.index):
@@ -179,12 +185,11 @@ class Predictor:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """labelled: rows to learn from. Their SAMPLE smallest hashes are taken to the driver."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    order = F.xxhash64(F.col(key).cast("string"))
-    ids = rows.select(F.col(key).alias("k"), order.alias("h")).orderBy("h", "k").limit(SAMPLE)
-    chosen = rows.join(F.broadcast(ids.select("k").distinct()), F.col(key) == F.col("k"), "left_semi")
-    found = chosen.select(order.alias("h"), F.col(key).alias("k"), text, label).limit(2 * SAMPLE).collect()
-    found.sort(key=lambda r: (r["h"], r["k"], r[text]))
-    return train([r[text] for r in found], [r[label] for r in found])
+    ids = sample(rows.select(F.col(key).alias("k")), "k", SAMPLE).distinct()
+    chosen = rows.join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi")
+    found = chosen.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t"), F.col(label).alias("y")).limit(2 * SAMPLE).collect()
+    found.sort(key=lambda r: (r["h"], r["t"], r["y"]))
+    return train([r["t"] for r in found], [r["y"] for r in found])
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

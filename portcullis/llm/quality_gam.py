@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portcullis.llm.common import sample
+
 SAMPLE, BINS, PAIR_BINS, LEAVES, PAIRS = 20_000, 48, 8, 3, 6
 ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 120, 60, 0.1, 2.0
 #: A text whose score is at least this is good.
@@ -199,7 +201,7 @@ def _featured(docs: DataFrame, key: str, text: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """labels: key and label of the rows to learn from."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and k is not null").distinct()
-    chosen = known.orderBy(F.xxhash64(F.col("k").cast("string")), "k", "y").limit(SAMPLE)
+    chosen = sample(known, "k", SAMPLE)
     rows = docs.join(F.broadcast(chosen.select("k").distinct()), F.col(key) == F.col("k"), "left_semi")
     found = _featured(rows, key, text).join(F.broadcast(chosen), F.col("key") == F.col("k")).select("k", "y", "x").limit(2 * SAMPLE).collect()
     found.sort(key=lambda r: (r["k"], r["y"], r["x"]))

@@ -70,6 +70,7 @@ def test_language_odd_rows(spark, documents):
     got = {r["doc_id"]: r["lang_pred"] for r in I.identify(documents(ODD), m).collect()}
     assert [got[i] for i in (1, 2, 3, 7)] == ["und"] * 4
     assert all(got[i] in ("en", "de") for i in (4, 5, 8))
+    assert [I.has_letter(t) for t in ("²½ 7", "…!_", "x", "é", "日", "1a")] == [False, False, True, True, True, True]
     assert {r["lang_pred"] for r in I.identify(documents(ODD), I.train([], [])).collect()} == {"und"}
 
 
