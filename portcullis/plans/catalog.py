@@ -6,7 +6,7 @@ import importlib
 
 FLAGSHIP = "scan_summary"
 
-MODULES = ("portcullis.plans.relational", "portcullis.plans.scans")
+MODULES = ("portcullis.plans.relational", "portcullis.plans.scans", "portcullis.plans.pipelines")
 
 
 def load() -> None:

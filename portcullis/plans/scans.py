@@ -20,19 +20,45 @@ _LINE = {
       WHEN 3 THEN 'guard.can("edit")' WHEN 4 THEN concat('z = ', CAST(event_id AS STRING)) WHEN 5 THEN '# has_role("admin")' ELSE 'ok = doc.owner_id == user.id' END""",
     "go": """CASE k WHEN 0 THEN concat('ok = user.Role == "r', CAST(event_id % 5 AS STRING), '"') WHEN 1 THEN 'y := msg.Kind' WHEN 2 THEN 'ok = HasRole("staff")'
       WHEN 3 THEN 'ok = engine.Can("edit")' WHEN 4 THEN concat('z := ', CAST(event_id AS STRING)) WHEN 5 THEN '// HasRole("admin")' ELSE 'ok = doc.OwnerID == user.ID' END""",
+    "js": """CASE k WHEN 0 THEN concat('if (user.role !== "r', CAST(event_id % 5 AS STRING), '") { f(); }') WHEN 1 THEN 'const y = msg.role;' WHEN 2 THEN 'hasRole("staff");'
+      WHEN 3 THEN 'authorize("orders:read");' WHEN 4 THEN concat('x', CAST(event_id AS STRING), ' = `hasRole("t")`;') WHEN 5 THEN '/* hasRole("admin") */' ELSE 'ok = post.ownerId == user.id;' END""",
+    "java": """CASE k WHEN 0 THEN concat('class C', CAST(event_id AS STRING), ' { boolean f() { return u.getRole().equals("r"); } }') WHEN 1 THEN 'class D { String role = "user"; }' WHEN 2 THEN 'class E { @RolesAllowed("staff") void f() { } }'
+      WHEN 3 THEN 'class G { void f() { engine.isPermitted("doc:read"); } }' WHEN 4 THEN 'class H { boolean isOrgAdmin(User u) { return true; } }' WHEN 5 THEN '// @RolesAllowed("admin")' ELSE 'class I { boolean f() { return u.getId().equals(p.getOwnerId()); } }' END""",
+    "cs": """CASE k WHEN 0 THEN concat('class C', CAST(event_id AS STRING), ' { void F() { user.IsInRole("r"); } }') WHEN 1 THEN 'class D { string role = "user"; }' WHEN 2 THEN 'class E { [Authorize(Roles = "staff")] void F() { } }'
+      WHEN 3 THEN 'class G { void F() { engine.HasClaim("dept", "hr"); } }' WHEN 4 THEN 'class H { bool IsInRole(string r) { return true; } }' WHEN 5 THEN '// [Authorize]' ELSE 'class I { [AllowAnonymous] void F() { } }' END""",
+    "php": """CASE k WHEN 0 THEN concat('$x = $user->role === "r', CAST(event_id % 5 AS STRING), '";') WHEN 1 THEN '$y = $msg->body === "user";' WHEN 2 THEN '$user->hasRole("staff");'
+      WHEN 3 THEN '$engine->isGranted("edit");' WHEN 4 THEN concat('$z = ', CAST(event_id AS STRING), ';') WHEN 5 THEN '# $user->hasRole("admin");' ELSE 'Gate::allows("update", $post);' END""",
+    "kt": """CASE k WHEN 0 THEN concat('fun a', CAST(event_id AS STRING), '() = user.role == "r"') WHEN 1 THEN 'val y = msg.kind' WHEN 2 THEN '@RolesAllowed("staff") fun b() { }'
+      WHEN 3 THEN 'val ok = user.roles.contains("admin")' WHEN 4 THEN concat('val z = ', CAST(event_id AS STRING)) WHEN 5 THEN '// user.hasRole("admin")' ELSE 'val g = http.hasRole("ADMIN")' END""",
+    "rb": """CASE k WHEN 0 THEN concat('x = user.role == "r', CAST(event_id % 5 AS STRING), '"') WHEN 1 THEN 'y = msg.kind' WHEN 2 THEN 'before_action :require_login'
+      WHEN 3 THEN 'authorize @post, :update?' WHEN 4 THEN concat('z = ', CAST(event_id AS STRING)) WHEN 5 THEN '# authorize @post' ELSE 'ok = current_user.can?(:edit, post)' END""",
 }
 _HEAD = {
     "ts": ("import { authorize } from \"../authz/client\";", "import { authorize } from \"../util/client\";"),
     "py": ("from app.policy import guard", "from app.util import guard"),
     "go": ("package f; import engine \"x/opa\"", "package f; import engine \"x/util\""),
+    "js": ("const { authorize } = require('../authz/client');", "const { authorize } = require('../util/client');"),
+    "java": ("import com.acme.policy.engine;", "import com.acme.util.engine;"),
+    "cs": ("using engine = Acme.Authz.Engine;", "using engine = Acme.Util.Engine;"),
+    "php": ("<?php use Acme\\Policy\\Engine as engine;", "<?php use Acme\\Util\\Engine as engine;"),
+    "kt": ("import acme.policy.engine", "import acme.util.engine"),
+    "rb": ("require 'policy'", "require 'util'"),
 }
 #: What each line is found as, by its number k; line 3 is bound to a policy module in a third of the files.
 _RULE = {
     "ts": {0: "ts-role-check-conditional", 2: "ts-has-role-call", 3: "ts-authorize-function-call", 6: "ts-ownership-check"},
     "py": {0: "py-role-check-conditional", 2: "py-has-role-call", 3: "py-permission-check-call", 6: "py-ownership-check"},
     "go": {0: "go-role-check-conditional", 2: "go-has-role-call", 3: "go-permission-check-call", 6: "go-ownership-check"},
+    "js": {0: "ts-role-check-conditional", 2: "ts-has-role-call", 3: "ts-authorize-function-call", 6: "ts-ownership-check"},
+    "java": {0: "java-role-equals-check", 2: "java-roles-allowed", 3: "java-shiro-is-permitted", 6: "java-ownership-check"},
+    "cs": {0: "csharp-is-in-role-call", 2: "csharp-aspnet-authorize-roles", 3: "csharp-has-claim-call", 6: "csharp-aspnet-allow-anonymous"},
+    "php": {0: "php-role-equals-check", 2: "php-has-role-call", 3: "php-symfony-is-granted", 6: "php-laravel-gate-allows-denies"},
+    "kt": {0: "kotlin-role-equals-check", 2: "kotlin-roles-allowed", 3: "kotlin-role-collection-contains", 6: "kotlin-has-role-call"},
+    "rb": {0: "ruby-role-equals-check", 2: "ruby-rails-before-action-filter", 3: "ruby-pundit-authorize", 6: "ruby-cancancan-can-check"},
 }
-_LANGUAGE = {"ts": "typescript", "py": "python", "go": "go"}
+_LANGUAGE = {"ts": "typescript", "py": "python", "go": "go", "js": "javascript", "java": "java", "cs": "csharp", "php": "php", "kt": "kotlin", "rb": "ruby"}
+#: Kotlin and Ruby have no policy imports, so nothing is bound there.
+_UNBOUND = ("kt", "rb")
 
 
 def code(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
@@ -48,7 +74,7 @@ def _expected(ext: str) -> str:
     """findings and enforcement points in SQL: file, line_start, rule, enforced."""
     rule = "CASE k " + " ".join(f"WHEN {k} THEN '{r}'" for k, r in _RULE[ext].items()) + " END"
     folder = "'d' || u || '/'" if ext == "go" else "'src/'"
-    return f"""x AS (SELECT {folder} || stem || '.{ext}' AS file, 1 + row_number() OVER (PARTITION BY stem ORDER BY event_id) AS line_start, {rule} AS pattern_rule, k = 3 AND u % 3 = 0 AS enforced FROM ({_BASE}) b),
+    return f"""x AS (SELECT {folder} || stem || '.{ext}' AS file, 1 + row_number() OVER (PARTITION BY stem ORDER BY event_id) AS line_start, {rule} AS pattern_rule, {'false' if ext in _UNBOUND else 'k = 3 AND u % 3 = 0'} AS enforced FROM ({_BASE}) b),
 y AS (SELECT * FROM x WHERE pattern_rule IS NOT NULL)"""
 
 
