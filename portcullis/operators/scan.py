@@ -6,6 +6,7 @@ and its assignments. That row has no source text any more; it is written once, a
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,6 +18,9 @@ from portcullis import model
 from portcullis.functions import paths, text
 from portcullis.operators import bindings, findings
 from portcullis.rules.spec import Rule, RuleError
+from portcullis.syntax import parse
+from portcullis.syntax.imports import assignments, policy_imports
+from portcullis.syntax.query import Index
 
 PARSED = (
     "file string, language string, matches array<struct<rule_id:string,rule_ord:int,match_seq:int,line_start:bigint,line_end:bigint,code_snippet:string,"
@@ -46,6 +50,19 @@ def render(template: str, captures: dict[str, str], engine: str) -> str:
     return re.sub(r"\{\{(\w+)\}\}", lambda m: values.get(m[1], m[0]), template)
 
 
+def loose(kind: str, value: str) -> re.Pattern | None:
+    """A pattern that is found in every source whose captures can meet a condition; None if there is no telling."""
+    if kind == "eq":
+        return re.compile(re.escape(value))
+    if kind != "match":
+        return None
+    bare = re.sub(r"^((?:\(\?i\))?)\^", r"\1", value)
+    bare = bare.removesuffix("$") if not bare.endswith("\\$") else bare
+    if re.search(r"[\^$]|\\[bBAZ]|\(\?[^:i]", re.sub(r"\[\^?(?:\\.|[^\]])*\]|\\[$^]", "", bare)):
+        return None  # other anchors, borders or looks around would see the source's neighbours
+    return re.compile(bare)
+
+
 class Matcher:
     """Compiled rules by language. A rule that doesn't compile is left out and named in ``refused``."""
 
@@ -62,8 +79,9 @@ class Matcher:
                 continue
             tests = [(c, k, re.compile(v) if k.endswith("match") else v) for c, k, v in rule.predicates]
             cross = [(kind, captures, re.compile(v)) for kind, captures, v in rule.cross]
+            needs = [p for _, k, v in rule.predicates if (p := loose(k, v)) is not None]
             for language in rule.languages:
-                self.by_language.setdefault(language, []).append((order, rule, query, tests, cross))
+                self.by_language.setdefault(language, []).append((order, rule, query, tests, cross, needs))
 
     @staticmethod
     def holds(captures: dict[str, str], tests: list, cross: list) -> bool:
@@ -77,18 +95,14 @@ class Matcher:
         return all((any if kind == "any_match" else all)(n in captures and pattern.search(captures[n]) for n in names) for kind, names, pattern in cross)
 
     def matches(self, source: str, language: str) -> list[dict]:
-        from portcullis.syntax import parse
-
-        rules = self.by_language.get(language)
+        rules = [r for r in self.by_language.get(language, ()) if all(p.search(source) for p in r[-1])]
         if not rules:
-            return []
-        tree = parse(source, language)
+            return []  # nothing to find: not even parsed
+        index = Index(parse(source, language))
         starts = [0, *(m.end() for m in re.finditer("\n", source))]
-        from bisect import bisect_right
-
         out = []
-        for order, rule, query, tests, cross in rules:
-            for nodes in query.matches(tree):
+        for order, rule, query, tests, cross, _ in rules:
+            for nodes in query.matches(index):
                 captures = {name: source[n.start : n.end] for name, n in nodes.items()}
                 if not self.holds(captures, tests, cross):
                     continue
@@ -112,15 +126,16 @@ def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
     given = tuple(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from portcullis.syntax.imports import assignments, policy_imports
-
         m = _matcher(given)
         schema = None
         for b in batches:
             rows = []
             for path, content, language in zip(b.column("path").to_pylist(), b.column("content"), b.column("language").to_pylist(), strict=True):
                 source = content.as_py() or ""
-                rows.append({"file": path, "language": language, "matches": m.matches(source, language), "names": sorted(policy_imports(source, language)), "edges": [{"lhs": x, "rhs": y} for x, y in assignments(source, language)]})
+                found = m.matches(source, language)
+                # bindings matter where something is found, in Go anywhere in the package
+                names, edges = (sorted(policy_imports(source, language)), assignments(source, language)) if found or language == "go" else ([], [])
+                rows.append({"file": path, "language": language, "matches": found, "names": names, "edges": [{"lhs": x, "rhs": y} for x, y in edges]})
             schema = schema or _SCHEMA
             yield pa.RecordBatch.from_pylist(rows, schema)
 
