@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 #: Token kinds.
 ID, NUMBER, STRING, OP, NEWLINE, VARIABLE, SYMBOL = "id", "number", "string", "op", "newline", "variable", "symbol"
@@ -49,87 +50,83 @@ LEXICONS = {
 LEXICONS["javascript"] = LEXICONS["typescript"]
 
 _OPS = sorted(
-    "=== !== == != <= >= && || ?? ?. ?: ?-> => -> :: := <- ++ -- += -= *= /= %= ??= ||= &&= |= &= ^= **= ** << >> ... .. =~ !~ <=> !! <<= >>= !in !is".split(), key=len, reverse=True,
+    "=== !== == != <= >= && || ?? ?. ?: ?-> => -> :: := <- ++ -- += -= *= /= %= ??= ||= &&= |= &= ^= **= ** << >> ... .. =~ !~ <=> !! <<= >>=".split(), key=len, reverse=True,
 )
-_OP = re.compile("|".join(re.escape(o) for o in _OPS if not o.startswith("!i")) + r"|.", re.S)
-_NUMBER = re.compile(r"\d(?:[\w]|\.\d)*")
-_SPACE = re.compile(r"[^\S\n]+")
-_PYTHON_PREFIX = re.compile(r"[rRbBuUfF]{1,2}(?=[\"'])")
-_REGEX = re.compile(r"/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*")
+#: What may stand before a regular expression: else a slash divides.
+_BEFORE_REGEX = {"return", "if", "unless", "when", "and", "or"}
 
 
-def tokens(text: str, language: str) -> list[Token]:
+def _string(language: str, opened: str, closed: str, escapes: bool) -> str:
+    o, c = re.escape(opened), re.escape(closed)
+    if len(closed) > 1:
+        body = rf"(?:\\.|(?!{c}).)*" if escapes else f"(?:(?!{c}).)*"
+    elif escapes:
+        one_line = closed in "\"'" and language not in ("php", "ruby")  # one that isn't closed on its line ends there
+        body = rf"(?:\\.|[^\\{c}{chr(92) + 'n' if one_line else ''}])*"
+    else:
+        body = '(?:""|[^"])*' if closed == '"' else f"[^{c}]*"
+    return f"{o}{body}(?:{c})?"
+
+
+@lru_cache
+def _master(language: str) -> tuple[re.Pattern, dict[str, tuple[str, str]]]:
+    """One pattern for all tokens; of strings, the delimiters by the name of their group."""
     x = LEXICONS[language]
-    identifier = re.compile(x.identifier)
-    extra = re.compile(x.extra) if x.extra else None
+    parts, marks = [r"(?P<space>[^\S\n]+|\\\n)"], {}
+    for s, e in x.block_comments:
+        if s[0] == "\n":
+            parts.append(f"(?P<block{len(parts)}>{re.escape(s)}.*?(?:{re.escape(e)}|\\Z))")
+    parts.append(r"(?P<newline>\n)")
+    for s in x.line_comments:
+        parts.append(f"(?P<line{len(parts)}>{re.escape(s)}{'(?!' + re.escape('[') + ')' if language == 'php' and s == '#' else ''}[^\\n]*)")
+    for s, e in x.block_comments:
+        if s[0] != "\n":
+            parts.append(f"(?P<block{len(parts)}>{re.escape(s)}.*?(?:{re.escape(e)}|\\Z))")
+    prefix = "[rRbBuUfF]{0,2}" if language == "python" else ""
+    for i, (opened, closed, escapes) in enumerate(x.strings):
+        marks[f"string{i}"] = (opened, closed)
+        parts.append(f"(?P<string{i}>{prefix}{_string(language, opened, closed, escapes)})")
+    if x.extra:
+        parts.append(x.extra)
+    parts += [f"(?P<id>{x.identifier})", r"(?P<number>\d(?:\w|\.\d)*)"]
+    if x.regexes:
+        parts.append(r"(?P<regex>/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)")
+    parts.append("(?P<op>" + "|".join(re.escape(o) for o in _OPS) + "|.)")
+    return re.compile("|".join(parts), re.S), marks
+
+
+def tokens(text: str, language: str) -> list[Token]:
+    pattern, marks = _master(language)
+    newlines = LEXICONS[language].newlines
     out: list[Token] = []
-    i, n, depth = 0, len(text), 0
+    i, n, match = 0, len(text), pattern.match
     while i < n:
-        c = text[i]
-        if c == "\n":
-            end = next((e for s, e in x.block_comments if s[0] == "\n" and text.startswith(s, i)), None)
-            if end is not None:
-                at = text.find(end, i + 1)
-                i = n if at < 0 else at + len(end)
-                continue
-            if x.newlines:
-                out.append(Token(NEWLINE, "\n", i, i + 1))
-            i += 1
-            continue
-        if m := _SPACE.match(text, i):
-            i = m.end()
-            continue
-        if c == "\\" and i + 1 < n and text[i + 1] == "\n":
-            i += 2
-            continue
-        if any(text.startswith(s, i) for s in x.line_comments) and not (language == "php" and text.startswith("#[", i)):
-            at = text.find("\n", i)
-            i = n if at < 0 else at
-            continue
-        comment = next(((s, e) for s, e in x.block_comments if text.startswith(s, i)), None)
-        if comment:
-            at = text.find(comment[1], i + len(comment[0]))
-            i = n if at < 0 else at + len(comment[1])
-            continue
-        if language == "python" and (m := _PYTHON_PREFIX.match(text, i)):
-            start, i = i, m.end()
+        m = match(text, i)
+        kind, end = m.lastgroup, m.end()
+        if kind == "id":
+            out.append(Token(ID, m[0], i, end))
+        elif kind == "op":
+            out.append(Token(OP, m[0], i, end))
+        elif kind == "space" or kind[:4] in ("line", "bloc"):
+            pass
+        elif kind == "newline":
+            if newlines:
+                out.append(Token(NEWLINE, "\n", i, end))
+        elif kind == "number":
+            out.append(Token(NUMBER, m[0], i, end))
+        elif kind == "regex":
+            last = out[-1] if out else None
+            if last is None or last.kind in (OP, NEWLINE) and last.text not in (")", "]", "}") or last.text in _BEFORE_REGEX:
+                out.append(Token(STRING, m[0], i, end, (i + 1, end - 1), "/"))
+            else:
+                end = i + (2 if text.startswith("/=", i) else 1)
+                out.append(Token(OP, text[i:end], i, end))
+        elif kind in marks:
+            opened, closed = marks[kind]
+            a = text.index(opened, i) + len(opened)
+            whole = m[0].endswith(closed) and end - len(closed) >= a
+            out.append(Token(STRING, m[0], i, end, (a, end - len(closed) if whole else end), opened))
         else:
-            start = i
-        string = next((s for s in x.strings if text.startswith(s[0], i)), None)
-        if string:
-            opened, closed, escapes = string
-            a = i + len(opened)
-            i = a
-            while i < n and not text.startswith(closed, i):
-                if escapes and text[i] == "\\":
-                    i += 1
-                elif text[i] == "\n" and len(closed) == 1 and closed in "\"'" and escapes and language not in ("php", "ruby"):
-                    break  # not closed on its line
-                elif not escapes and closed == '"' and text.startswith('""', i):
-                    i += 1
-                i += 1
-            inner = (a, min(i, n))
-            i = min(n, i + len(closed)) if text.startswith(closed, i) else min(i, n)
-            out.append(Token(STRING, text[start:i], start, i, inner, opened))
-            continue
-        if extra and (m := extra.match(text, i)):
-            out.append(Token(m.lastgroup, m[0], i, m.end()))
-            i = m.end()
-            continue
-        if m := identifier.match(text, i):
-            out.append(Token(ID, m[0], i, m.end()))
-            i = m.end()
-            continue
-        if m := _NUMBER.match(text, i):
-            out.append(Token(NUMBER, m[0], i, m.end()))
-            i = m.end()
-            continue
-        last = out[-1] if out else None
-        if x.regexes and c == "/" and (last is None or last.kind in (OP, NEWLINE) and last.text not in (")", "]", "}") or last.text in ("return", "if", "unless", "when", "and", "or")) and (m := _REGEX.match(text, i)):
-            out.append(Token(STRING, m[0], i, m.end(), (i + 1, m.end() - 1), "/"))
-            i = m.end()
-            continue
-        m = _OP.match(text, i)
-        out.append(Token(OP, m[0], i, m.end()))
-        i = m.end()
+            out.append(Token(kind, m[0], i, end))
+        i = end
     return out
