@@ -5,6 +5,7 @@ and its assignments. That row has no source text any more; it is written once, a
 
 from __future__ import annotations
 
+import gc
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -127,17 +128,19 @@ def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(given)
-        schema = None
+        gc.disable()  # trees have no cycles, and are many objects; the worker collects between batches
         for b in batches:
             rows = []
             for path, content, language in zip(b.column("path").to_pylist(), b.column("content"), b.column("language").to_pylist(), strict=True):
                 source = content.as_py() or ""
                 found = m.matches(source, language)
-                # bindings matter where something is found, in Go anywhere in the package
-                names, edges = (sorted(policy_imports(source, language)), assignments(source, language)) if found or language == "go" else ([], [])
+                # bindings matter where something is found, in Go anywhere in the package; assignments where something is bound
+                names = sorted(policy_imports(source, language)) if found or language == "go" else []
+                edges = assignments(source, language) if names or language == "go" else []
                 rows.append({"file": path, "language": language, "matches": found, "names": names, "edges": [{"lhs": x, "rhs": y} for x, y in edges]})
-            schema = schema or _SCHEMA
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            gc.collect()
+            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+        gc.enable()
 
     return files.select("path", "content", "language").mapInArrow(run, PARSED)
 

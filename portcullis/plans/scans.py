@@ -67,7 +67,8 @@ def code(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     first = F.when(F.col("u") % 3 == 0, _HEAD[ext][0]).otherwise(_HEAD[ext][1])
     files = lines.groupBy("stem", "u").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("x"))
     folder = F.concat(F.lit("d"), F.col("u")) if ext == "go" else F.lit("src")  # each Go file is a package of its own
-    return files.select(F.concat(folder, F.lit("/"), "stem", F.lit(f".{ext}")).alias("path"), F.concat_ws("\n", first, F.transform("x", lambda e: e["line"])).alias("content"))
+    # few rows that take long: without a number of partitions, adaptive execution would put them into one
+    return files.repartition(8 * spark.sparkContext.defaultParallelism, "stem").select(F.concat(folder, F.lit("/"), "stem", F.lit(f".{ext}")).alias("path"), F.concat_ws("\n", first, F.transform("x", lambda e: e["line"])).alias("content"))
 
 
 def _expected(ext: str) -> str:
@@ -103,6 +104,23 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, "ts").summary().select("findings", "files", "medium", "high", "enforcement_points", "externalized_pct")
 
 
+_PLAIN = """SELECT o_orderkey AS n, concat('app/m', CAST(o_custkey % 97 AS STRING), '.ts') AS path,
+  CASE WHEN o_orderkey % 1009 = 7 THEN 'if (user.role === "admin") { open(); }' ELSE concat('const total', CAST(o_orderkey AS STRING), ' = price.times(', CAST(o_custkey AS STRING), ', { unit: "', o_orderstatus, '" }) + base[', CAST(o_custkey % 7 AS STRING), '];') END AS line FROM orders"""
+
+
+def plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SOURCE_FILES as code bases are: long files, few of whose lines decide on access."""
+    rows = spark.sql(_PLAIN.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
+    return files.repartition(8 * spark.sparkContext.defaultParallelism, "path").select("path", F.concat_ws("\n", F.transform("x", lambda e: e["line"])).alias("content"))
+
+
+@query("scan_plain_code", f"WITH x AS ({_PLAIN}), y AS (SELECT path, n, line, row_number() OVER (PARTITION BY path ORDER BY n, line) AS line_start FROM x) SELECT path AS file, line_start, 'ts-role-check-conditional' AS pattern_rule FROM y WHERE n % 1009 = 7")
+def scan_plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scan.Scan(plain_code(spark, sf_dir), [r for r in rules.builtin() if "typescript" in r.languages])
+    return s.findings.select("file", "line_start", "pattern_rule")
+
+
 @query("rules_tally", "SELECT * FROM (VALUES ('rbac', 53), ('middleware', 25), ('custom', 12), ('abac', 9), ('feature_gate', 4), ('ownership', 4), ('route', 1)) t(category, n)")
 def rules_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.rules_table(spark, rules.builtin()).groupBy("category").agg(F.count("*").alias("n"))
