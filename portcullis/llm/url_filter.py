@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from portcullis.llm.common import checkpointed
+
 LEXICON_BITS, TOKEN_BITS, LONGEST, FLUSH, KEPT, BIAS = 16, 16, 24, 500_000, 200_000, 2.0
 
 # The rules of the contract, as host/path and verdict.
@@ -139,13 +141,13 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(counts: DataFrame, key: str, bits: int) -> list:
-    """The rows whose n is above the total over 2**bits: at most 2**bits of them."""
+    """The rows of written counts whose n is above the total over 2**bits: at most 2**bits of them."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return counts.where(F.col("n") > (total >> bits)).orderBy(key).collect()
 
 
 def fit(pages: DataFrame) -> Model:
-    found = pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = checkpointed(pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     lexicon = {r["word"]: r["n"] for r in _frequent(found, "word", LEXICON_BITS)}
     seed_count = max(1, sum(lexicon.values()) >> 12)  # as frequent as words in a few thousand
     words = lexicon | {w: max(seed_count, lexicon.get(w, 0)) for w in (*BLOCK_SEEDS, *HOST_WORDS)}
@@ -171,7 +173,7 @@ def fit(pages: DataFrame) -> Model:
         yield out()
 
     n_of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    found = pages.select("url").mapInArrow(run, "token string, block boolean, n long").groupBy("token").agg(n_of(F.col("block")).alias("block"), n_of(~F.col("block")).alias("allow"), F.sum("n").alias("n"))
+    found = checkpointed(pages.select("url").mapInArrow(run, "token string, block boolean, n long").groupBy("token").agg(n_of(F.col("block")).alias("block"), n_of(~F.col("block")).alias("allow"), F.sum("n").alias("n")))
     row = found.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("block"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("allow"))), F.lit(0))).first()
     kept = {r["token"]: (r["block"], r["allow"]) for r in _frequent(found, "token", TOKEN_BITS) if r["token"]}
     block, allow = row[0] - row[2], row[1] - row[3]
