@@ -3,8 +3,8 @@
 Every byte has a printable stand-in character; a token becomes the piece of its bytes' characters, scored by its
 negative rank, so that sentencepiece merges in the order of ranks. The normaliser is the identity: no charsmap, no
 dummy prefix, no removal or escape of spaces. Pre-tokens of the splitting pattern are encoded one by one; a pre-token
-that is itself a token is that token. Piece ids are ranks plus one (0 is the unknown piece). Decoding maps ids
-back to bytes.
+that is itself a token is that token. Piece ids are ranks; the unknown piece comes last. Decoding maps ids back to
+bytes.
 
 Only the ranks file's bytes (under MAX_VOCABULARY) are broadcast; each Python worker builds its model once. Texts are
 read whole, one at a time. Defined cases: null text counts as empty and gives no ids; repeated rows are encoded alike;
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_VOCABULARY = 64 << 20
 #: Pre-tokens whose ids are kept, and the longest that is.
-KEPT, KEPT_LENGTH = 150_000, 64
+KEPT, KEPT_LENGTH = 200_000, 64
+#: Characters of texts that are encoded together.
+GROUP = 300_000
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Stand-ins: printable characters stand for themselves in Latin-1, others for U+0100 and on.
@@ -65,49 +67,71 @@ def serialise(tokens: list[bytes]) -> bytes:
     """A sentencepiece ModelProto: fields 1 pieces, 2 trainer spec, 3 normaliser spec."""
     if len(tokens) >= 1 << 24:
         raise ValueError("scores are 32-bit floats: at most 2**24 ranks are told apart")
-    unknown = _field(1, "⁇unknown".encode()) + _field(2, 0.0) + _field(3, 2)
-    out = [_field(1, unknown)]
+    out = []
     for rank, token in enumerate(tokens):
         piece = "".join(STAND_IN[b] for b in token).encode()
         out.append(_field(1, _field(1, piece) + _field(2, float(-rank)) + _field(3, 1)))
+    out.append(_field(1, _field(1, "⁇unknown".encode()) + _field(2, 0.0) + _field(3, 2)))  # last, so that ids are ranks
     absent = (1 << 64) - 1  # -1: no such piece
-    out.append(_field(2, _field(3, 2) + _field(4, len(tokens) + 1) + _field(40, 0) + b"".join(_field(i, absent) for i in (41, 42, 43))))
+    out.append(_field(2, _field(3, 2) + _field(4, len(tokens) + 1) + _field(40, len(tokens)) + b"".join(_field(i, absent) for i in (41, 42, 43))))
     out.append(_field(3, _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)))
     return b"".join(out)
 
 
-class Codec(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers."""
+class Codec:
+    """known: pre-token -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, data: bytes, pattern: str) -> None:
         import regex
         import sentencepiece
 
-        super().__init__()
         self.tokens = ranks(data)
         self.whole = {t.decode(): struct.pack("<I", i) for i, t in enumerate(self.tokens) if _is_text(t)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(self.tokens))
         self.split = regex.compile(pattern).findall
         self.stand_in = {b: STAND_IN[b] for b in range(256)}
-        self.update(self.whole)
-
-    def __missing__(self, word: str) -> bytes:
-        pieces = word.encode().decode("latin-1").translate(self.stand_in)
-        ids = (np.array(self.model.encode(pieces, out_type=int, num_threads=1), dtype="<u4") - np.uint32(1)).tobytes()
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT + len(self.whole):
-                self.clear()
-                self.update(self.whole)
-            self[word] = ids
-        return ids
+        self.known = dict(self.whole)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pre-tokens that are new to all of them are put to the model at once."""
+        split = [self.split(t) for t in texts]
+        met = set().union(*split)
+        known, new = self.known, list(met.difference(self.known))
+        if new:
+            pieces = [w.encode().decode("latin-1").translate(self.stand_in) for w in new]
+            found = self.model.encode(pieces, out_type=int, num_threads=1)
+            if len(known) + len(new) > KEPT + len(self.whole):  # begin anew with what these texts need
+                self.known = known = self.whole | {w: known[w] for w in met.difference(new)}
+            known.update(zip(new, (_PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes() for ids in found), strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del known[w]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
+def groups(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts in runs of up to GROUP characters or so, null as empty."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_py() or "")
+        size += len(run[-1])
+        if size >= GROUP:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def _is_text(token: bytes) -> bool:
     try:
         token.decode()
@@ -143,7 +167,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for b in batches:
-            ids = [np.frombuffer(c.encode(t or ""), "<i4") for t in b.column(text).to_pylist()]
+            ids = [np.frombuffer(x, "<i4") for run_ in groups(b.column(text)) for x in c.encode_all(run_)]
             lists = pa.array(ids, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(o) for o in others), lists], names=[*others, "ids"])
 
@@ -161,11 +185,11 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
         c = codec(shared.value, pattern)
         for b in batches:
             n, ids_hash, decoded_hash = [], [], []
-            for t in b.column("text"):
-                ids = c.encode(t.as_py() or "")
-                n.append(len(ids) // 4)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                decoded_hash.append(hashlib.sha256(c.decode(ids)).hexdigest())
+            for texts in groups(b.column("text")):
+                for ids in c.encode_all(texts):
+                    n.append(len(ids) // 4)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    decoded_hash.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return source.mapInArrow(run, schema)

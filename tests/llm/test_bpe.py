@@ -8,7 +8,7 @@ import tiktoken
 
 from portcullis.llm import byte_bpe as P
 
-from .conftest import ODD
+from .conftest import CLASHES, ODD
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +33,7 @@ def test_ids_equal_those_of_tiktoken(both):
 def test_every_token_is_reached_by_merges_alone(both):
     codec, _ = both
     for rank, token in list(enumerate(codec.tokens))[::37]:
-        assert codec.model.encode("".join(P.STAND_IN[b] for b in token)) == [rank + 1]
+        assert codec.model.encode("".join(P.STAND_IN[b] for b in token)) == [rank]
 
 
 def test_gaps_in_ranks_are_refused():
@@ -54,5 +54,5 @@ def test_round_trip_of_odd_texts(spark, documents, both):
 
 def test_encode_keeps_the_other_columns(spark, documents):
     out = P.encode(documents([(1, "hello world"), (2, None)]))
-    assert out.columns == ["doc_id", "lang", "source", "n_chars", "key", "ids"]
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", *CLASHES, "ids"]
     assert [len(r["ids"]) for r in out.orderBy("doc_id").collect()] == [2, 0]
