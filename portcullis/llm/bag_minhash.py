@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import BROADCAST_KEYS, ROW, checkpointed, only, with_row, without
+from portcullis.llm.common import BROADCAST_KEYS, ROW, checkpointed, filtered, only, with_row, without
 from portcullis.llm.license_scan import _WORD_BYTES
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,7 +46,7 @@ BANDS, ROWS = 24, 6
 M = BANDS * ROWS
 LEAST = 0.65
 #: Elements whose points are drawn at once; members of a centre in a slice; members of a bucket in a cell.
-GROUP, SLICE, CELL = 400_000, 256, 2048
+GROUP, SLICE, CELL = 150_000, 256, 2048
 
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -344,8 +344,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns."""
-    rows = with_row(docs)
-    found = checkpointed(near_classes(rows, key, text))
-    order = F.struct(F.col("key").isNull().alias("a"), F.col("key").alias("key"), F.col(ROW).alias(ROW))
-    best = found.groupBy("first").agg(F.min(order).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return without(rows, checkpointed(found.select(ROW).join(best, ROW, "left_anti"))).drop(ROW)
+
+    def keep(rows: DataFrame) -> DataFrame:
+        found = checkpointed(near_classes(rows, key, text))
+        order = F.struct(F.col("key").isNull().alias("a"), F.col("key").alias("key"), F.col(ROW).alias(ROW))
+        best = found.groupBy("first").agg(F.min(order).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+        return without(rows, checkpointed(found.select(ROW).join(best, ROW, "left_anti")))
+
+    return filtered(docs, keep)

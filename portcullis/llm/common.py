@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def filtered(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """keep(docs with ROW), with the columns of docs alone; a column of docs that has ROW's name is put aside meanwhile."""
+    names = docs.columns
+    aside = [n if n.lower() != ROW else ROW + "_of_docs" + "_" * max(map(len, names)) for n in names]
+    return keep(with_row(docs.toDF(*aside))).select(*[F.col(f"`{n}`") for n in aside]).toDF(*names)
+
+
 def only(df: DataFrame, keys: DataFrame, key: str = ROW) -> DataFrame:
     """The rows of df whose key is among keys, which is written and has that column alone."""
     small = keys.count() <= BROADCAST_KEYS

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import ROW, checkpointed, with_row, without
+from portcullis.llm.common import ROW, checkpointed, filtered, with_row, without
 
 #: Most digests that are broadcast, and counters of the sketch.
 HEAVY, TRACKED = 512, 8192
@@ -50,6 +50,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    rows = with_row(docs)
-    dropped = decide(checkpointed(digests(rows, key, text))).where("not kept").select(ROW)
-    return without(rows, checkpointed(dropped)).drop(ROW)
+
+    def keep(rows: DataFrame) -> DataFrame:
+        dropped = decide(checkpointed(digests(rows, key, text))).where("not kept").select(ROW)
+        return without(rows, checkpointed(dropped))
+
+    return filtered(docs, keep)
