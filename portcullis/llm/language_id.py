@@ -184,10 +184,10 @@ class Predictor:
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
     """labelled: rows to learn from. Their SAMPLE smallest hashes are taken to the driver."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    ids = sample(rows.select(F.col(key).alias("k")), "k", SAMPLE).distinct()
-    chosen = rows.join(F.broadcast(ids), F.col(key) == F.col("k"), "left_semi")
-    found = chosen.select(F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t"), F.col(label).alias("y")).limit(2 * SAMPLE).collect()
+    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null")
+    ids = sample(rows.select(F.col("key").alias("k")), "k", SAMPLE).distinct()
+    chosen = rows.join(F.broadcast(ids), F.col("key") == F.col("k"), "left_semi")
+    found = chosen.select(F.xxhash64(F.col("key").cast("string")).alias("h"), "t", "y").limit(2 * SAMPLE).collect()
     found.sort(key=lambda r: (r["h"], r["t"], r["y"]))
     return train([r["t"] for r in found], [r["y"] for r in found])
 

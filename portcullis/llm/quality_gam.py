@@ -202,8 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """labels: key and label of the rows to learn from."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and k is not null").distinct()
     chosen = sample(known, "k", SAMPLE)
-    rows = docs.join(F.broadcast(chosen.select("k").distinct()), F.col(key) == F.col("k"), "left_semi")
-    found = _featured(rows, key, text).join(F.broadcast(chosen), F.col("key") == F.col("k")).select("k", "y", "x").limit(2 * SAMPLE).collect()
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = own.join(F.broadcast(chosen.select("k").distinct()), F.col("key") == F.col("k"), "left_semi")
+    found = _featured(rows, "key", "text").join(F.broadcast(chosen), F.col("key") == F.col("k")).select("k", "y", "x").limit(2 * SAMPLE).collect()
     found.sort(key=lambda r: (r["k"], r["y"], r["x"]))
     x = np.array([r["x"] for r in found]).reshape(-1, len(FEATURES))
     return train(x, np.array([r["y"] for r in found], np.float64))
