@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portcullis.functions import paths
+from portcullis.functions.paths import EXTENSIONS
+
 
 def glob_pattern(glob: str) -> str:
     """An ignore-file pattern as a regular expression over paths relative to the pattern's folder.
@@ -87,14 +92,58 @@ def ignore_rules(root: str | os.PathLike) -> list[tuple[str, bool]]:
     return out
 
 
+def _known(name: str) -> bool:
+    stem, dot, ext = name.rpartition(".")
+    return name == "Rakefile" or bool(stem and dot) and ext.lower() in EXTENSIONS
+
+
+def _local_paths(root: Path, excludes: list[re.Pattern], rules: list[tuple[re.Pattern, bool]]) -> Iterator[str]:
+    """Relative paths of source files below a local folder; folders that are hidden, excluded or ignored as a whole aren't entered."""
+
+    def dropped(path: str) -> bool:
+        ignored = False
+        for p, keeps in rules:
+            if p.search(path):
+                ignored = not keeps
+        return ignored or any(p.search(path) for p in excludes)
+
+    unkept = not any(keeps for _, keeps in rules)  # a file in an ignored folder may be kept by a later rule
+    for at, folders, files in os.walk(root, followlinks=False):
+        prefix = Path(at).relative_to(root).as_posix()
+        prefix = "" if prefix == "." else prefix + "/"
+        folders[:] = sorted(d for d in folders if not d.startswith(".") and not (unkept and dropped(f"{prefix}{d}/x")))
+        for f in sorted(files):
+            if not f.startswith(".") and _known(f) and not dropped(prefix + f) and os.path.isfile(os.path.join(at, f)):
+                yield prefix + f
+
+
 def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules: list[tuple[str, bool]] = ()) -> DataFrame:
-    """SOURCE_FILES below root, a folder of any file system that Spark reads. Hidden files, excluded and ignored ones, and text that isn't
-    valid UTF-8 are left out; the path filters stand before the content is read."""
+    """SOURCE_FILES of known languages below root. Hidden, excluded and ignored files, and text that isn't valid UTF-8, are left out.
+
+    A local folder is listed by the driver, paths alone, and read by the workers, which must see it too. Any other file system is
+    read by Spark's own reader, with the path filters before the content; that reader passes over names that begin with ``_``."""
+    patterns = exclusion_patterns(list(excludes))
+    if os.path.isdir(root):
+        top = Path(root).resolve()
+        found = list(_local_paths(top, [re.compile(p) for p in patterns], [(re.compile(p), k) for p, k in rules]))
+        n = max(1, min(len(found), 8 * spark.sparkContext.defaultParallelism))
+        base = str(top)
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column("path").to_pylist():
+                    try:
+                        content = Path(base, path).read_bytes().decode()
+                    except (OSError, UnicodeDecodeError):
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content])], names=["path", "content"])
+
+        return spark.createDataFrame([(p,) for p in found], "path string").repartition(n, "path").mapInArrow(read, "path string, content string")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = re.escape(root.removeprefix("file://").rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:(//[^/]*)?", ""), f"^.*?{base}/", "")
-    kept = raw.select(path.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\."))
-    for p in exclusion_patterns(list(excludes)):
+    base = re.escape(re.sub("^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/"))
+    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), f"^.*?{base}/", "")
+    kept = raw.select(path.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\.") & paths.language(F.col("path")).isNotNull())
+    for p in patterns:
         kept = kept.where(~F.col("path").rlike(p))
     if rules:
         ignored = F.lit(False)

@@ -48,6 +48,15 @@ def test_a_tree_is_scanned_without_hidden_ignored_excluded_and_broken_files(spar
     assert (r["findings"], r["files"], r["enforcement_points"], r["externalized_pct"], r["n_middleware"]) == (4, 4, 1, 20, 1)
 
 
+def test_both_readers_find_the_same_files(spark, tree):
+    (tree / "src/__init__.py").write_text("has_role('a')\n")
+    rules_ = ignore_rules(tree)
+    local = {r["path"]: r["content"] for r in source_files(spark, str(tree), ["vendor/**"], rules_).collect()}
+    other = {r["path"]: r["content"] for r in source_files(spark, f"file://{tree}", ["vendor/**"], rules_).collect()}
+    assert local == other | {"src/__init__.py": "has_role('a')\n"}
+    assert set(other) == {"src/orders.ts", "src/util.py", "web/app.ts", "internal/authz/z.ts", "keep.gen.ts"}
+
+
 def test_filters_leave_enforcement_points_alone(spark, tree):
     s = scanned(spark, tree, least="high", categories=["rbac"], languages=["typescript"])
     assert {r["pattern_rule"] for r in s.findings.collect()} == {"ts-role-check-conditional", "ts-has-role-call"}
