@@ -8,35 +8,21 @@ ends with a character that isn't of a word (as ``$`` in PHP) never stands betwee
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS = r"(?U)[\w$]+"
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="portcullis-"))
-    return df.checkpoint()
+from portcullis.checkpoints import checkpointed
 
 
 def close(bindings: DataFrame, edges: DataFrame) -> DataFrame:
     """All bindings (scope, name) after the closure. Scopes without a first binding have none."""
     words = F.explode(F.array_distinct(F.regexp_extract_all("rhs", F.lit(r"(?U)\w+"), F.lit(0)))).alias("name")
-    known = _checkpointed(bindings.select("scope", "name").distinct())
-    uses = _checkpointed(edges.join(known.select("scope").distinct(), "scope", "left_semi").select("scope", "lhs", words).where("lhs <> name").distinct())
+    known = checkpointed(bindings.select("scope", "name").distinct())
+    uses = checkpointed(edges.join(known.select("scope").distinct(), "scope", "left_semi").select("scope", "lhs", words).where("lhs <> name").distinct())
     new = known
     while True:
         found = uses.join(new, ["scope", "name"]).select("scope", F.col("lhs").alias("name")).distinct()
-        new = _checkpointed(found.join(known, ["scope", "name"], "left_anti"))
+        new = checkpointed(found.join(known, ["scope", "name"], "left_anti"))
         if new.isEmpty():
             return known
-        known = _checkpointed(known.unionByName(new))
-
-
-def go_basename(path: str) -> str:
-    """The name that a Go import without an alias binds."""
-    return path.strip("\"`").rsplit("/", 1)[-1]
+        known = checkpointed(known.unionByName(new))

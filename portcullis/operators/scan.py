@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portcullis import model
+from portcullis.checkpoints import checkpointed
 from portcullis.functions import paths, text
 from portcullis.operators import bindings, findings
 from portcullis.rules.spec import Rule, RuleError
@@ -175,7 +176,7 @@ class Scan:
 
     def __init__(self, files: DataFrame, rules: list[Rule], least: str | None = None, categories: list[str] = (), languages: list[str] = (), excludes: list[str] = ()) -> None:
         spark = files.sparkSession
-        one = bindings._checkpointed(parsed(selected(files, languages, excludes), rules))
+        one = checkpointed(parsed(selected(files, languages, excludes), rules))
         scope = findings.scope(one)
         table = rules_table(spark, rules).select("rule_id", "category", "confidence", "description", "externalized")
         matches = one.select("file", "language", scope.alias("scope"), F.explode("matches").alias("m")).select("file", "language", "scope", "m.*").join(F.broadcast(table), "rule_id")
