@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from portcullis.checkpoints import checkpointed
+from portcullis.checkpoints import folder as checkpoint_folder
+
+__all__ = ["BROADCAST_KEYS", "ROW", "checkpoint_folder", "checkpointed", "filtered", "fold", "only", "sample", "table", "with_row", "without"]
+
 ROW = "__row"
 #: Most 64-bit keys that are broadcast to filter a table before a shuffle: some 32 MB. Beyond it the table is shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -22,22 +27,6 @@ def fold(key: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. Only where that setting is empty (tests, one machine) one of our own is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="portcullis-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and written to checkpoint_folder()."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """df if it has at most so many rows, else the ones with the smallest hashes of their key, at most so many.
 
@@ -49,9 +38,33 @@ def sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.withColumn("__h", hashed).where(F.col("__h") <= int((1 << 40) * min(1.0, 1.2 * most / n))).orderBy("__h", *df.columns).limit(most).drop("__h")
 
 
+#: Rows that a file may have, as bits; files that are numbered at most.
+FILE_BITS, FILES = 36, 1_000_000
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    """df is a file scan with nothing above it but projections and filters."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().apply(0)
+    return plan.nodeName().startswith("LogicalRelation")
+
+
 def with_row(df: DataFrame) -> DataFrame:
-    """Adds ROW, a number for each row. df must give the same rows in the same order when run again, as a Parquet scan does."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    """Adds ROW, a number for each row that is the same in every later run of the plan.
+
+    Of a Parquet scan it is the file's number and the row's place in it, whatever the splits, which may change with the number of
+    executors. Any other plan is written first, with running numbers."""
+    if _is_plain_scan(df):
+        try:
+            found = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index")).select("f").distinct().limit(FILES + 1).collect()
+        except AnalysisException:  # a format without row numbers, or a column called _metadata
+            found = None
+        if found is not None and len(found) <= FILES:
+            files = df.sparkSession.createDataFrame([(r["f"], i << FILE_BITS) for i, r in enumerate(sorted(found))], "__portcullis_file string, __portcullis_first long")
+            placed = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != ROW], F.col("_metadata.file_path").alias("__portcullis_file"), F.col("_metadata.row_index").alias("__portcullis_at"))
+            return placed.join(F.broadcast(files), "__portcullis_file").withColumn(ROW, F.col("__portcullis_first") + F.col("__portcullis_at")).drop("__portcullis_file", "__portcullis_first", "__portcullis_at")
+    return checkpointed(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def filtered(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:

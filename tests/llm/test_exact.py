@@ -45,3 +45,23 @@ def test_drop_copies_keeps_one_row_of_each_group_and_all_columns(spark, document
 def test_empty_table(spark, documents):
     assert X.exact_dedup(documents([])).collect() == []
     assert X.drop_copies(documents([])).collect() == []
+
+
+def test_row_numbers_hold_whatever_the_splits(spark, documents, tmp_path):
+    from portcullis.llm.common import ROW, with_row
+
+    docs = documents([(i, f"text {i} " + "x" * 500) for i in range(3000)])
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d")).drop("__row").where("doc_id % 7 <> 0")
+    rows = with_row(read)
+    first = {r["doc_id"]: r[ROW] for r in rows.select("doc_id", ROW).collect()}
+    assert len(set(first.values())) == len(first) == 2571
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert {r["doc_id"]: r[ROW] for r in rows.select("doc_id", ROW, "text").collect()} == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kept = X.drop_copies(spark.read.parquet(str(tmp_path / "d")))
+    assert kept.count() == 3000 and kept.columns == docs.columns
