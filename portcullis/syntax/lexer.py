@@ -116,7 +116,8 @@ def tokens(text: str, language: str) -> list[Token]:
             out.append(Token(NUMBER, m[0], i, end))
         elif kind == "regex":
             last = out[-1] if out else None
-            if last is None or last.kind in (OP, NEWLINE) and last.text not in (")", "]", "}") or last.text in _BEFORE_REGEX:
+            closes = last is not None and last.text == "<" and last.end == i  # </name> of markup in code
+            if not closes and (last is None or last.kind in (OP, NEWLINE) and last.text not in (")", "]", "}") or last.text in _BEFORE_REGEX):
                 out.append(Token(STRING, m[0], i, end, (i + 1, end - 1), "/"))
             else:
                 end = i + (2 if text.startswith("/=", i) else 1)

@@ -105,3 +105,9 @@ def test_render():
     c = {"role_value": '"admin"', "roles": '"a, b"'}
     assert render("{{role_value}} {{roles_set}} {{nope}}", c, "rego") == 'admin "a", "b" {{nope}}'
     assert render("[{{cedar_roles_set}}]", {"role_value": "'x,y'"}, "cedar") == '["x", "y"]'
+
+
+def test_markup_in_code():
+    s = 'const P = () => { return <div><b>x</b> {hasRole("a")} <i>y</i> {user.roles.includes("b")}</div>; };\nif (user.role === "c") { f(<A x={1}/>); }\nconst r = /hasRole("z")/;\n'
+    got = [(x["rule_id"], x["captures"]) for x in Matcher(rules.builtin()).matches(s, "typescript")]
+    assert sorted(dict(c)["role_value"] for _, c in got) == ['"a"', '"b"', '"c"']
