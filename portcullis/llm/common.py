@@ -18,7 +18,15 @@ ROW = "__row"
 BROADCAST_KEYS = 1_000_000
 
 
+#: Rows of an Arrow batch between the JVM and Python, at most; some megabytes of texts.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table. Batches of more than BATCH_ROWS rows are made smaller for the session, as both sides hold several at a time."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
