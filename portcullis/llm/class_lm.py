@@ -4,14 +4,15 @@ Tokens are the words of a text between ASCII white space (A-Z lower-cased), then
 
 1. Words are counted (combined in each task, then by a shuffle). N tokens, V distinct ones. Words with at least
    N / 2**HEAD_BITS occurrences are the head, at most 2**HEAD_BITS words whatever the input, and are broadcast.
-2. The CLUSTERED most frequent words, ENDINGS groups of all other words (by a hash of their last three bytes) and the
-   end token are the units. Bigrams of units are counted over all training tokens: a table of a fixed size at most,
-   combined in each task.
-3. Exchange clustering moves each unit to the class that most raises the likelihood of the class bigrams, until a
-   sweep moves none: words and groups have CLASSES classes each, so every word of the vocabulary, met or not, gets
-   its class from its unit. The end has a class of its own.
+2. Units are the head words, ENDINGS groups of all other words (by a hash of their last three bytes) and the end token.
+   Head words and groups have CLASSES classes each; the end has a class of its own.
+3. Exchange clustering starts with the SEEDS most frequent words and the groups, the other head words counted within
+   their groups: each moves to the class that most raises the likelihood of the class bigrams, until a sweep moves
+   none. Then the neighbours of every head word are counted and written, and in each of at most ROUNDS rounds all units
+   move at once to the class whose neighbours are most like theirs; a round that lowers the likelihood is undone and
+   the last. A rare word, met or not, has the class of its group.
 4. P(text) is the product over tokens of P(class | previous class) P(word | class). Transitions are smoothed by
-   ALPHA; a clustered word has its share of its class; another word with count c has
+   ALPHA; a head word has its share of its class; another word with count c has
    (c + 1) / (class tokens + distinct words of the class + 1), unseen words too.
 
 Every text is scored whole. Head words are looked up in the worker. The other words of a text, none of which can be
@@ -36,9 +37,13 @@ from pyspark.sql import functions as F
 
 from portcullis.llm.common import ROW, checkpointed, with_row
 
-HEAD_BITS, CLUSTERED, ENDINGS, CLASSES, SWEEPS, ALPHA = 20, 512, 512, 64, 8, 0.5
+HEAD_BITS, SEEDS, ENDINGS, CLASSES, SWEEPS, ROUNDS, ALPHA = 20, 512, 512, 64, 8, 3, 0.5
+#: Units before the groups: as many as there can be head words.
+CLUSTERED = 1 << HEAD_BITS
 #: Distinct words that a task counts before it passes them on, and texts that are scored at once.
 FLUSH, TEXTS = 1_000_000, 512
+#: Bigrams that a task combines before it passes them on.
+PAIRS = 4_000_000
 
 END = b""  # no word is empty
 
@@ -48,7 +53,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    """The unit of a word that isn't clustered."""
+    """The unit of a word that isn't in the head."""
     return CLUSTERED + zlib.crc32(word[-3:]) % ENDINGS
 
 
@@ -86,28 +91,179 @@ END_UNIT = CLUSTERED + ENDINGS
 N_UNITS = END_UNIT + 1
 
 
+#: Bits of a unit in a pair; a neighbour before the word has the bit above them set.
+UNIT_BITS = 21
+MASK = (1 << UNIT_BITS) - 1
+
+
+def small(units: np.ndarray, seeds: int) -> np.ndarray:
+    """Which units are seeds, groups or the end."""
+    return (units < seeds) | (units >= CLUSTERED)
+
+
+def small_number(units: np.ndarray) -> np.ndarray:
+    """Small units from 0: SEEDS seeds, ENDINGS groups, the end."""
+    return np.where(units < SEEDS, units, units - CLUSTERED + SEEDS)
+
+
+N_SMALL = SEEDS + ENDINGS + 1
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[np.ndarray]:
+    """The units of some texts at a time, with the end before, between and after them."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            flat = [END]
+            for t in b.column("text").slice(at, TEXTS):
+                flat += words(t.as_py())
+                flat.append(END)
+            yield np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
+
+
 def unit_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.ndarray:
-    """How often unit j follows unit i in docs; the end token also stands before each text. N_UNITS x N_UNITS."""
-    shared = docs.sparkSession.sparkContext.broadcast(head)
+    """How often small unit j follows small unit i in docs, other head words counted in their groups; the end token also
+    stands before each text. N_SMALL x N_SMALL."""
+    shared = docs.sparkSession.sparkContext.broadcast(head[:SEEDS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units({w: i if i < CLUSTERED else ending(w) for i, w in enumerate(shared.value)} | {END: END_UNIT})
-        total = np.zeros(N_UNITS * N_UNITS, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                flat = [END]
-                for t in b.column("text").slice(at, TEXTS):
-                    flat += words(t.as_py())
-                    flat.append(END)
-                u = np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
-                total += np.bincount(u[:-1] * N_UNITS + u[1:], minlength=len(total))
+        units = Units({w: i for i, w in enumerate(shared.value)} | {END: END_UNIT})
+        total = np.zeros(N_SMALL * N_SMALL, np.int64)
+        for u in _bigrams(batches, units):
+            u = small_number(u)
+            total += np.bincount(u[:-1] * N_SMALL + u[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(N_UNITS * N_UNITS)
+    return _summed(docs.select(F.col(text).alias("text")).mapInArrow(run, "pair int, n long"), N_SMALL * N_SMALL).reshape(N_SMALL, N_SMALL)
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    found = parts.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
     out[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
-    return out.reshape(N_UNITS, N_UNITS)
+    return out
+
+
+def neighbours(docs: DataFrame, head: list[bytes], text: str = "text") -> DataFrame:
+    """word (unit) and e, its neighbours with counts, as neighbour << 32 | count; one may come several times.
+
+    Head words beyond the seeds have all their neighbours. Small units, which can have very many, have those after them
+    that are small; the others are in the rows of the head words."""
+    shared, seeds = docs.sparkSession.sparkContext.broadcast(head), min(len(head), SEEDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = Units({w: i for i, w in enumerate(shared.value)} | {END: END_UNIT})
+        pairs, held = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            key, n = np.unique(np.concatenate(pairs), return_counts=True)
+            pairs.clear()
+            left, right = key >> UNIT_BITS, key & MASK
+            after, before = ~small(left, seeds) | small(right, seeds), ~small(right, seeds)
+            word = np.concatenate([left[after], right[before]])
+            entry = np.concatenate([right[after] << 32 | n[after], (left[before] | 1 << UNIT_BITS) << 32 | n[before]])
+            order = np.argsort(word, kind="stable")
+            word, entry = word[order], entry[order]
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            stops = np.append(starts[1:], len(word))
+            for at in range(0, len(starts), 20_000):
+                first, last = starts[at : at + 20_000], stops[at : at + 20_000]
+                offsets = np.append(first, last[-1]) - first[0]
+                e = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(entry[first[0] : last[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), e], names=["word", "e"])
+
+        for u in _bigrams(batches, units):
+            pairs.append(u[:-1] << UNIT_BITS | u[1:])
+            held += len(u)
+            if held >= PAIRS:
+                yield from out()
+                held = 0
+        if pairs:
+            yield from out()
+
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(run, "word int, e array<long>")
+    return checkpointed(parts.groupBy("word").agg(F.flatten(F.collect_list("e")).alias("e")))
+
+
+def _entries(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Row, word, neighbour, whether it stands before the word, and count, of all entries of a batch of neighbours."""
+    e = b.column("e")
+    row = np.repeat(np.arange(b.num_rows), e.value_lengths().to_numpy())
+    flat = e.flatten().to_numpy()
+    other = flat >> 32
+    return row, b.column("word").to_numpy()[row], other & MASK, other > MASK, flat & 0xFFFFFFFF
+
+
+def class_bigrams(found: DataFrame, of: np.ndarray, k: int, seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams of classes, and for each small unit the classes after it (first k columns) and before it."""
+    shared = found.sparkSession.sparkContext.broadcast(of.astype(np.int16))
+    size = k * k + N_SMALL * 2 * k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        total = np.zeros(size)
+        for b in batches:
+            _, word, other, before, n = _entries(b)
+            a, c, s = of[word].astype(np.int64), of[other].astype(np.int64), small(other, seeds)
+            near = k * k + small_number(other) * 2 * k + a
+            own = ~before & small(word, seeds)
+            for at, which in ((a * k + c, ~before), (c * k + a, before & s), (near, before & s), (near + k, ~before & s), (k * k + small_number(word) * 2 * k + c, own)):
+                total += np.bincount(at[which], n[which], size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
+
+    total = _summed(found.mapInArrow(run, "pair int, n long"), size)
+    return total[: k * k].reshape(k, k), total[k * k :].reshape(N_SMALL, 2 * k)
+
+
+def nearest(near: np.ndarray, cc: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The class from first to last whose neighbours are most like each row of near: classes after and before it."""
+    k = len(cc)
+    after, before = np.log(cc[first:last] + ALPHA), np.log(cc[:, first:last] + ALPHA)
+    after -= np.log(cc[first:last].sum(1, keepdims=True) + ALPHA * k)
+    before -= np.log(cc[:, first:last].sum(0) + ALPHA * k)
+    return first + (near[:, :k] @ after.T + near[:, k:] @ before).argmax(1)
+
+
+def reassigned(found: DataFrame, of: np.ndarray, cc: np.ndarray, seeds: int, n_classes: int) -> np.ndarray:
+    """of, with the nearest class of each head word that is no seed."""
+    shared, k = found.sparkSession.sparkContext.broadcast((of.astype(np.int16), cc)), len(cc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, cc = shared.value
+        for b in batches:
+            row, _, other, before, n = _entries(b)
+            near = np.bincount(row * 2 * k + before * k + of[other], n, b.num_rows * 2 * k).reshape(-1, 2 * k)
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(nearest(near, cc, 0, n_classes).astype(np.int16))], names=["word", "class"])
+
+    moved = found.where(F.col("word").between(seeds, CLUSTERED - 1)).mapInArrow(run, "word int, class short").toPandas()
+    out = of.copy()
+    out[moved["word"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
+    return out
+
+
+def likelihood(cc: np.ndarray) -> float:
+    """Of class bigrams, up to what doesn't depend on the classes."""
+    return float(_xlogx(cc).sum() - _xlogx(cc.sum(0)).sum() - _xlogx(cc.sum(1)).sum())
+
+
+def exchange_rounds(docs: DataFrame, head: list[bytes], of: np.ndarray, cc: np.ndarray, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Classes and class bigrams after rounds over all head words and groups, given those of the seeds and groups."""
+    seeds, k = min(len(head), SEEDS), len(cc)
+    q = min(seeds, CLASSES)
+    found = neighbours(docs, head, text)
+    of = reassigned(found, of, cc, seeds, q)
+    cc, near = class_bigrams(found, of, k, seeds)
+    groups = np.arange(CLUSTERED, END_UNIT)
+    for _ in range(ROUNDS - 1):
+        to = reassigned(found, of, cc, seeds, q)
+        to[:seeds] = nearest(near[:seeds], cc, 0, q)
+        to[groups] = nearest(near[SEEDS : SEEDS + ENDINGS], cc, q, k - 1)
+        new, near = class_bigrams(found, to, k, seeds)
+        if likelihood(new) <= likelihood(cc):
+            break
+        of, cc = to, new
+    return of, cc
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -166,6 +322,16 @@ def exchange(bigrams: np.ndarray, kinds: list[int], n_classes: int = CLASSES, sw
     return of
 
 
+class Transition:
+    """log10 P(class of unit j | class of unit i), as [i, j]."""
+
+    def __init__(self, table: np.ndarray, of: np.ndarray) -> None:
+        self.table, self.of = table, of.astype(np.int16)
+
+    def __getitem__(self, pair: tuple) -> np.ndarray:
+        return self.table[self.of[pair[0]], self.of[pair[1]]]
+
+
 @dataclass
 class Model:
     tokens: int  # N
@@ -175,7 +341,7 @@ class Model:
     unit: np.ndarray  # of head words
     base: np.ndarray  # log10 (c + 1) / (N + V + 1) of head words
     emission: np.ndarray  # log10 P(word | class) of head words
-    transition: np.ndarray  # log10 P(class of unit j | class of unit i)
+    transition: Transition
     log_room: np.ndarray  # log10 (class tokens + distinct words of the class + 1) of each unit that is a group, else 0
     end_base: float
 
@@ -194,31 +360,35 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     ends = next((r["n"] for r in rows if bytes(r["word"]) == END), 0) or sum(r["n"] for r in counts.where(F.col("word") == F.lit(END)).collect())
     pairs = sorted(((-r["n"], bytes(r["word"])) for r in rows if bytes(r["word"]) != END))
     head, n = [w for _, w in pairs], -np.array([c for c, _ in pairs], np.float64)
-    m = min(len(head), CLUSTERED)
+    m = min(len(head), SEEDS)
     bigrams = unit_bigrams(docs, head, text)
-    used = np.concatenate([np.arange(m), np.arange(CLUSTERED, N_UNITS)])
-    of = np.zeros(N_UNITS, np.int64)
-    of[used] = exchange(bigrams[np.ix_(used, used)], [m, ENDINGS, 1])
-    k = of.max() + 1
-    member = np.zeros((N_UNITS, k))
-    member[used, of[used]] = 1
+    used = np.concatenate([np.arange(m), np.arange(SEEDS, N_SMALL)])
+    found = np.zeros(N_SMALL, np.int64)
+    found[used] = exchange(bigrams[np.ix_(used, used)], [m, ENDINGS, 1])
+    k = found.max() + 1
+    member = np.zeros((N_SMALL, k))
+    member[used, found[used]] = 1
     cc = member.T @ bigrams @ member
+    unit = np.arange(len(head))
+    of = np.zeros(N_UNITS, np.int64)
+    of[:m], of[CLUSTERED:] = found[:m], found[SEEDS:]
+    of[m : len(head)] = of[[ending(w) for w in head[m:]]]
+    if len(head) > m:
+        of, cc = exchange_rounds(docs, head, of, cc, text)
     transition = np.log10((cc + ALPHA) / (cc.sum(1, keepdims=True) + ALPHA * k))
     class_tokens = cc.sum(0)
-    unit = np.array([i if i < CLUSTERED else ending(w) for i, w in enumerate(head)], np.int64)
     group = F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(ENDINGS)).alias("g")
     in_group = np.zeros(ENDINGS)
     for r in counts.where(F.col("word") != F.lit(END)).groupBy(group).count().collect():
         in_group[r["g"]] = r["count"]
-    np.subtract.at(in_group, [zlib.crc32(w[-3:]) % ENDINGS for w in head[:m]], 1)
+    np.subtract.at(in_group, [zlib.crc32(w[-3:]) % ENDINGS for w in head], 1)
     groups = np.arange(CLUSTERED, END_UNIT)
     distinct_of = np.bincount(of[groups], in_group, k)
     log_room = np.zeros(N_UNITS)
     log_room[groups] = np.log10(class_tokens[of[groups]] + distinct_of[of[groups]] + 1)
-    emission = np.log10(n + 1) - log_room[unit]
-    emission[:m] = np.log10(n[:m]) - np.log10(class_tokens[of[:m]])
+    emission = np.log10(n) - np.log10(class_tokens[of[unit]])
     log_all = np.log10(tokens + distinct + 1)
-    return Model(tokens, distinct, least, head, unit, np.log10(n + 1) - log_all, emission, transition[np.ix_(of, of)], log_room, float(np.log10(ends + 1) - log_all)), counts
+    return Model(tokens, distinct, least, head, unit, np.log10(n + 1) - log_all, emission, Transition(transition, of), log_room, float(np.log10(ends + 1) - log_all)), counts
 
 
 _OUT = "word binary, times int, n_tokens long, n_known long, base_score double, score double"

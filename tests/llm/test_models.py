@@ -142,6 +142,32 @@ def test_class_model_without_training_texts(spark, documents):
     assert len(rows) == len(ODD) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in rows)
 
 
+def test_words_of_one_ending_have_classes_by_their_neighbours(spark, documents):
+    """Beyond the seeds too: 700 words of either kind, all with one ending."""
+    docs = documents([(i, f"la a{i}xyz ra lb b{i}xyz rb " * 2) for i in range(700)])
+    model, counts = B.fit(docs)
+    at = {w: i for i, w in enumerate(model.head)}
+    of = [{int(model.transition.of[at[f"{c}{i}xyz".encode()]]) for i in range(700)} for c in "ab"]
+    assert of[0].isdisjoint(of[1])
+    score = {r["doc_id"]: r["score"] for r in B.score(documents([(1, "la a699xyz ra"), (2, "la b699xyz ra")]), model, counts).collect()}
+    assert score[1] > score[2] + 1
+
+
+@pytest.mark.parametrize("bits", [20, 8])
+def test_class_bigrams_cover_all_tokens(spark, documents, monkeypatch, bits):
+    monkeypatch.setattr(B, "HEAD_BITS", bits)
+    monkeypatch.setattr(B, "PAIRS", 1000)
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
+    model, _ = B.fit(documents(rows))
+    at = {w: i for i, w in enumerate(model.head)} | {b"": B.END_UNIT}
+    k = len(model.transition.table)
+    cc = np.zeros((k, k))
+    for _, text in rows:
+        units = [B.END_UNIT, *(at[w] if w in at else B.ending(w) for w in (text or "").encode().lower().split()), B.END_UNIT]
+        np.add.at(cc, (model.transition.of[units[:-1]], model.transition.of[units[1:]]), 1)
+    assert model.transition.table == pytest.approx(np.log10((cc + B.ALPHA) / (cc.sum(1, keepdims=True) + B.ALPHA * k)))
+
+
 # urls
 
 
