@@ -1,8 +1,11 @@
 """URL filters: rules, then host word segmentation and naive Bayes.
 
-1. Lexicon: words (a-z) of the pages' texts are counted over all pages; those with at least total / 2**LEXICON_BITS
-   occurrences, so at most 2**LEXICON_BITS, form a unigram model, together with the seed words.
-2. Every label of a host, and every run of letters of a path, is split into words by Viterbi under that model.
+1. Lexicon: words (a-z) of the pages' texts are counted over all pages and written. All of them form a unigram model,
+   together with the seed words. Those with more than total / 2**LEXICON_BITS occurrences, so at most 2**LEXICON_BITS,
+   and those of up to SHORT letters are broadcast; the others are found by a join with the parts of the URLs' names.
+2. Every label of a host, and every run of letters of a path (a name), is split into words by Viterbi under that model,
+   each distinct name once. Names with more than total / 2**NAME_BITS occurrences are broadcast with their words,
+   the others joined to the URLs that have them.
 3. Labelled URLs: a URL with a BLOCK seed among its host words is a block example, any other an allow example. The
    tokens of both classes are counted over all pages; tokens with at least total / 2**TOKEN_BITS occurrences are kept
    by name, others share one entry. Multinomial naive Bayes with those counts then scores all URLs, so words that stand
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import checkpointed
+from portcullis.llm.common import ROW, checkpointed, with_row
 
-LEXICON_BITS, TOKEN_BITS, LONGEST, FLUSH, KEPT, BIAS = 16, 16, 24, 500_000, 200_000, 2.0
+LEXICON_BITS, NAME_BITS, TOKEN_BITS, SHORT, LONGEST, FLUSH, KEPT, BIAS = 16, 16, 16, 3, 24, 500_000, 200_000, 2.0
 
 # The rules of the contract, as host/path and verdict.
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -75,28 +78,44 @@ class Rules:
         return best
 
 
+def runs(text: str) -> Iterator[str]:
+    """The runs of letters of a host or path, in lower case, and "0" for each number."""
+    for m in _RUN.findall(text):
+        if m[0].isdigit() and m.isascii():
+            yield "0"
+        elif m[0].isalpha() and m.isascii():
+            yield m.lower()
+
+
 class Segmenter:
     """Viterbi under a unigram model; words that it lacks cost more with each letter."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        self.total = total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) <= LONGEST}
         self.unknown = math.log(total)
         self.kept: dict[str, list[str]] = {}
 
-    def split(self, name: str) -> list[str]:
+    def split(self, name: str, more: dict[str, int] | None = None) -> list[str]:
+        """The words of a name. more: counts of words in it that the broadcast ones lack."""
+        if more:
+            return self._viterbi(name, {w: -math.log(n / self.total) for w, n in more.items()})
         if (out := self.kept.get(name)) is None:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            out = self.kept[name] = self._viterbi(name)
+            out = self.kept[name] = self._viterbi(name, {})
         return out
 
-    def _viterbi(self, name: str) -> list[str]:
+    def _viterbi(self, name: str, more: dict[str, float]) -> list[str]:
         n = len(name)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         for j in range(1, n + 1):
             for i in range(max(0, j - LONGEST), j):
-                c = best[i] + self.cost.get(name[i:j], self.unknown + 2.3 * (j - i))
+                part = name[i:j]
+                c = self.cost.get(part)
+                if c is None:
+                    c = more.get(part, self.unknown + 2.3 * (j - i))
+                c += best[i]
                 if c < best[j]:
                     best[j], back[j] = c, i
         out = []
@@ -105,21 +124,22 @@ class Segmenter:
             n = back[n]
         return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host as h:word and of the path as p:word; numbers are one token."""
-        out = []
-        for field, text in (("h:", host), ("p:", path)):
-            for m in _RUN.findall(text):
-                if m[0].isdigit() and m.isascii():
-                    out.append(field + "0")
-                elif m[0].isalpha() and m.isascii():
-                    out += [field + w for w in self.split(m.lower())]
-        return out
+
+def tokens_of(host: str, path: str, split: dict[str, list[str]]) -> list[str]:
+    """Words of the host as h:word and of the path as p:word; numbers are one token."""
+    return [field + w for field, text in (("h:", host), ("p:", path)) for name in runs(text) for w in (("0",) if name == "0" else split[name])]
+
+
+@dataclass
+class Lexicon:
+    words: dict[str, int]  # the broadcast ones
+    total: int  # occurrences of all words
+    others: DataFrame  # word and n of the other ones
 
 
 @dataclass
 class Model:
-    words: dict[str, int]
+    lexicon: Lexicon
     odds: dict[str, float]
     other: float
     prior: float
@@ -147,15 +167,93 @@ def _frequent(counts: DataFrame, key: str, bits: int) -> list:
     return counts.where(F.col("n") > (total >> bits)).orderBy(key).collect()
 
 
+def lexicon(pages: DataFrame) -> Lexicon:
+    counts = checkpointed(pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    given = [*BLOCK_SEEDS, *HOST_WORDS]
+    shared = (F.col("n") > (total >> LEXICON_BITS)) | (F.length("word") <= SHORT) | F.col("word").isin(given)
+    words = {r["word"]: r["n"] for r in counts.where(shared).collect()}
+    seed_count = max(1, total >> 12)  # as frequent as words in a few thousand
+    raised = {w: max(seed_count, words.get(w, 0)) for w in given}
+    total += sum(n - words.get(w, 0) for w, n in raised.items())
+    return Lexicon(words | raised, total, counts.where(~shared & (F.length("word") <= LONGEST)))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: Counter[str] = Counter()
+
+    def out() -> pa.RecordBatch:
+        b = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["name", "n"])
+        counts.clear()
+        return b
+
+    for b in batches:
+        for url in b.column("url"):
+            for text in split_url(url.as_py()):
+                counts.update(name for name in runs(text) if name != "0")
+        if len(counts) >= FLUSH:
+            yield out()
+    yield out()
+
+
+def split_names(pages: DataFrame, words: Lexicon) -> DataFrame:
+    """name, n and words of every distinct name of the URLs, written."""
+    names = checkpointed(pages.select("url").mapInArrow(_names, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")))
+    shared = pages.sparkSession.sparkContext.broadcast((words.words, words.total))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[0]
+        for b in batches:
+            found = [(x, p) for x in b.column("name").to_pylist() for p in {x[i:j] for i in range(len(x)) for j in range(i + SHORT + 1, min(i + LONGEST, len(x)) + 1)} if p not in known]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], names=["name", "word"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = Segmenter(*shared.value)
+        for b in batches:
+            more = [{m["word"]: m["n"] for m in x or ()} for x in b.column("more").to_pylist()]
+            cut = [segmenter.split(*x) for x in zip(b.column("name").to_pylist(), more, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("n"), pa.array(cut, pa.list_(pa.string()))], names=["name", "n", "words"])
+
+    inside = names.select("name").mapInArrow(parts, "name string, word string").join(words.others, "word")
+    inside = inside.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("more"))
+    return checkpointed(names.join(inside, "name", "left").mapInArrow(split, "name string, n long, words array<string>"))
+
+
+def with_words(source: DataFrame, words: Lexicon) -> tuple[DataFrame, dict[str, list[str]]]:
+    """source (url and other columns) with ROW and own, the words of each row's names that aren't in the broadcast ones,
+    and those; written."""
+    names = split_names(source, words)
+    total = names.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") > (total >> NAME_BITS)
+    common = {r["name"]: r["words"] for r in names.where(often).collect()}
+    shared = source.sparkSession.sparkContext.broadcast(frozenset(common))
+    rows = with_row(source)
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value | {"0"}
+        for b in batches:
+            found = [(r, x) for r, u in zip(b.column(ROW).to_pylist(), b.column("url").to_pylist(), strict=True) for x in {x for text in split_url(u) for x in runs(text)} - known]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=[ROW, "name"])
+
+    own = rows.select(ROW, "url").mapInArrow(rare, f"{ROW} long, name string").join(names.where(~often), "name")
+    own = own.groupBy(ROW).agg(F.collect_list(F.struct("name", "words")).alias("own"))
+    return checkpointed(rows.join(own, ROW, "left")), common
+
+
+def _tokens(b: pa.RecordBatch, common: dict[str, list[str]]) -> Iterator[tuple[str, str, list[str]]]:
+    """Host, path and tokens of each row of a batch that has url and own."""
+    for url, own in zip(b.column("url").to_pylist(), b.column("own").to_pylist(), strict=True):
+        host, path = split_url(url)
+        yield host, path, tokens_of(host, path, ChainMap({x["name"]: x["words"] for x in own}, common) if own else common)
+
+
 def fit(pages: DataFrame) -> Model:
-    found = checkpointed(pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    lexicon = {r["word"]: r["n"] for r in _frequent(found, "word", LEXICON_BITS)}
-    seed_count = max(1, sum(lexicon.values()) >> 12)  # as frequent as words in a few thousand
-    words = lexicon | {w: max(seed_count, lexicon.get(w, 0)) for w in (*BLOCK_SEEDS, *HOST_WORDS)}
-    shared = pages.sparkSession.sparkContext.broadcast(words)
+    words = lexicon(pages)
+    urls, common = with_words(pages.select("url"), words)
+    shared = pages.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, seeds = Segmenter(shared.value), {f"h:{w}" for w in BLOCK_SEEDS}
+        seeds = {f"h:{w}" for w in BLOCK_SEEDS}
         counts: Counter[tuple[str, bool]] = Counter()
 
         def out() -> pa.RecordBatch:
@@ -164,8 +262,7 @@ def fit(pages: DataFrame) -> Model:
             return b
 
         for b in batches:
-            for url in b.column("url"):
-                tokens = segmenter.tokens(*split_url(url.as_py()))
+            for _, _, tokens in _tokens(b, shared.value):
                 block = not seeds.isdisjoint(tokens)
                 counts.update((t, block) for t in tokens)
                 counts["", block] += 1
@@ -174,7 +271,7 @@ def fit(pages: DataFrame) -> Model:
         yield out()
 
     n_of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-    found = checkpointed(pages.select("url").mapInArrow(run, "token string, block boolean, n long").groupBy("token").agg(n_of(F.col("block")).alias("block"), n_of(~F.col("block")).alias("allow"), F.sum("n").alias("n")))
+    found = checkpointed(urls.select("url", "own").mapInArrow(run, "token string, block boolean, n long").groupBy("token").agg(n_of(F.col("block")).alias("block"), n_of(~F.col("block")).alias("allow"), F.sum("n").alias("n")))
     row = found.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("block"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("allow"))), F.lit(0))).first()
     kept = {r["token"]: (r["block"], r["allow"]) for r in _frequent(found, "token", TOKEN_BITS) if r["token"]}
     block, allow = row[0] - row[2], row[1] - row[3]
@@ -186,20 +283,18 @@ def fit(pages: DataFrame) -> Model:
 
 def filter_urls(pages: DataFrame, model: Model, rules: dict[str, str] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict, score (log odds of block) and tokens of every row of pages."""
-    source = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
-    shared = pages.sparkSession.sparkContext.broadcast((model, rules))
+    source, common = with_words(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), model.lexicon)
+    shared = pages.sparkSession.sparkContext.broadcast((common, model.odds, model.other, model.prior, rules))
     names = [key, "host", "path", "rule", "verdict", "score", "tokens"]
     kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, given = shared.value
-        segmenter, fits = Segmenter(m.words), Rules(given)
+        common, odds, other, prior, given = shared.value
+        fits = Rules(given)
         for b in batches:
             rows = []
-            for u in b.column("url"):
-                host, path = split_url(u.as_py())
-                tokens = segmenter.tokens(host, path)
-                score = m.prior + sum(m.odds.get(t, m.other) for t in tokens)
+            for host, path, tokens in _tokens(b, common):
+                score = prior + sum(odds.get(t, other) for t in tokens)
                 rule = fits.find(host, path)
                 rows.append((host, path, rule and rule[0], rule[1] if rule else "block" if score > BIAS else "allow", score, tokens))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)

@@ -208,3 +208,14 @@ def test_url_filter_blocks_seeded_and_neighbouring_names(spark):
     assert (rows[234]["rule"], rows[234]["verdict"]) == ("com/en/", "block")
     none = pages.limit(0)
     assert U.filter_urls(none, U.fit(none)).collect() == []
+
+
+@pytest.mark.parametrize("bits", [16, 4])
+def test_rare_words_of_the_pages_stay_whole(spark, monkeypatch, bits):
+    """A word of 100,000 is below the bound of the broadcast ones; with 4 bits most names take the way through the join."""
+    monkeypatch.setattr(U, "NAME_BITS", bits, raising=False)
+    common = "paper news offer cheap pills " * 400
+    rows = [(i, f"http://{'dietrich' if i == 3 else 'news'}.org/fr/{i}", f"<p>{common}{'dietrich' if i == 3 else ''}</p>") for i in range(50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["tokens"] for r in U.filter_urls(pages, U.fit(pages)).collect()}
+    assert {i: t[0] for i, t in got.items()} == {i: "h:dietrich" if i == 3 else "h:news" for i in range(50)}
