@@ -7,9 +7,10 @@
    each distinct name once. Names with more than total / 2**NAME_BITS occurrences are broadcast with their words,
    the others joined to the URLs that have them.
 3. Labelled URLs: a URL with a BLOCK seed among its host words is a block example, any other an allow example. The
-   tokens of both classes are counted over all pages; tokens with at least total / 2**TOKEN_BITS occurrences are kept
-   by name, others share one entry. Multinomial naive Bayes with those counts then scores all URLs, so words that stand
-   beside seeds count as well, in hosts without a seed too. BIAS is the log odds that a block needs.
+   tokens of both classes are counted over all pages and written. Tokens with more than total / 2**TOKEN_BITS
+   occurrences, and seeds, are broadcast; the other tokens of a URL are joined with their counts. Multinomial naive
+   Bayes with the counts of all tokens then scores all URLs, so words that stand beside seeds count as well, in hosts
+   without a seed too. BIAS is the log odds that a block needs.
 4. The longest rule that fits a URL, if any, overrides the method.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no tokens, and is judged by the prior alone;
@@ -141,8 +142,9 @@ class Lexicon:
 class Model:
     lexicon: Lexicon
     odds: dict[str, float]
-    other: float
+    other: float  # of tokens that no labelled URL has
     prior: float
+    others: DataFrame  # token and more, its odds above other, of tokens that aren't in odds
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +163,6 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _frequent(counts: DataFrame, key: str, bits: int) -> list:
-    """The rows of written counts whose n is above the total over 2**bits: at most 2**bits of them."""
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return counts.where(F.col("n") > (total >> bits)).orderBy(key).collect()
-
-
 def lexicon(pages: DataFrame) -> Lexicon:
     counts = checkpointed(pages.select("html").mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -273,20 +269,21 @@ def fit(pages: DataFrame) -> Model:
     n_of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     found = checkpointed(urls.select("url", "own").mapInArrow(run, "token string, block boolean, n long").groupBy("token").agg(n_of(F.col("block")).alias("block"), n_of(~F.col("block")).alias("allow"), F.sum("n").alias("n")))
     row = found.agg(F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("block"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("token") == "", F.col("allow"))), F.lit(0))).first()
-    kept = {r["token"]: (r["block"], r["allow"]) for r in _frequent(found, "token", TOKEN_BITS) if r["token"]}
+    total, size = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("token") != "", 1)) + 1).first()
+    shared = (F.col("n") > (total >> TOKEN_BITS)) | F.col("token").isin([f + w for w in BLOCK_SEEDS for f in ("h:", "p:")])
     block, allow = row[0] - row[2], row[1] - row[3]
-    size = len(kept) + 1
     odds = lambda b, a: math.log((b + 1) / (block + size)) - math.log((a + 1) / (allow + size))
-    rest = (block - sum(b for b, _ in kept.values()), allow - sum(a for _, a in kept.values()))
-    return Model(words, {t: odds(*c) for t, c in kept.items()}, odds(*rest), math.log(row[2] + 1) - math.log(row[3] + 1))
+    kept = {r["token"]: odds(r["block"], r["allow"]) for r in found.where(shared).orderBy("token").collect() if r["token"]}
+    others = found.where(~shared & (F.col("token") != "")).select("token", (F.log(F.col("block") + 1) - F.log(F.col("allow") + 1)).alias("more"))
+    return Model(words, kept, odds(0, 0), math.log(row[2] + 1) - math.log(row[3] + 1), others)
 
 
 def filter_urls(pages: DataFrame, model: Model, rules: dict[str, str] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict, score (log odds of block) and tokens of every row of pages."""
     source, common = with_words(pages.select(F.col(key).alias("key"), F.col(url).alias("url")), model.lexicon)
     shared = pages.sparkSession.sparkContext.broadcast((common, model.odds, model.other, model.prior, rules))
-    names = [key, "host", "path", "rule", "verdict", "score", "tokens"]
-    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string())]
+    names = [ROW, "key", "host", "path", "rule", "verdict", "score", "tokens", "rare"]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, odds, other, prior, given = shared.value
@@ -296,8 +293,13 @@ def filter_urls(pages: DataFrame, model: Model, rules: dict[str, str] = RULES, k
             for host, path, tokens in _tokens(b, common):
                 score = prior + sum(odds.get(t, other) for t in tokens)
                 rule = fits.find(host, path)
-                rows.append((host, path, rule and rule[0], rule[1] if rule else "block" if score > BIAS else "allow", score, tokens))
+                rows.append((host, path, *(rule or (None, None)), score, tokens, [t for t in tokens if t not in odds]))
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
-
-    return source.mapInArrow(run, f"{key} {source.schema['key'].dataType.simpleString()}, host string, path string, rule string, verdict string, score double, tokens array<string>")
+            yield pa.RecordBatch.from_arrays([b.column(ROW), b.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+
+    kind = source.schema["key"].dataType.simpleString()
+    scored = checkpointed(source.mapInArrow(run, f"{ROW} long, key {kind}, host string, path string, rule string, verdict string, score double, tokens array<string>, rare array<string>"))
+    more = scored.select(ROW, F.explode("rare").alias("token")).join(model.others, "token").groupBy(ROW).agg(F.sum("more").alias("more"))
+    score = F.col("score") + F.coalesce("more", F.lit(0.0))
+    verdict = F.coalesce("verdict", F.when(score > BIAS, "block").otherwise("allow"))
+    return scored.join(more, ROW, "left").select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"), score.alias("score"), "tokens")

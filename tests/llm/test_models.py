@@ -219,3 +219,21 @@ def test_rare_words_of_the_pages_stay_whole(spark, monkeypatch, bits):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["tokens"] for r in U.filter_urls(pages, U.fit(pages)).collect()}
     assert {i: t[0] for i, t in got.items()} == {i: "h:dietrich" if i == 3 else "h:news" for i in range(50)}
+
+
+@pytest.mark.parametrize("bits", [16, 6, 2])
+def test_rare_tokens_have_their_own_odds(spark, monkeypatch, bits):
+    """Scores are those of all tokens' exact counts, and a rare seed still blocks, whatever is broadcast."""
+    monkeypatch.setattr(U, "TOKEN_BITS", bits)
+    urls = [f"http://news{i % 7}.org/fr/paper" for i in range(400)] + ["http://casino.org/fr/offer", "http://casino.org/fr/offer", "http://malwareoffer.net/x", None]
+    pages = spark.createDataFrame([(i, u, "<p>news offer paper</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    rows = {r["page_id"]: r for r in U.filter_urls(pages, U.fit(pages)).collect()}
+    assert len(rows) == len(urls) and [rows[i]["verdict"] for i in (0, 400, 401, 402)] == ["allow", "block", "block", "block"]
+    seeds, n = {f"h:{w}" for w in U.BLOCK_SEEDS}, {True: Counter(), False: Counter()}
+    label = {i: not seeds.isdisjoint(r["tokens"]) for i, r in rows.items()}
+    for i, r in rows.items():
+        n[label[i]].update(r["tokens"])
+    size = len(n[True] | n[False]) + 1
+    odds = {t: math.log((n[True][t] + 1) / (n[True].total() + size)) - math.log((n[False][t] + 1) / (n[False].total() + size)) for t in n[True] | n[False]}
+    prior = math.log(sum(label.values()) + 1) - math.log(len(label) - sum(label.values()) + 1)
+    assert all(r["score"] == pytest.approx(prior + sum(odds[t] for t in r["tokens"])) for r in rows.values())
