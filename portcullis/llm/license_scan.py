@@ -7,7 +7,8 @@ state and the length of the longest match that ends there (matching statistics).
   itself and for its suffix links;
 - spans: maximal matches of MIN_MATCH words or more are put to their places in the templates and chained in order,
   over gaps of up to MAX_GAP words on either side; the words a chain covers give the template's coverage. Coverage of
-  MIN_COVER or more adds the template's label.
+  MIN_COVER or more adds the template's label, if the chain has a match that no template of another label holds: what
+  several licenses share doesn't tell which one it is.
 
 score is 1 where there is a base place, else the best coverage of a template: 0 to 1.
 
@@ -42,6 +43,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 
@@ -147,7 +156,7 @@ class Scanner:
     def scan(self, text: str | None) -> tuple:
         found = words(text)
         ids = list(map(self.automaton.vocabulary.get, found))
-        base, starts, matches, spans = set(), [], [], []
+        base, starts, matches, spans, told = set(), [], [], [], set()
         before = (-2, 0, 0)
         for place in self.automaton.statistics(ids):
             i, state, n = place
@@ -159,35 +168,41 @@ class Scanner:
                     starts.append(i - size + 1)
                 else:
                     spans.append((label, i - size + 1, i + 1, 1.0))
+                    told.add(label)
             if before[2] >= MIN_MATCH and (i != before[0] + 1 or n <= before[2]):
                 matches.append(before)
             before = place
         if before[2] >= MIN_MATCH:
             matches.append(before)
-        spans = sorted(spans + self._chains(matches))
-        labels = base | {label for label, _, _, cover in spans if cover >= MIN_COVER}
+        chains = self._chains(matches)
+        spans = sorted(spans + [span for span, _ in chains])
+        labels = base | told | {label for (label, _, _, cover), tells in chains if tells and cover >= MIN_COVER}
         score = 1.0 if base else min(1.0, max((c for *_, c in spans), default=0.0))
         return len(found), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
-    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, coverage) of the best chain of each template that has a match."""
+    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[tuple[str, int, int, float], bool]]:
+        """(label, first word, end, coverage) of the best chain of each template that has a match, and whether a match
+        of it is in templates of that label alone; such chains come first."""
         by_template = defaultdict(list)
         for i, state, n in matches:
-            for s, end in self.automaton.ends[state]:
-                if s < len(self.templates) and end >= n:
-                    by_template[s].append((i + 1 - n, i + 1, end - n, end))
+            places = [(s, end) for s, end in self.automaton.ends[state] if s < len(self.templates) and end >= n]
+            tells = len({self.templates[s][0] for s, _ in places}) == 1
+            for s, end in places:
+                by_template[s].append((i + 1 - n, i + 1, end - n, end, tells))
         out = []
         for s, places in by_template.items():
-            best, recent = (0, 0, 0), []  # recent: chains that may go on: (text end, template end, covered, text start)
-            for a, b, x, y in sorted(places):
+            best, recent = (False, 0, 0, 0), []  # recent: chains that may go on: (text end, template end, covered, text start, tells)
+            for a, b, x, y, tells in sorted(places):
                 recent = [r for r in recent if a - r[0] <= MAX_GAP]
-                ahead = max((r for r in recent if r[1] < y and x - r[1] <= MAX_GAP and r[0] < b), key=lambda r: r[2], default=None)
-                gain = min(b - a, b - ahead[0], y - ahead[1]) if ahead else b - a
-                chain = (b, y, gain + (ahead[2] if ahead else 0), ahead[3] if ahead else a)
-                recent.append(chain)
-                best = max(best, (chain[2], chain[3], b))
-            covered, a, b = best
-            out.append((self.templates[s][0], a, b, min(1.0, covered / len(self.templates[s][1]))))
+                may = [r for r in recent if r[1] < y and x - r[1] <= MAX_GAP and r[0] < b]
+                ahead = {max(may, key=lambda r: r[2]), max(may, key=lambda r: (r[4], r[2]))} if may else {None}
+                for r in ahead:
+                    gain = min(b - a, b - r[0], y - r[1]) if r else b - a
+                    chain = (b, y, gain + (r[2] if r else 0), r[3] if r else a, tells or bool(r and r[4]))
+                    recent.append(chain)
+                    best = max(best, (chain[4], chain[2], chain[3], b))
+            tells, covered, a, b = best
+            out.append(((self.templates[s][0], a, b, min(1.0, covered / len(self.templates[s][1]))), tells))
         return out
 
 

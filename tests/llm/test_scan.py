@@ -51,6 +51,15 @@ def test_edited_notices_are_still_labelled_and_scattered_words_are_not():
             assert SCANNER.scan(" ".join(shuffled))[6] < L.MIN_COVER or SCANNER.scan(" ".join(shuffled))[1]
 
 
+def test_variants_of_a_license_have_their_own_label_alone():
+    kinds = {"": "cc-by", "-NonCommercial": "cc-by-nc", "-ShareAlike": "cc-by-sa", "-NoDerivatives": "cc-by-nd", "-NonCommercial-ShareAlike": "cc-by-nc-sa", "-NonCommercial-NoDerivatives": "cc-by-nc-nd"}
+    for kind, label in kinds.items():
+        assert SCANNER.scan(f"See: This work is licensed under a Creative Commons Attribution{kind} 4.0 International License. End")[5] == label
+    for shared in ("", "-Unheard 4.0 International License", "-NonCommercial", "-NonCommercial-Unheard 4.0 International License"):
+        labels = SCANNER.scan(f"This work is licensed under a Creative Commons Attribution{shared}.")[5]
+        assert labels == "", (shared, labels)
+
+
 def test_odd_texts(spark, documents):
     rows = L.license_scan(documents([*ODD, (20, "MIT License, mit license")])).collect()
     assert len(rows) == len(ODD) + 1
