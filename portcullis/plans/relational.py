@@ -301,18 +301,18 @@ _CONTENT = f"SELECT seq, line_start, line_end, 300 AS n FROM ({D.FINDINGS}) t WH
 
 
 @query("context_window", W(f=_CONTENT) + ", c AS (SELECT seq, least(line_start, n) AS a, least(line_end, n) AS b, n FROM f) SELECT seq, greatest(a - 5, 1) AS line_start, least(greatest(b, a) + 15, n) AS line_end, 'l' || CAST(greatest(a - 5, 1) AS STRING) AS first, 'l' || CAST(least(greatest(b, a) + 15, n) AS STRING) AS last FROM c")
-def context_window(spark, sf):
+def context_window(spark, sf, content=_CONTENT):
     """The window around each range of a file of 300 lines, and its first and last line."""
-    content = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("l"), i)), "\n")
-    x = frame(spark, sf, _CONTENT).select("seq", text.context(content, F.col("line_start"), F.col("line_end"), 16_000).alias("x"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("l"), i)), "\n")
+    x = frame(spark, sf, content).select("seq", text.context(lines, F.col("line_start"), F.col("line_end"), 16_000).alias("x"))
     s = F.split("x.snippet", "\n")
     return x.select("seq", F.col("x.line_start"), F.col("x.line_end"), s[0].alias("first"), F.element_at(s, -1).alias("last"))
 
 
 @query("extract_lines", W(f=_CONTENT) + "SELECT seq, CASE WHEN line_start > n THEN NULL ELSE array_to_string(list_transform(range(line_start, greatest(least(line_end, n), line_start) + 1), lambda i: 'l' || i), chr(10)) END AS snippet FROM f")
-def extract_lines(spark, sf):
+def extract_lines(spark, sf, content=_CONTENT):
     every = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("l"), i))
-    return frame(spark, sf, _CONTENT).select("seq", text.line_range(every, F.col("line_start"), F.col("line_end")).alias("snippet"))
+    return frame(spark, sf, content).select("seq", text.line_range(every, F.col("line_start"), F.col("line_end")).alias("snippet"))
 
 
 _FENCED = f"SELECT seq, CASE seq % 4 WHEN 0 THEN concat('```json', chr(10), '{{', category, '}}', chr(10), '```  ') WHEN 1 THEN concat('  {{', category, '}} ') WHEN 2 THEN concat('```', chr(10), category) ELSE concat(category, ' ```') END AS s, category FROM ({D.FINDINGS}) t".replace("{{", "{").replace("}}", "}")

@@ -1,0 +1,26 @@
+"""Queries over every finding, where those of the same name without ``_all`` take some of them.
+
+The SQL is that of the smaller query with the whole table in place of its own."""
+
+from __future__ import annotations
+
+from portcullis.plans import derived as D
+from portcullis.plans import relational as R
+from portcullis.registry import ORACLES, QUERIES, query
+
+
+def whole(name: str, **tables: tuple[str, str]) -> None:
+    """Register a query as name_all. tables: argument -> the table it has by default and the one to take."""
+    sql = ORACLES[name]
+    for old, new in tables.values():
+        if f"({old})" not in sql:
+            raise ValueError(f"the SQL of {name} has another table")
+        sql = sql.replace(f"({old})", f"({new})")
+    run = QUERIES[name]
+    query(f"{name}_all", sql)(lambda spark, sf: run(spark, sf, **{k: new for k, (_, new) in tables.items()}))
+
+
+CONTENT = f"SELECT seq, line_start, line_end, 300 AS n FROM ({D.FINDINGS}) t"
+
+whole("context_window", content=(R._CONTENT, CONTENT))
+whole("extract_lines", content=(R._CONTENT, CONTENT))
