@@ -188,25 +188,25 @@ regions AS (SELECT file, min(s) AS line_start, max(e) AS line_end FROM i GROUP B
 
 
 @query("coalesce_windows", f"WITH {_WINDOWS} SELECT file, line_start, line_end FROM regions")
-def coalesce_windows(spark, sf):
-    return candidates.windows(frame(spark, sf, _HITS))
+def coalesce_windows(spark, sf, hits=_HITS):
+    return candidates.windows(frame(spark, sf, hits))
 
 
 _TAKEN = f"SELECT file, line_start, line_end FROM ({D.FINDINGS}) t WHERE seq % 23 = 0"
 
 
 @query("cold_anti_escalation", f"WITH {_WINDOWS}, taken AS ({_TAKEN}) SELECT file, line_start, line_end FROM regions r WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.file = r.file AND r.line_start <= t.line_end AND t.line_start <= r.line_end)")
-def cold_anti_escalation(spark, sf):
-    return candidates.clear_of(candidates.windows(frame(spark, sf, _HITS)), frame(spark, sf, _TAKEN))
+def cold_anti_escalation(spark, sf, hits=_HITS, taken=_TAKEN):
+    return candidates.clear_of(candidates.windows(frame(spark, sf, hits)), frame(spark, sf, taken))
 
 
 _AUTHZ = "(?i)(^|[/\\\\_.-])(authz|authn|authori[sz]ation|authorit[a-z0-9_]*|authenticat[a-z0-9_]*|rbac|abac|acl|iam|permissions?|roles?|policy|policies|guards?|access[_-]?control)([/\\\\_.-]|$)"
 
 
 @query("cold_priority_topk", f"WITH {_WINDOWS} SELECT file, line_start FROM regions ORDER BY regexp_matches(file, '{_AUTHZ}') DESC, string_split(file, '/'), line_start LIMIT 16")
-def cold_priority_topk(spark, sf):
+def cold_priority_topk(spark, sf, hits=_HITS):
     budget = candidates.cold_budget(50, 10)
-    return candidates.by_priority(candidates.windows(frame(spark, sf, _HITS)), budget).select("file", "line_start")
+    return candidates.by_priority(candidates.windows(frame(spark, sf, hits)), budget).select("file", "line_start")
 
 
 @query("escalations_topk", W(f=D.FINDINGS) + "SELECT seq FROM f WHERE confidence = 'low' OR (confidence = 'medium' AND category IN ('business_rule', 'custom', 'ownership')) ORDER BY string_split(file, '/'), line_start, seq LIMIT 50")
@@ -216,32 +216,32 @@ def escalations_topk(spark, sf):
 
 
 @query("clamp_semantic", W(s=D.SEMANTIC) + "SELECT seq, greatest(line_start, window_start) AS line_start, least(line_end, window_end) AS line_end FROM s WHERE line_start > 0 AND line_end >= line_start AND line_start <= window_end AND line_end >= window_start")
-def clamp_semantic(spark, sf):
-    return semantic.clamp(frame(spark, sf, D.SEMANTIC)).select("seq", "line_start", "line_end")
+def clamp_semantic(spark, sf, looks=D.SEMANTIC):
+    return semantic.clamp(frame(spark, sf, looks)).select("seq", "line_start", "line_end")
 
 
 @query("fp_anti", W(f=D.FINDINGS, s=D.SEMANTIC) + "SELECT seq FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE is_false_positive AND original_finding_id = CAST(f.seq AS STRING))")
-def fp_anti(spark, sf):
+def fp_anti(spark, sf, looks=D.SEMANTIC):
     f = frame(spark, sf, D.FINDINGS).withColumn("id", F.col("seq").cast("string"))
-    return semantic.without_rejected(f, frame(spark, sf, D.SEMANTIC)).select("seq")
+    return semantic.without_rejected(f, frame(spark, sf, looks)).select("seq")
 
 
 @query("running_cost_cut", W(s=D.SEMANTIC) + ", c AS (SELECT seq, CAST(round((input_tokens / 1000.0 * 3.0 + output_tokens / 1000.0 * 15.0) * 1000000) AS BIGINT) AS micro_usd FROM s), r AS (SELECT *, coalesce(sum(micro_usd) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT seq, micro_usd FROM r WHERE before <= 2000000000")
-def running_cost_cut(spark, sf):
-    return semantic.within_cost(frame(spark, sf, D.SEMANTIC), 3.0, 15.0, 2000.0, ("seq",)).select("seq", "micro_usd")
+def running_cost_cut(spark, sf, looks=D.SEMANTIC):
+    return semantic.within_cost(frame(spark, sf, looks), 3.0, 15.0, 2000.0, ("seq",)).select("seq", "micro_usd")
 
 
 @query("semantic_rule_id", W(s=D.SEMANTIC) + "SELECT seq, CASE WHEN seq % 2 = 0 AND line_start <= window_end AND window_start <= line_end THEN seed_rule || '-semantic' ELSE 'semantic-' || category END AS pattern_rule FROM s")
-def semantic_rule_id(spark, sf):
-    s = frame(spark, sf, D.SEMANTIC)
+def semantic_rule_id(spark, sf, looks=D.SEMANTIC):
+    s = frame(spark, sf, looks)
     seed = F.when(F.col("seq") % 2 == 0, F.col("seed_rule"))
     touch = semantic.ranges_touch(*(F.col(c) for c in ("line_start", "line_end", "window_start", "window_end")))
     return s.select("seq", semantic.semantic_rule(seed, touch, F.col("category")).alias("pattern_rule"))
 
 
 @query("overlap_fraction", W(s=D.SEMANTIC) + "SELECT seq, greatest(least(line_end, window_end) - greatest(line_start, window_start) + 1, 0)::DOUBLE / greatest(line_end - line_start + 1, window_end - window_start + 1) AS share FROM s")
-def overlap_fraction(spark, sf):
-    return frame(spark, sf, D.SEMANTIC).select("seq", semantic.overlap_share(*(F.col(c) for c in ("line_start", "line_end", "window_start", "window_end"))).alias("share"))
+def overlap_fraction(spark, sf, looks=D.SEMANTIC):
+    return frame(spark, sf, looks).select("seq", semantic.overlap_share(*(F.col(c) for c in ("line_start", "line_end", "window_start", "window_end"))).alias("share"))
 
 
 #: One finding and at most one second look in each slot of 12 lines, so the fold has one outcome in SQL too.

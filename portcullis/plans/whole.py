@@ -24,3 +24,19 @@ CONTENT = f"SELECT seq, line_start, line_end, 300 AS n FROM ({D.FINDINGS}) t"
 
 whole("context_window", content=(R._CONTENT, CONTENT))
 whole("extract_lines", content=(R._CONTENT, CONTENT))
+
+LOOKS = D.SEMANTIC.replace(" WHERE seq % 17 = 0", "")
+
+whole("clamp_semantic", looks=(D.SEMANTIC, LOOKS))
+whole("overlap_fraction", looks=(D.SEMANTIC, LOOKS))
+whole("semantic_rule_id", looks=(D.SEMANTIC, LOOKS))
+whole("fp_anti", looks=(D.SEMANTIC, LOOKS))
+whole("running_cost_cut", looks=(D.SEMANTIC, LOOKS))
+
+#: A hit of every finding and the range of every look, spread over lines instead of thinned out.
+HITS = f"SELECT file, 1 + (seq * 7919) % 100000 AS line FROM ({D.FINDINGS}) t"
+TAKEN = f"SELECT file, 1 + (seq * 104729) % 100000 AS line_start, 1 + (seq * 104729) % 100000 + seq % 6 AS line_end FROM ({D.FINDINGS}) t"
+
+whole("coalesce_windows", hits=(R._HITS, HITS))
+whole("cold_anti_escalation", hits=(R._HITS, HITS), taken=(R._TAKEN, TAKEN))
+whole("cold_priority_topk", hits=(R._HITS, HITS))
