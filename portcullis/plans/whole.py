@@ -4,6 +4,10 @@ The SQL is that of the smaller query with the whole table in place of its own.""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from portcullis.checkpoints import checkpointed
+from portcullis.operators import findings
 from portcullis.plans import derived as D
 from portcullis.plans import relational as R
 from portcullis.registry import ORACLES, QUERIES, query
@@ -40,3 +44,16 @@ TAKEN = f"SELECT file, 1 + (seq * 104729) % 100000 AS line_start, 1 + (seq * 104
 whole("coalesce_windows", hits=(R._HITS, HITS))
 whole("cold_anti_escalation", hits=(R._HITS, HITS), taken=(R._TAKEN, TAKEN))
 whole("cold_priority_topk", hits=(R._HITS, HITS))
+
+
+@query("findings_in_order_all", f"WITH f AS ({D.FINDINGS}) SELECT seq, row_number() OVER (ORDER BY string_split(file, '/'), line_start, seq) AS place FROM f")
+def findings_in_order_all(spark, sf):
+    """The place of every finding in a listing: its place in a range of the order, after the ranges before it."""
+    at = F.monotonically_increasing_id()
+    rows = checkpointed(findings.in_order(D.frame(spark, sf, D.FINDINGS), "seq").select("seq", F.spark_partition_id().alias("range"), at.alias("at")))
+    before, first = 0, []
+    for r in rows.groupBy("range").count().orderBy("range").collect():
+        first.append((r["range"], before - (r["range"] << 33) + 1))
+        before += r["count"]
+    shift = spark.createDataFrame(first, "range int, shift long")
+    return rows.join(F.broadcast(shift), "range").select("seq", (F.col("at") + F.col("shift")).alias("place"))
