@@ -6,12 +6,15 @@ what fits nowhere is passed over, so a file with errors still gives the trees of
 
 from __future__ import annotations
 
+import re
 import sys
 
 from portcullis.syntax.lexer import ID, NEWLINE, NUMBER, OP, STRING, SYMBOL, VARIABLE, Token, tokens
 from portcullis.syntax.tree import Node
 
 DEEPEST = 120
+_WORD = re.compile(r"(?:\\.|[^\s\\])+", re.S)
+_ESCAPE = re.compile(r"\\(?:u\{[0-9A-Fa-f]*\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|\r\n|.)", re.S)
 
 _LEVELS = [
     "= += -= *= /= %= := ??= ||= &&= |= &= ^= **= <<= >>=", "=> ->", "?", "|| ?? ?: or", "&& and", "|", "^", "&", "== != === !== <=> =~ !~ is is_not not_in in !in",
@@ -33,7 +36,8 @@ _C_WORDS = set(
 class Parser:
     language = ""
     words: set[str] = set()
-    string_kind, content_kind = "string", None
+    string_kind, content_kind, hole_kind = "string", None, "interpolation"
+    splits_escapes = True  # text before and after an escape are nodes of their own
     call_kind, arguments_kind, argument_kind = "call_expression", "arguments", None
     member_kind, object_field, member_field, member_name_kind = "member_expression", "object", "property", "property_identifier"
     binary_kind, operator_field = "binary_expression", "operator"
@@ -327,14 +331,62 @@ class Parser:
         return self.leaf("this" if t.text == "this" else self.identifier_kind, self.take())
 
     def string(self, t: Token) -> Node:
-        inner = []
-        if self.content_kind and t.inner[1] > t.inner[0]:
-            inner = [(None, Node(self.content_kind, *t.inner))]
-        return Node(self.string_kind_of(t), t.start, t.end, inner)
+        kind = self.string_kind_of(t)
+        return Node(kind, t.start, t.end, self.contents(t, self.content_kind_of(t, kind)))
 
     def string_kind_of(self, t: Token) -> str:
         return self.string_kind
 
+    def content_kind_of(self, t: Token, kind: str) -> str | None:
+        return self.content_kind
+
+    def contents(self, t: Token, content: str | None) -> list[tuple[str | None, Node]]:
+        """Pieces of text, and the code between them."""
+        a, b = t.inner
+        if t.parts is None:
+            return self.pieces(a, b, t, content) if content and b > a else []
+        out: list[tuple[str | None, Node]] = []
+        for start, end, toks in t.parts:
+            if content and start > a:
+                out += self.pieces(a, start, t, content)
+            inner = self.nested(toks)
+            out += [(None, Node(self.hole_kind, start, end, inner))] if self.hole_kind else inner
+            a = end
+        if content and b > a:
+            out += self.pieces(a, b, t, content)
+        return out
+
+    def pieces(self, a: int, b: int, t: Token, content: str) -> list[tuple[str | None, Node]]:
+        at = self.text.find("\\", a, b) if self.splits_escapes and self.escapes(t) else -1
+        if at < 0:
+            return [(None, Node(content, a, b))]
+        out = []
+        for m in _ESCAPE.finditer(self.text, a, b):
+            if m.start() > a:
+                out.append((None, Node(content, a, m.start())))
+            out.append((None, Node("escape_sequence", m.start(), min(b, m.end()))))
+            a = min(b, m.end())
+        return [*out, (None, Node(content, a, b))] if b > a else out
+
+    def escapes(self, t: Token) -> bool:
+        return True
+
+    def nested(self, toks: list[Token]) -> list[tuple[str | None, Node]]:
+        """The trees of code in a string."""
+        if self.depth >= DEEPEST or not toks:
+            return []
+        saved = self.tokens, self.n, self.at, self.pairs, self.no_braces
+        self.tokens, self.n, self.at, self.no_braces = toks, len(toks), 0, 0
+        self.pairs = self.brackets()
+        self.depth += 1
+        out: list[tuple[str | None, Node]] = []
+        while self.at < self.n:
+            out += self.statements(None)
+            self.at += 1
+        self.depth -= 1
+        self.tokens, self.n, self.at, self.pairs, self.no_braces = saved
+        return out
+
     def bracketed(self, kind: str, closed: str) -> Node:
         start = self.take().start
         saved, self.no_braces = self.no_braces, 0
@@ -489,10 +541,14 @@ class TypeScript(Parser):
     words = _C_WORDS - {"type", "get", "set", "init", "select", "map", "range", "go", "object", "data", "open", "when", "use", "record", "match", "module", "end", "begin", "print", "echo", "require", "include", "unless", "until", "then", "with", "self", "val", "fun", "func", "def", "params", "where", "ref", "out", "internal", "partial", "pass", "not", "and", "or", "is", "fn", "operator", "inline", "infix", "ensure", "raise", "global", "clone", "virtual", "override", "chan", "defer", "assert", "lambda", "from", "as", "of", "package", "struct", "trait", "using", "companion"}
     methods_before_braces = True
     method_kind, name_kind = "method_definition", "property_identifier"
+    content_kind, hole_kind = "string_fragment", "template_substitution"
 
     def string_kind_of(self, t: Token) -> str:
         return {"`": "template_string", "/": "regex"}.get(t.mark, "string")
 
+    def content_kind_of(self, t: Token, kind: str) -> str | None:
+        return None if kind == "regex" else self.content_kind
+
     def statement(self, before: Node | None) -> Node | None:
         if self.text_at() == "@" and self.kind_at(1) == ID:
             return self.decorator()
@@ -556,6 +612,9 @@ class Java(Parser):
     def string_kind_of(self, t: Token) -> str:
         return "character_literal" if t.mark == "'" else "string_literal"
 
+    def content_kind_of(self, t: Token, kind: str) -> str | None:
+        return None if t.mark == "'" else "multiline_string_fragment" if t.mark == '"""' else "string_fragment"
+
     def statement(self, before: Node | None) -> Node | None:
         if self.text_at() == "@" and self.kind_at(1) == ID and self.text_at(1) != "interface":
             return self.annotation()
@@ -566,7 +625,9 @@ class Java(Parser):
 
     def scoped(self, first: Token, last: Token, kind: str = "scoped_identifier") -> Node:
         """a.b.c as nested nodes, or an identifier."""
-        at = next(i for i, t in enumerate(self.tokens) if t.start >= first.start)
+        at = self.at - 1
+        while self.tokens[at] is not first:
+            at -= 1
         node = self.leaf("identifier", self.tokens[at])
         while self.tokens[at].start < last.start:
             at += 2
@@ -702,7 +763,15 @@ class CSharp(Java):
     word_operators = {"is", "as", "in"}
 
     def string_kind_of(self, t: Token) -> str:
-        return {"'": "character_literal", '$"': "interpolated_string_expression", '$@"': "interpolated_string_expression", '@$"': "interpolated_string_expression"}.get(t.mark, "string_literal")
+        if t.mark[0] == "$" or t.mark == '@$"':
+            return "interpolated_string_expression"
+        return {"'": "character_literal", '@"': "verbatim_string_literal", '"""': "raw_string_literal"}.get(t.mark, "string_literal")
+
+    def content_kind_of(self, t: Token, kind: str) -> str | None:
+        return {"string_literal": "string_literal_content", "interpolated_string_expression": "string_content", "raw_string_literal": "raw_string_content"}.get(kind)
+
+    def escapes(self, t: Token) -> bool:
+        return t.mark in ('"', '$"')
 
     def statement(self, before: Node | None) -> Node | None:
         if self.text_at() == "[" and before is None:
@@ -771,8 +840,10 @@ class Go(Parser):
 
     def string(self, t: Token) -> Node:
         kind = {"`": "raw_string_literal", '"': "interpreted_string_literal"}.get(t.mark, "rune_literal")
-        inner = [(None, Node(f"{kind}_content", *t.inner))] if t.inner[1] > t.inner[0] else []
-        return Node(kind, t.start, t.end, inner)
+        return Node(kind, t.start, t.end, [] if kind == "rune_literal" else self.contents(t, f"{kind}_content"))
+
+    def escapes(self, t: Token) -> bool:
+        return t.mark == '"'
 
     def word_if(self) -> Node:
         start = self.take().start
@@ -847,6 +918,12 @@ class Kotlin(Parser):
     member_ops = {".", "?.", "::"}
     word_operators = {"in", "is", "as"}
 
+    def string_kind_of(self, t: Token) -> str:
+        return {"'": "character_literal", '"""': "multiline_string_literal"}.get(t.mark, "string_literal")
+
+    def escapes(self, t: Token) -> bool:
+        return t.mark != '"""'
+
     def allowed(self, op: str) -> bool:
         return op != "?"
 
@@ -924,6 +1001,15 @@ class Php(Parser):
     word_operators = {"instanceof", "and", "or"}
     named_arguments = True
 
+    hole_kind = ""  # code in a string is a child of the string
+
+    def string(self, t: Token) -> Node:
+        if t.mark == "<<<'":
+            return Node("nowdoc", t.start, t.end, [(None, Node("nowdoc_body", *t.inner))])
+        if t.mark == "<<<":
+            return Node("heredoc", t.start, t.end, [("value", Node("heredoc_body", *t.inner, self.contents(t, "string_content")))])
+        return super().string(t)
+
     def string_kind_of(self, t: Token) -> str:
         return "string" if t.mark == "'" else "encapsed_string"
 
@@ -1066,9 +1152,12 @@ class Php(Parser):
 class Python(Parser):
     language = "python"
     words = {"if", "elif", "else", "for", "while", "return", "yield", "try", "except", "finally", "raise", "with", "as", "class", "def", "lambda", "import", "from", "in", "is", "not", "and", "or", "assert", "del", "global", "nonlocal", "pass", "break", "continue", "async", "await", "match_"}
-    content_kind = "string_content"
+    content_kind, splits_escapes = "string_content", False
     call_kind, arguments_kind = "call", "argument_list"
     member_kind, member_field, member_name_kind = "attribute", "attribute", "identifier"
+
+    def nested(self, toks: list[Token]) -> list[tuple[str | None, Node]]:
+        return super().nested([t for t in toks if t.kind != NEWLINE])
     member_ops = {"."}
     word_operators: set[str] = set()
     binary_kind = "binary_operator"
@@ -1223,8 +1312,20 @@ class Ruby(Parser):
     def is_prefix(self, t: Token) -> bool:
         return t.text in ("!", "-", "+", "~", "*", "&", "**", "not")
 
+    def string(self, t: Token) -> Node:
+        if t.mark == "<<":
+            return Node("heredoc_beginning", t.start, t.end, [(None, Node("heredoc_body", *t.inner, self.contents(t, "heredoc_content")))])
+        if t.mark in ("%w", "%i"):
+            words = [(None, Node("bare_string" if t.mark == "%w" else "bare_symbol", m.start(), m.end(), [(None, Node("string_content", m.start(), m.end()))])) for m in _WORD.finditer(self.text, *t.inner)]
+            code = [(None, Node("interpolation", a, b, self.nested(toks))) for a, b, toks in t.parts or ()]
+            return Node("string_array" if t.mark == "%w" else "symbol_array", t.start, t.end, words + code)
+        return super().string(t)
+
     def string_kind_of(self, t: Token) -> str:
-        return {"`": "subshell", "/": "regex"}.get(t.mark, "string")
+        return {"`": "subshell", "%x": "subshell", "/": "regex", "%r": "regex", "%s": "simple_symbol"}.get(t.mark, "string")
+
+    def content_kind_of(self, t: Token, kind: str) -> str | None:
+        return None if kind == "simple_symbol" else self.content_kind
 
     def primary(self) -> Node | None:
         t = self.peek()
@@ -1372,6 +1473,4 @@ def parse(text: str, language: str) -> Node:
     """The tree of a source text. Past DEEPEST levels of nesting, inner parts are passed over."""
     if sys.getrecursionlimit() < 5000:
         sys.setrecursionlimit(5000)  # DEEPEST levels take some ten calls each
-    if language == "php" and (at := text.find("<?php")) >= 0:
-        text = " " * (at + 5) + text[at + 5 :]
     return PARSERS[language](text).parse()
