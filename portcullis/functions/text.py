@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(text: Column) -> Column:
     """Lines without their ends; the empty piece after a last end is no line."""
     parts = F.split(text, "\r?\n")
@@ -125,26 +131,33 @@ TRUNCATED = "\n// [truncated: max_prompt_chars]"
 
 def context(content: Column, line_start: Column, line_end: Column, max_chars: int) -> Column:
     """struct(line_start, line_end, snippet, imports): the lines around a range, within a budget of bytes."""
-    every = lines(content)
-    n = F.size(every)
-    a = F.least(F.greatest(line_start, F.lit(1)), n)
-    b = F.least(F.greatest(line_end, a), n)
-    first, last = F.greatest(a - LINES_BEFORE, F.lit(1)), F.least(b + LINES_AFTER, n)
-    imports = bounded_imports(every, max_chars)
-    left = F.greatest(F.lit(max_chars) - F.aggregate(imports, F.lit(0), lambda s, x: s + F.octet_length(x) + 1), F.lit(0))
-    whole = F.array_join(F.slice(every, first.cast("int"), (last - first + 1).cast("int")), "\n")
-    marked = left >= len(TRUNCATED)
-    room = F.when(marked, left - len(TRUNCATED)).otherwise(left)
-    # a prefix of whole characters that fits: count characters while their bytes do
-    fits = F.aggregate(
-        F.split(whole, ""), F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")),
-        lambda s, c: F.struct((s["bytes"] + F.octet_length(c)).alias("bytes"), F.when(s["bytes"] + F.octet_length(c) <= room, s["chars"] + 1).otherwise(s["chars"]).alias("chars")),
-    )["chars"]
-    cut = F.concat(whole.substr(F.lit(1), fits), F.when(marked, TRUNCATED).otherwise(""))
-    snippet = F.when(F.octet_length(whole) <= room, whole).otherwise(cut)
     none = F.array().cast("array<string>")
     empty = F.struct(F.lit(1).cast("bigint").alias("line_start"), F.lit(1).cast("bigint").alias("line_end"), F.lit("").alias("snippet"), none.alias("imports"))
-    return F.when(n == 0, empty).otherwise(F.struct(first.cast("bigint").alias("line_start"), last.cast("bigint").alias("line_end"), snippet.alias("snippet"), imports.alias("imports")))
+
+    def around(every: Column) -> Column:
+        n = F.size(every)
+        a = F.least(F.greatest(line_start, F.lit(1)), n)
+        b = F.least(F.greatest(line_end, a), n)
+        first, last = F.greatest(a - LINES_BEFORE, F.lit(1)), F.least(b + LINES_AFTER, n)
+        whole = F.array_join(F.slice(every, first.cast("int"), (last - first + 1).cast("int")), "\n")
+        parts = let(F.struct(first.cast("bigint").alias("a"), last.cast("bigint").alias("b"), whole.alias("whole"), bounded_imports(every, max_chars).alias("imports")), within)
+        return F.when(n == 0, empty).otherwise(parts)
+
+    def within(x: Column) -> Column:
+        left = F.greatest(F.lit(max_chars) - F.aggregate(x["imports"], F.lit(0), lambda s, i: s + F.octet_length(i) + 1), F.lit(0))
+        return let(left, lambda room: F.struct(x["a"].alias("line_start"), x["b"].alias("line_end"), cut(x["whole"], room).alias("snippet"), x["imports"].alias("imports")))
+
+    def cut(whole: Column, left: Column) -> Column:
+        marked = left >= len(TRUNCATED)
+        room = F.when(marked, left - len(TRUNCATED)).otherwise(left)
+        # a prefix of whole characters that fits: count characters while their bytes do
+        fits = F.aggregate(
+            F.split(whole, ""), F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")),
+            lambda s, c: F.struct((s["bytes"] + F.octet_length(c)).alias("bytes"), F.when(s["bytes"] + F.octet_length(c) <= room, s["chars"] + 1).otherwise(s["chars"]).alias("chars")),
+        )["chars"]
+        return F.when(F.octet_length(whole) <= room, whole).otherwise(F.concat(whole.substr(F.lit(1), fits), F.when(marked, TRUNCATED).otherwise("")))
+
+    return let(lines(content), around)
 
 
 def line_range(all_lines: Column, start: Column, end: Column) -> Column:

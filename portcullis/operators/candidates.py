@@ -46,10 +46,14 @@ def windows(hits: DataFrame) -> DataFrame:
 
 
 def clear_of(regions: DataFrame, taken: DataFrame) -> DataFrame:
-    """Regions that share no line with a taken range of their file."""
-    t = taken.select(F.col("file").alias("f"), F.col("line_start").alias("s"), F.col("line_end").alias("e"))
-    touch = (F.col("file") == F.col("f")) & (F.col("line_start") <= F.col("e")) & (F.col("s") <= F.col("line_end"))
-    return regions.join(t, touch, "left_anti")
+    """Regions that share no line with a taken range of their file.
+
+    A region is free if no range that begins before the region's end ends after its start: one pass over a file's ranges by their
+    starts and regions by their ends, with the largest end so far."""
+    ranges = taken.where("line_start <= line_end").select("file", F.col("line_start").alias("__at"), F.lit(0).alias("__region"), F.col("line_end").alias("__end"))
+    both = regions.withColumns({"__at": F.col("line_end"), "__region": F.lit(1)}).unionByName(ranges, allowMissingColumns=True)
+    last = F.max("__end").over(Window.partitionBy("file").orderBy("__at", "__region").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("__last", last).where((F.col("__region") == 1) & (F.col("__last").isNull() | (F.col("__last") < F.col("line_start")))).select(*regions.columns)
 
 
 def by_priority(regions: DataFrame, budget: int) -> DataFrame:

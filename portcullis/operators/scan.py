@@ -196,18 +196,35 @@ class Scan:
         return findings.summary(self.findings, self.enforcement_points)
 
 
+#: Grammar variants by language: a rule for TypeScript is tried as TSX too.
+VARIANTS = {"typescript": ("typescript", "tsx")}
+
+
+def variants(files: DataFrame) -> DataFrame:
+    """language, is_tsx: the distinct grammars that files (path) ask for."""
+    known = files.select(paths.language(F.col("path")).alias("language"), (paths.extension(F.col("path")) == "tsx").alias("is_tsx"))
+    return known.where(F.col("language").isNotNull()).distinct()
+
+
+def listed(table: DataFrame, language: str | None = None, categories: list[str] = ()) -> DataFrame:
+    """Rules (as rules_table gives them) of a language and of categories, where given."""
+    out = table.where(F.array_contains("languages", language)) if language else table
+    return findings.in_categories(out, list(categories))
+
+
 def test_rules(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    """A row for each embedded test: rule_id, test, language, expected, found, passed."""
-    rows = [(i, r.id, t, x.language or r.languages[0], x.input, x.expect_match) for i, r in enumerate(rules) for t, x in enumerate(r.tests)]
-    tests = spark.createDataFrame(rows, "rule_ord int, rule_id string, test int, language string, input string, expected boolean")
+    """A row for each embedded test in each grammar variant: rule_id, test, language, variant, expected, found, passed."""
+    rows = [(i, r.id, t, language, v, x.input, x.expect_match) for i, r in enumerate(rules) for t, x in enumerate(r.tests) for language in [x.language or r.languages[0]] for v in VARIANTS.get(language, (language,))]
+    tests = spark.createDataFrame(rows, "rule_ord int, rule_id string, test int, language string, variant string, input string, expected boolean")
     given = tuple(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [bool(Matcher([given[i]]).matches(source, language)) for i, source, language in zip(b.column("rule_ord").to_pylist(), b.column("input").to_pylist(), b.column("language").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("rule_id"), b.column("test"), b.column("language"), b.column("expected"), pa.array(found)], names=["rule_id", "test", "language", "expected", "found"])
+            names = ["rule_id", "test", "language", "variant", "expected"]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, pa.bool_())], names=[*names, "found"])
 
-    return tests.mapInArrow(run, "rule_id string, test int, language string, expected boolean, found boolean").withColumn("passed", F.col("expected") == F.col("found"))
+    return tests.mapInArrow(run, "rule_id string, test int, language string, variant string, expected boolean, found boolean").withColumn("passed", F.col("expected") == F.col("found"))
 
 
 def validate_rules(rules: list[Rule]) -> dict[str, str]:

@@ -72,17 +72,39 @@ def as_findings(semantic: DataFrame, findings: DataFrame, files: DataFrame) -> D
 
 
 def fold(entries: list[dict], arrivals: list[dict]) -> list[dict]:
-    """Each arrival takes the place of the first entry that it covers by half or more with no less confidence, else it is added."""
-    out = list(entries)
+    """Each arrival takes the place of the first entry that it covers by half or more with no less confidence, else it is added.
+
+    Ranges of which one covers half of the other are at most twice as long, so entries are kept by the power of two of their length
+    and by their place in steps of that; an arrival looks at three powers and the few steps around it."""
+    out: list[dict] = []
+    near: dict[tuple[int, int], set[int]] = {}
+
+    def keys(e: dict) -> tuple[int, int]:
+        power = (e["line_end"] - e["line_start"] + 1).bit_length()
+        return power, e["line_start"] >> power
+
+    def put(e: dict, i: int) -> None:
+        near.setdefault(keys(e), set()).add(i)
+
+    def covers(s: dict, e: dict) -> bool:
+        common = min(e["line_end"], s["line_end"]) - max(e["line_start"], s["line_start"]) + 1
+        longest = max(e["line_end"] - e["line_start"], s["line_end"] - s["line_start"]) + 1
+        return common > 0 and 2 * common >= longest and model.CONFIDENCES.index(s["confidence"]) >= model.CONFIDENCES.index(e["confidence"])
+
+    for e in entries:
+        put(e, len(out))
+        out.append(e)
     for s in arrivals:
-        for i, e in enumerate(out):
-            common = min(e["line_end"], s["line_end"]) - max(e["line_start"], s["line_start"]) + 1
-            longest = max(e["line_end"] - e["line_start"], s["line_end"] - s["line_start"]) + 1
-            if common > 0 and 2 * common >= longest and model.CONFIDENCES.index(s["confidence"]) >= model.CONFIDENCES.index(e["confidence"]):
-                out[i] = s
-                break
-        else:
+        power = keys(s)[0]
+        around = (i for p in (power - 1, power, power + 1) if p >= 0 for step in range((s["line_start"] >> p) - 1, (s["line_end"] >> p) + 1) for i in near.get((p, step), ()))
+        at = min((i for i in around if covers(s, out[i])), default=None)
+        if at is None:
+            put(s, len(out))
             out.append(s)
+        else:
+            near[keys(out[at])].discard(at)
+            out[at] = s
+            put(s, at)
     return out
 
 

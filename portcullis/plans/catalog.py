@@ -6,7 +6,7 @@ import importlib
 
 FLAGSHIP = "scan_summary"
 
-MODULES = ("portcullis.plans.relational", "portcullis.plans.scans", "portcullis.plans.pipelines", "portcullis.plans.whole")
+MODULES = ("portcullis.plans.relational", "portcullis.plans.scans", "portcullis.plans.pipelines", "portcullis.plans.rule_scans")
 
 
 def load() -> None:

@@ -26,24 +26,24 @@ FROM events
 REPEATED = f"SELECT concat(file, '#', CAST(line_start % 9 AS STRING)) AS id, * FROM ({FINDINGS}) t"
 
 BINDINGS = f"""
-SELECT DISTINCT file AS scope, CASE seq % 4 WHEN 0 THEN 'enforcer' WHEN 1 THEN 'gate' WHEN 2 THEN 'guard' ELSE 'post' END AS name
-FROM ({FINDINGS}) t WHERE seq % 13 = 0
+SELECT DISTINCT file AS scope, CASE seq % 52 WHEN 0 THEN 'enforcer' WHEN 1 THEN 'gate' WHEN 2 THEN 'guard' WHEN 3 THEN 'post' ELSE concat('name', CAST(seq % 52 AS STRING)) END AS name
+FROM ({FINDINGS}) t
 """
 
 #: Assignments n0 -> n1 -> ... within scopes, with cycles, and names without a seed.
 EDGES = """
-SELECT DISTINCT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST((event_id * 7) % 23 AS STRING)) AS lhs,
-  concat('make(n', CAST((event_id * 5) % 23 AS STRING), ', n', CAST((event_id * 11) % 23 AS STRING), ')') AS rhs
-FROM events WHERE event_id % 9 = 0
+SELECT DISTINCT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST((event_id * 7) % 997 AS STRING)) AS lhs,
+  concat('make(n', CAST((event_id * 5) % 997 AS STRING), ', n', CAST((event_id * 11) % 997 AS STRING), ')') AS rhs
+FROM events
 """
-SEEDS = "SELECT DISTINCT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST(event_id % 23 AS STRING)) AS name FROM events WHERE event_id % 301 = 0"
+SEEDS = "SELECT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST((min(event_id) * 5) % 997 AS STRING)) AS name FROM events GROUP BY 1"
 
 #: Second looks at ranges near those of the findings.
 SEMANTIC = f"""
 SELECT seq, file, line_start + seq % 4 - 1 AS line_start, line_end + seq % 5 - 2 AS line_end, line_start - 2 AS window_start, line_start + 3 AS window_end,
   category, CASE seq % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'low' END AS confidence, seq % 10 = 0 AS is_false_positive, CAST(seq AS STRING) AS original_finding_id,
   pattern_rule AS seed_rule, 100 + (seq * 13) % 9000 AS input_tokens, (seq * 7) % 1200 AS output_tokens
-FROM ({FINDINGS}) t WHERE seq % 17 = 0
+FROM ({FINDINGS}) t
 """
 
 PATHS = """

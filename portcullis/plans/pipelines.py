@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portcullis import model, rules
+from portcullis import rules
+from portcullis.checkpoints import checkpointed
 from portcullis.deep import prompt
 from portcullis.functions import policy_check, text
 from portcullis.operators import candidates, findings, policies, scan
@@ -90,21 +91,14 @@ def scan_policy_files(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("file", "finding_count", checked("content").alias("valid"))
 
 
-@query("merge_rules", "SELECT 109 AS n, 1 AS changed")
-def merge_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """A rule of the same id takes the old one's place, a new one is added."""
-    base = rules.builtin()
-    from dataclasses import replace
-
-    merged = rules.merge(base, [replace(base[0], description="own"), replace(base[1], id="own-rule")])
-    t = scan.rules_table(spark, merged)
-    return t.agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("description") == "own").cast("int").alias("changed"))
-
-
-@query("findings_in_order", W(f=D.FINDINGS) + "SELECT seq, row_number() OVER (ORDER BY string_split(file, '/'), line_start, seq) AS place FROM f ORDER BY place LIMIT 100")
+@query("findings_in_order", W(f=D.FINDINGS) + "SELECT seq, row_number() OVER (ORDER BY string_split(file, '/'), line_start, seq) AS place FROM f")
 def findings_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    """The first hundred findings of a listing."""
-    from pyspark.sql import Window
-
-    first = findings.in_order(frame(spark, sf, D.FINDINGS), "seq").limit(100)
-    return first.select("seq", F.row_number().over(Window.orderBy(model.path_order(F.col("file")), "line_start", "seq")).alias("place"))
+    """The place of every finding in a listing: its place in a range of the order, after the ranges before it."""
+    at = F.monotonically_increasing_id()
+    rows = checkpointed(findings.in_order(frame(spark, sf, D.FINDINGS), "seq").select("seq", F.spark_partition_id().alias("range"), at.alias("at")))
+    before, first = 0, []
+    for r in rows.groupBy("range").count().orderBy("range").collect():
+        first.append((r["range"], before - (r["range"] << 33) + 1))
+        before += r["count"]
+    shift = spark.createDataFrame(first, "range int, shift long")
+    return rows.join(F.broadcast(shift), "range").select("seq", (F.col("at") + F.col("shift")).alias("place"))

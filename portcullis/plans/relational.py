@@ -180,7 +180,8 @@ def go_package_bindings(spark, sf):
     return g.join(own, "package", "left").select("file", F.coalesce("names", F.lit("")).alias("names"))
 
 
-_HITS = f"SELECT file, line_start AS line FROM ({D.FINDINGS}) t WHERE seq % 5 = 0"
+#: A hit of every finding, and below a taken range of every finding, spread over the lines of long files.
+_HITS = f"SELECT file, 1 + (seq * 7919) % 100000 AS line FROM ({D.FINDINGS}) t"
 _WINDOWS = f"""hits AS (SELECT DISTINCT * FROM ({_HITS}) t), w AS (SELECT file, greatest(line - 5, 1) AS s, line + 15 AS e FROM hits),
 m AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w),
 i AS (SELECT *, sum(CASE WHEN before + 1 >= s THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m),
@@ -188,25 +189,25 @@ regions AS (SELECT file, min(s) AS line_start, max(e) AS line_end FROM i GROUP B
 
 
 @query("coalesce_windows", f"WITH {_WINDOWS} SELECT file, line_start, line_end FROM regions")
-def coalesce_windows(spark, sf, hits=_HITS):
-    return candidates.windows(frame(spark, sf, hits))
+def coalesce_windows(spark, sf):
+    return candidates.windows(frame(spark, sf, _HITS))
 
 
-_TAKEN = f"SELECT file, line_start, line_end FROM ({D.FINDINGS}) t WHERE seq % 23 = 0"
+_TAKEN = f"SELECT file, 1 + (seq * 104729) % 100000 AS line_start, 1 + (seq * 104729) % 100000 + seq % 6 AS line_end FROM ({D.FINDINGS}) t"
 
 
 @query("cold_anti_escalation", f"WITH {_WINDOWS}, taken AS ({_TAKEN}) SELECT file, line_start, line_end FROM regions r WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.file = r.file AND r.line_start <= t.line_end AND t.line_start <= r.line_end)")
-def cold_anti_escalation(spark, sf, hits=_HITS, taken=_TAKEN):
-    return candidates.clear_of(candidates.windows(frame(spark, sf, hits)), frame(spark, sf, taken))
+def cold_anti_escalation(spark, sf):
+    return candidates.clear_of(candidates.windows(frame(spark, sf, _HITS)), frame(spark, sf, _TAKEN))
 
 
 _AUTHZ = "(?i)(^|[/\\\\_.-])(authz|authn|authori[sz]ation|authorit[a-z0-9_]*|authenticat[a-z0-9_]*|rbac|abac|acl|iam|permissions?|roles?|policy|policies|guards?|access[_-]?control)([/\\\\_.-]|$)"
 
 
 @query("cold_priority_topk", f"WITH {_WINDOWS} SELECT file, line_start FROM regions ORDER BY regexp_matches(file, '{_AUTHZ}') DESC, string_split(file, '/'), line_start LIMIT 16")
-def cold_priority_topk(spark, sf, hits=_HITS):
+def cold_priority_topk(spark, sf):
     budget = candidates.cold_budget(50, 10)
-    return candidates.by_priority(candidates.windows(frame(spark, sf, hits)), budget).select("file", "line_start")
+    return candidates.by_priority(candidates.windows(frame(spark, sf, _HITS)), budget).select("file", "line_start")
 
 
 @query("escalations_topk", W(f=D.FINDINGS) + "SELECT seq FROM f WHERE confidence = 'low' OR (confidence = 'medium' AND category IN ('business_rule', 'custom', 'ownership')) ORDER BY string_split(file, '/'), line_start, seq LIMIT 50")
@@ -216,38 +217,37 @@ def escalations_topk(spark, sf):
 
 
 @query("clamp_semantic", W(s=D.SEMANTIC) + "SELECT seq, greatest(line_start, window_start) AS line_start, least(line_end, window_end) AS line_end FROM s WHERE line_start > 0 AND line_end >= line_start AND line_start <= window_end AND line_end >= window_start")
-def clamp_semantic(spark, sf, looks=D.SEMANTIC):
-    return semantic.clamp(frame(spark, sf, looks)).select("seq", "line_start", "line_end")
+def clamp_semantic(spark, sf):
+    return semantic.clamp(frame(spark, sf, D.SEMANTIC)).select("seq", "line_start", "line_end")
 
 
 @query("fp_anti", W(f=D.FINDINGS, s=D.SEMANTIC) + "SELECT seq FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE is_false_positive AND original_finding_id = CAST(f.seq AS STRING))")
-def fp_anti(spark, sf, looks=D.SEMANTIC):
+def fp_anti(spark, sf):
     f = frame(spark, sf, D.FINDINGS).withColumn("id", F.col("seq").cast("string"))
-    return semantic.without_rejected(f, frame(spark, sf, looks)).select("seq")
+    return semantic.without_rejected(f, frame(spark, sf, D.SEMANTIC)).select("seq")
 
 
 @query("running_cost_cut", W(s=D.SEMANTIC) + ", c AS (SELECT seq, CAST(round((input_tokens / 1000.0 * 3.0 + output_tokens / 1000.0 * 15.0) * 1000000) AS BIGINT) AS micro_usd FROM s), r AS (SELECT *, coalesce(sum(micro_usd) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT seq, micro_usd FROM r WHERE before <= 2000000000")
-def running_cost_cut(spark, sf, looks=D.SEMANTIC):
-    return semantic.within_cost(frame(spark, sf, looks), 3.0, 15.0, 2000.0, ("seq",)).select("seq", "micro_usd")
+def running_cost_cut(spark, sf):
+    return semantic.within_cost(frame(spark, sf, D.SEMANTIC), 3.0, 15.0, 2000.0, ("seq",)).select("seq", "micro_usd")
 
 
 @query("semantic_rule_id", W(s=D.SEMANTIC) + "SELECT seq, CASE WHEN seq % 2 = 0 AND line_start <= window_end AND window_start <= line_end THEN seed_rule || '-semantic' ELSE 'semantic-' || category END AS pattern_rule FROM s")
-def semantic_rule_id(spark, sf, looks=D.SEMANTIC):
-    s = frame(spark, sf, looks)
+def semantic_rule_id(spark, sf):
+    s = frame(spark, sf, D.SEMANTIC)
     seed = F.when(F.col("seq") % 2 == 0, F.col("seed_rule"))
     touch = semantic.ranges_touch(*(F.col(c) for c in ("line_start", "line_end", "window_start", "window_end")))
     return s.select("seq", semantic.semantic_rule(seed, touch, F.col("category")).alias("pattern_rule"))
 
 
 @query("overlap_fraction", W(s=D.SEMANTIC) + "SELECT seq, greatest(least(line_end, window_end) - greatest(line_start, window_start) + 1, 0)::DOUBLE / greatest(line_end - line_start + 1, window_end - window_start + 1) AS share FROM s")
-def overlap_fraction(spark, sf, looks=D.SEMANTIC):
-    return frame(spark, sf, looks).select("seq", semantic.overlap_share(*(F.col(c) for c in ("line_start", "line_end", "window_start", "window_end"))).alias("share"))
+def overlap_fraction(spark, sf):
+    return frame(spark, sf, D.SEMANTIC).select("seq", semantic.overlap_share(*(F.col(c) for c in ("line_start", "line_end", "window_start", "window_end"))).alias("share"))
 
 
-#: One finding and at most one second look in each slot of 12 lines, so the fold has one outcome in SQL too.
-_SLOTS = f"SELECT concat(file, '@', CAST(min(seq) % 7 AS STRING)) AS file, CAST(min(seq) AS STRING) AS id, 12 * (min(seq) % 97) + 1 AS line_start, 12 * (min(seq) % 97) + 1 + min(seq) % 8 AS line_end, min(confidence) AS confidence FROM ({D.FINDINGS}) t GROUP BY file, seq % 31"
-_S1 = f"SELECT file, line_start, max(id) AS id, max(line_end) AS line_end, max(confidence) AS confidence FROM ({_SLOTS}) t GROUP BY file, line_start"
-_LOOKS = f"SELECT file, line_start + length(id) % 3 AS line_start, concat('s', id) AS id, line_start + length(id) % 3 + (line_start + length(id)) % 7 AS line_end, CASE (line_start + length(id)) % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM ({_S1}) t WHERE line_start % 5 < 3"
+#: Each finding, and at most one second look at it, in a slot of 12 lines of its own, so the fold has one outcome in SQL too.
+_S1 = f"SELECT file, CAST(seq AS STRING) AS id, 12 * seq + 1 AS line_start, 12 * seq + 1 + seq % 8 AS line_end, confidence, seq FROM ({D.FINDINGS}) t"
+_LOOKS = f"SELECT file, line_start + seq % 3 AS line_start, concat('s', id) AS id, line_start + seq % 3 + (seq * 5) % 7 AS line_end, CASE (seq * 11) % 13 % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence FROM ({_S1}) t"
 _RANK = lambda c: f"CASE {c} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 
@@ -297,22 +297,22 @@ def import_budget(spark, sf):
     return files.select("file", F.size(text.bounded_imports(F.col("x"), 1000)).cast("bigint").alias("n"))
 
 
-_CONTENT = f"SELECT seq, line_start, line_end, 300 AS n FROM ({D.FINDINGS}) t WHERE seq % 11 = 0"
+_CONTENT = f"SELECT seq, line_start, line_end, 300 AS n FROM ({D.FINDINGS}) t"
 
 
 @query("context_window", W(f=_CONTENT) + ", c AS (SELECT seq, least(line_start, n) AS a, least(line_end, n) AS b, n FROM f) SELECT seq, greatest(a - 5, 1) AS line_start, least(greatest(b, a) + 15, n) AS line_end, 'l' || CAST(greatest(a - 5, 1) AS STRING) AS first, 'l' || CAST(least(greatest(b, a) + 15, n) AS STRING) AS last FROM c")
-def context_window(spark, sf, content=_CONTENT):
+def context_window(spark, sf):
     """The window around each range of a file of 300 lines, and its first and last line."""
     lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("l"), i)), "\n")
-    x = frame(spark, sf, content).select("seq", text.context(lines, F.col("line_start"), F.col("line_end"), 16_000).alias("x"))
+    x = frame(spark, sf, _CONTENT).select("seq", text.context(lines, F.col("line_start"), F.col("line_end"), 16_000).alias("x"))
     s = F.split("x.snippet", "\n")
     return x.select("seq", F.col("x.line_start"), F.col("x.line_end"), s[0].alias("first"), F.element_at(s, -1).alias("last"))
 
 
 @query("extract_lines", W(f=_CONTENT) + "SELECT seq, CASE WHEN line_start > n THEN NULL ELSE array_to_string(list_transform(range(line_start, greatest(least(line_end, n), line_start) + 1), lambda i: 'l' || i), chr(10)) END AS snippet FROM f")
-def extract_lines(spark, sf, content=_CONTENT):
+def extract_lines(spark, sf):
     every = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("l"), i))
-    return frame(spark, sf, content).select("seq", text.line_range(every, F.col("line_start"), F.col("line_end")).alias("snippet"))
+    return frame(spark, sf, _CONTENT).select("seq", text.line_range(every, F.col("line_start"), F.col("line_end")).alias("snippet"))
 
 
 _FENCED = f"SELECT seq, CASE seq % 4 WHEN 0 THEN concat('```json', chr(10), '{{', category, '}}', chr(10), '```  ') WHEN 1 THEN concat('  {{', category, '}} ') WHEN 2 THEN concat('```', chr(10), category) ELSE concat(category, ' ```') END AS s, category FROM ({D.FINDINGS}) t".replace("{{", "{").replace("}}", "}")
@@ -323,43 +323,67 @@ def fence_strip(spark, sf):
     return frame(spark, sf, _FENCED).select("seq", text.strip_fence(F.col("s")).alias("body"))
 
 
-_POLICY = f"SELECT CAST(seq AS STRING) AS id, * FROM ({D.FINDINGS}) t WHERE category IN ('ownership', 'middleware') AND confidence = 'high' AND seq % 3 = 2"
+#: Every finding with a policy text of its own; a third of the texts set a default.
+_POLICY = f"SELECT CAST(seq AS STRING) AS id, t.* FROM ({D.FINDINGS}) t"
 
 
-@query(
-    "policy_files_by_path",
-    W(f=_POLICY)
-    + """, n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_start, line_end, id) AS n FROM f),
-b AS (SELECT file, n, '# [' || n || '] ' || file || ':' || line_start || ' | ' || CASE category WHEN 'ownership' THEN 'Ownership' ELSE 'Middleware' END || ' | high' || chr(10) || '# Original: ' || trim(code_snippet) || chr(10)
-  || CASE WHEN n = 1 THEN 'default allow := false' || chr(10) ELSE '' END || chr(10) || 'allow if {' || chr(10) || CASE category WHEN 'ownership' THEN '    input.resource.owner == input.user.id' ELSE '    input.request.authenticated == true' END || chr(10) || '}' AS block FROM n)
-SELECT file, count(*) AS finding_count, sha256('# Generated by portcullis' || chr(10) || '# Source: ' || file || chr(10) || '# Findings: ' || count(*) || chr(10) || chr(10) || 'package app.'
-  || replace(replace(regexp_replace(regexp_replace(file, '\\.[a-z]+$', ''), '^(src|lib)/', ''), '/', '.'), '-', '_')
-  || chr(10) || chr(10) || 'import rego.v1' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n) || chr(10)) AS content_sha256 FROM b GROUP BY file""",
-)
+def _policy_files(engine: str) -> str:
+    mark, default = {"rego": "#", "cedar": "//"}[engine], "default allow := false"
+    dropped = "has AND NOT first" if engine == "rego" else "false"
+    name = "replace(replace(regexp_replace(regexp_replace(file, '\\.[a-z]+$', ''), '^(src|lib)/', ''), '/', '.'), '-', '_')"
+    package = f" || 'package app.' || {name} || chr(10) || chr(10) || 'import rego.v1' || chr(10) || chr(10)" if engine == "rego" else ""
+    shown = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in model.CATEGORIES.items())
+    return (
+        W(f=_POLICY)
+        + f""", n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line_start, line_end, id) AS n, seq % 3 = 0 AS d, seq % 3 = 0 AND confidence <> 'low' AS has FROM f),
+g AS (SELECT *, has AND row_number() OVER (PARTITION BY file, has ORDER BY n) = 1 AS first FROM n),
+t AS (SELECT *, CASE WHEN d AND NOT ({dropped}) THEN CASE WHEN confidence = 'low' THEN '{mark} ' ELSE '' END || '{default}' || chr(10) ELSE '' END || CASE WHEN confidence = 'low' THEN '{mark} ' ELSE '' END || 'allow if {{ input.x == "' || category || '" }}' AS body FROM g),
+b AS (SELECT file, n, '{mark} [' || n || '] ' || file || ':' || line_start || ' | ' || CASE category {shown} END || ' | ' || confidence || chr(10) || '{mark} Original: ' || trim(code_snippet) || chr(10)
+  || CASE confidence WHEN 'high' THEN '' WHEN 'medium' THEN '{mark} TODO: verify this policy' || chr(10) ELSE '{mark} SUGGESTION: review and uncomment if correct' || chr(10) END || body AS block FROM t)
+SELECT file, count(*) AS finding_count, sha256('{mark} Generated by portcullis' || chr(10) || '{mark} Source: ' || file || chr(10) || '{mark} Findings: ' || count(*) || chr(10) || chr(10){package}
+  || string_agg(block, chr(10) || chr(10) ORDER BY n) || chr(10)) AS content_sha256 FROM b GROUP BY file"""
+    )
+
+
+def _files(spark, sf, engine):
+    content = F.concat(F.when(F.col("seq") % 3 == 0, "default allow := false\n").otherwise(""), F.lit('allow if { input.x == "'), F.col("category"), F.lit('" }'))
+    f = frame(spark, sf, _POLICY).withColumn("policy_outputs", F.array(F.struct(F.lit(engine).alias("engine"), content.alias("content"))))
+    return policies.policy_files(f, engine, "out", "app").select("file", "finding_count", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("policy_files_by_path", _policy_files("rego"))
 def policy_files_by_path(spark, sf):
-    f = frame(spark, sf, _POLICY).withColumn("policy_outputs", F.array().cast(model.POLICY_OUTPUTS))
-    out = policies.policy_files(f, "rego", "out", "app")
-    return out.select("file", "finding_count", F.sha2("content", 256).alias("content_sha256"))
+    return _files(spark, sf, "rego")
+
+
+@query("policy_files_cedar", _policy_files("cedar"))
+def policy_files_cedar(spark, sf):
+    return _files(spark, sf, "cedar")
+
+
+_NOTE = lambda mark, lines: "CASE category WHEN 'business_rule' THEN '{m} TODO: business rule — review and implement manually' WHEN 'route' THEN '{m} TODO: route declaration with no inline auth check — add a policy or confirm intentionally public' ELSE '{m} TODO: custom authorization pattern — review and implement manually' END || ".replace("{m}", mark) + " || ".join(f"chr(10) || '{mark} {x}'" for x in lines)
+_FIRST = "CASE seq % 7 WHEN 0 THEN 'admin' WHEN 1 THEN 'orders:read' WHEN 2 THEN 'edit' WHEN 4 THEN 'owner' ELSE 'TODO' END"
+_ABAC = lambda mark, who: f"'{mark} TODO: verify attribute check' || chr(10) || '    {who}.' || {_FIRST} || ' == \"' || CASE seq % 7 WHEN 4 THEN 'staff' ELSE 'TODO' END || '\"'"
 
 
-@query("default_stub_cedar", W(f=D.FINDINGS) + """SELECT seq, 'permit (' || chr(10) || '    principal,' || chr(10) || '    action,' || chr(10) || '    resource' || chr(10) || ')' || chr(10) || 'when {' || chr(10) || '    '
- || CASE WHEN category = 'ownership' THEN 'resource.owner == principal' WHEN category = 'middleware' THEN 'context.authenticated == true'
+@query("default_stub_cedar", W(f=D.FINDINGS) + f"""SELECT seq, CASE WHEN category IN ('business_rule', 'route', 'custom') THEN {_NOTE('//', ['permit (', '    principal,', '    action,', '    resource', ')', 'when {', '    ...', '};'])} ELSE
+ 'permit (' || chr(10) || '    principal,' || chr(10) || '    action,' || chr(10) || '    resource' || chr(10) || ')' || chr(10) || 'when {{' || chr(10) || '    '
+ || CASE WHEN category = 'ownership' THEN 'resource.owner == principal' WHEN category = 'middleware' THEN 'context.authenticated == true' WHEN category = 'abac' THEN {_ABAC('//', 'principal')}
   WHEN seq % 7 = 1 AND category = 'rbac' THEN '"orders:read" in principal.permissions' WHEN seq % 7 = 4 THEN CASE category WHEN 'rbac' THEN 'principal.role in ["owner", "staff"]' ELSE 'principal.plan in ["owner", "staff"]' END
-  ELSE CASE category WHEN 'rbac' THEN 'principal.role == "' ELSE 'principal.plan == "' END || CASE seq % 7 WHEN 0 THEN 'admin' WHEN 1 THEN 'orders:read' WHEN 2 THEN 'edit' ELSE 'TODO' END || '"' END
- || chr(10) || '};' AS stub FROM f WHERE category IN ('ownership', 'middleware', 'rbac', 'feature_gate')""")
+  ELSE CASE category WHEN 'rbac' THEN 'principal.role == "' ELSE 'principal.plan == "' END || {_FIRST} || '"' END
+ || chr(10) || '}};' END AS stub FROM f""")
 def default_stub_cedar(spark, sf):
-    f = findings.in_categories(frame(spark, sf, D.FINDINGS), ["ownership", "middleware", "rbac", "feature_gate"])
-    return f.select("seq", policies.default_stub("cedar", F.col("category"), F.col("code_snippet")).alias("stub"))
+    return frame(spark, sf, D.FINDINGS).select("seq", policies.default_stub("cedar", F.col("category"), F.col("code_snippet")).alias("stub"))
 
 
-@query("default_stub_rego", W(f=D.FINDINGS) + """SELECT seq, 'default allow := false' || chr(10) || chr(10) || 'allow if {' || chr(10) || '    '
- || CASE WHEN category = 'ownership' THEN 'input.resource.owner == input.user.id' WHEN category = 'middleware' THEN 'input.request.authenticated == true'
+@query("default_stub_rego", W(f=D.FINDINGS) + f"""SELECT seq, CASE WHEN category IN ('business_rule', 'route', 'custom') THEN {_NOTE('#', ['default allow := false', 'allow if {', '    ...', '}'])} ELSE
+ 'default allow := false' || chr(10) || chr(10) || 'allow if {{' || chr(10) || '    '
+ || CASE WHEN category = 'ownership' THEN 'input.resource.owner == input.user.id' WHEN category = 'middleware' THEN 'input.request.authenticated == true' WHEN category = 'abac' THEN {_ABAC('#', 'input.user')}
   WHEN seq % 7 = 1 AND category = 'rbac' THEN '"orders:read" in input.user.permissions'
-  ELSE CASE category WHEN 'rbac' THEN 'input.user.role in {' ELSE 'input.user.plan in {' END || CASE seq % 7 WHEN 0 THEN '"admin"' WHEN 1 THEN '"orders:read"' WHEN 2 THEN '"edit"' WHEN 4 THEN '"owner", "staff"' ELSE '"TODO"' END || '}' END
- || chr(10) || '}' AS stub FROM f WHERE category IN ('ownership', 'middleware', 'rbac', 'feature_gate')""")
+  ELSE CASE category WHEN 'rbac' THEN 'input.user.role in {{' ELSE 'input.user.plan in {{' END || CASE seq % 7 WHEN 4 THEN '"owner", "staff"' ELSE '"' || {_FIRST} || '"' END || '}}' END
+ || chr(10) || '}}' END AS stub FROM f""")
 def default_stub_rego(spark, sf):
-    f = findings.in_categories(frame(spark, sf, D.FINDINGS), ["ownership", "middleware", "rbac", "feature_gate"])
-    return f.select("seq", policies.default_stub("rego", F.col("category"), F.col("code_snippet")).alias("stub"))
+    return frame(spark, sf, D.FINDINGS).select("seq", policies.default_stub("rego", F.col("category"), F.col("code_snippet")).alias("stub"))
 
 
 @query("category_display", W(f=D.FINDINGS) + "SELECT seq, CASE category WHEN 'rbac' THEN 'RBAC' WHEN 'abac' THEN 'ABAC' WHEN 'middleware' THEN 'Middleware' WHEN 'business_rule' THEN 'Business Rule' WHEN 'ownership' THEN 'Ownership' WHEN 'feature_gate' THEN 'Feature Gate' WHEN 'route' THEN 'Route' ELSE 'Custom' END AS name, category AS slug FROM f")

@@ -119,21 +119,3 @@ def plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scan.Scan(plain_code(spark, sf_dir), [r for r in rules.builtin() if "typescript" in r.languages])
     return s.findings.select("file", "line_start", "pattern_rule")
-
-
-@query("rules_tally", "SELECT * FROM (VALUES ('rbac', 53), ('middleware', 25), ('custom', 12), ('abac', 9), ('feature_gate', 4), ('ownership', 4), ('route', 1)) t(category, n)")
-def rules_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.rules_table(spark, rules.builtin()).groupBy("category").agg(F.count("*").alias("n"))
-
-
-@query("list_rules", "SELECT * FROM (VALUES ('kotlin-ktor-authenticate-block'), ('kotlin-ktor-install-authentication')) t(rule_id)")
-def list_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Kotlin rules of one category."""
-    table = scan.rules_table(spark, rules.builtin())
-    return table.where(F.array_contains("languages", "kotlin") & (F.col("category") == "middleware")).select("rule_id")
-
-
-@query("rules_test", "SELECT true AS passed, 216 AS n")
-def rules_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules' own tests: how many pass and fail."""
-    return scan.test_rules(spark, rules.builtin()).groupBy("passed").agg(F.count("*").cast("int").alias("n"))
