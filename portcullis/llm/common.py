@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from portcullis.checkpoints import checkpointed
 from portcullis.checkpoints import folder as checkpoint_folder
 
-__all__ = ["BROADCAST_KEYS", "ROW", "checkpoint_folder", "checkpointed", "filtered", "fold", "only", "sample", "table", "with_row", "without"]
+__all__ = ["BROADCAST_KEYS", "ROW", "checkpoint_folder", "checkpointed", "filtered", "fold", "join_groups", "only", "sample", "table", "with_row", "without"]
 
 ROW = "__row"
 #: Most 64-bit keys that are broadcast to filter a table before a shuffle: some 32 MB. Beyond it the table is shuffled.
@@ -88,6 +88,24 @@ def only(df: DataFrame, keys: DataFrame, key: str = ROW) -> DataFrame:
     return df.join(F.broadcast(keys) if small else keys, key, "left_semi")
 
 
+#: Rows that a group may have, as a share of all rows and at least, to meet its rows by a shuffle.
+TIER, LARGE = 100_000, 2_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their groups. Both are written; groups has a row for each key, with the number of its rows as size.
+
+    Groups of more than a TIERth of all rows (and more than LARGE), so fewer than TIER, are broadcast: their rows stay where they
+    are, however many they are. The rows of the others, few of each key, are shuffled."""
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    cut = max(LARGE, total // TIER)
+    large, small = groups.where(F.col(size) > cut), groups.where(F.col(size) <= cut)
+    if large.isEmpty():
+        return rows.join(groups, key)
+    hot = rows.join(F.broadcast(large), key)
+    return hot.unionByName(rows.join(F.broadcast(large.select(key)), key, "left_anti").join(small, key))
+
+
 def without(df: DataFrame, keys: DataFrame, key: str = ROW) -> DataFrame:
     """The rows of df whose key isn't among keys, which is written and has that column alone."""
     small = keys.count() <= BROADCAST_KEYS

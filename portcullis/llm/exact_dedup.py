@@ -6,7 +6,9 @@
    than about 1 / TRACKED of the rows is among its counters.
 3. Candidates are verified by an exact aggregation, combined on the map side, so a hot digest sends one row a task.
    The winners (at most HEAVY rows) are broadcast and their copies are settled without a shuffle.
-4. All other digests, now without heavy groups, go through an ordinary shuffle.
+4. All other digests are aggregated, combined on the map side, by an ordinary shuffle, and their groups meet their rows again:
+   groups of more than a 100,000th of all rows by a broadcast (there are fewer than 100,000 of them), the rest by a shuffle. So
+   no task has more of a digest's rows than that.
 
 Defined cases: null text counts as empty; repeated rows are copies of each other and exactly one stays; of equal texts
 the row with the most code points stays, then the smallest key, null keys last; an empty table gives an empty result.
@@ -14,10 +16,10 @@ the row with the most code points stays, then the smallest key, null keys last;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import ROW, checkpointed, filtered, with_row, without
+from portcullis.llm.common import ROW, checkpointed, filtered, join_groups, with_row, without
 
 #: Most digests that are broadcast, and counters of the sketch.
 HEAVY, TRACKED = 512, 8192
@@ -37,8 +39,9 @@ def decide(d: DataFrame) -> DataFrame:
     winners = d.join(F.broadcast(heavy), F.xxhash64("digest") == F.col("h"), "left_semi").groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     winners = checkpointed(winners)  # at most HEAVY digests
     hot = d.join(F.broadcast(winners), "digest")
-    w = Window.partitionBy("digest")
-    cold = d.join(F.broadcast(winners), "digest", "left_anti").select("*", F.min(best).over(w).alias("best"), F.count(F.lit(1)).over(w).alias("group_size"))
+    rest = d.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = checkpointed(rest.groupBy("digest").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size")))
+    cold = join_groups(rest, groups, "digest", "group_size")
     return hot.unionByName(cold).select(ROW, "key", "digest", F.col("best.key").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"best.{ROW}")).alias("kept"))
 
 
