@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from portcullis.llm.common import BROADCAST_KEYS, ROW, checkpointed, filtered, only, with_row, without
+from portcullis.llm.common import BROADCAST_KEYS, ROW, checkpointed, filtered, join_groups, only, with_row, without
 from portcullis.llm.license_scan import _WORD_BYTES
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,7 +46,7 @@ BANDS, ROWS = 24, 6
 M = BANDS * ROWS
 LEAST = 0.65
 #: Elements whose points are drawn at once; members of a centre in a slice; members of a bucket in a cell.
-GROUP, SLICE, CELL = 150_000, 256, 2048
+GROUP, SLICE, CELL = 150_000, 256, 1024
 
 _U = np.uint64
 _GOLD, _C1, _C2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -298,8 +298,8 @@ def rest_links(buckets: DataFrame, found: DataFrame, signed: DataFrame, texts: D
     of = checkpointed(buckets.join(found, F.col("row") == F.col("node"), "left").select("key", "band", "row", F.coalesce("class", "row").alias("class")))
     shares = of.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k"))
     blocks = lambda n: F.ceil(n / CELL).cast("int")
-    mixed = checkpointed(shares.where("k > 1").select("key", F.col("top.class").alias("top"), blocks(F.col("n")).alias("homes"), blocks(F.col("n") - F.col("top.n")).alias("blocks")))
-    members = checkpointed(of.join(mixed, "key").withColumn("stray", F.col("class") != F.col("top")))
+    mixed = checkpointed(shares.where("k > 1").select("key", "n", F.col("top.class").alias("top"), blocks(F.col("n")).alias("homes"), blocks(F.col("n") - F.col("top.n")).alias("blocks")))
+    members = checkpointed(join_groups(of, mixed, "key", "n").withColumn("stray", F.col("class") != F.col("top")))
     own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = ["key", "band", "row", "class", "stray"]
@@ -315,7 +315,7 @@ def near_classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """rows: docs with ROW. ROW, key and first (the least ROW of the row's class) of every row."""
     texts = rows.select(ROW, F.col(text).alias("text"))
     signed = checkpointed(texts.mapInArrow(_sign, f"{ROW} long, digest binary, bands array<long>, signature binary"))
-    same = checkpointed(signed.groupBy("digest").agg(F.min(ROW).alias("rep")))
+    same = checkpointed(signed.groupBy("digest").agg(F.min(ROW).alias("rep"), F.count("*").alias("copies")))
     reps = signed.join(same.select(F.col("rep").alias(ROW)), ROW, "left_semi")
     keys = reps.select(F.posexplode("bands").alias("band", "key"), F.col(ROW).alias("row"))
     shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -323,14 +323,14 @@ def near_classes(rows: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     # the centre of a bucket is its member with the fullest buckets: of edited copies, the text nearest to all
     weight = checkpointed(buckets.groupBy("row").agg(F.sum("n").alias("weight")))
     best = F.max(F.struct("weight", (-F.col("row")).alias("last")))
-    centres = checkpointed(buckets.join(weight, "row").groupBy("key").agg(best.alias("best")).select("key", (-F.col("best.last")).alias("centre")))
-    star = buckets.select("key", "row").join(centres, "key").where("row <> centre").select("centre", "row").distinct()
+    centres = checkpointed(buckets.join(weight, "row").groupBy("key").agg(best.alias("best"), F.count("*").alias("members")).select("key", "members", (-F.col("best.last")).alias("centre")))
+    star = join_groups(buckets.select("key", "row"), centres, "key", "members").where("row <> centre").select("centre", "row").distinct()
     links = checkpointed(verified(checkpointed(star), texts))
     found = checkpointed(classes(links))
     extra = rest_links(buckets.select("key", "band", "row"), found, signed, texts)
     joined = classes(links.unionByName(extra))
-    rep_of = signed.select(ROW, "digest").join(same, "digest").join(joined, F.col("rep") == F.col("node"), "left")
-    first = rep_of.select(F.col(ROW).alias("r"), F.coalesce("class", "rep").alias("first"))
+    class_of = checkpointed(same.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "copies", F.coalesce("class", "rep").alias("first")))
+    first = join_groups(signed.select(ROW, "digest"), class_of, "digest", "copies").select(F.col(ROW).alias("r"), "first")
     return rows.select(ROW, F.col(key).alias("key")).join(first, F.col(ROW) == F.col("r"), "left").select(ROW, "key", F.coalesce("first", ROW).alias("first"))
 
 
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = checkpointed(near_classes(with_row(docs), key, text))
     order = F.struct(F.col("key").isNull().alias("a"), F.col("key").alias("key"), F.col(ROW).alias(ROW))
     groups = checkpointed(found.groupBy("first").agg(F.min(order).alias("best"), F.count("*").alias("class_size")))
-    return found.join(groups, "first").select(F.col("key").alias(key), F.col("best.key").alias("class_id"), "class_size", (F.col(ROW) == F.col(f"best.{ROW}")).alias("kept"))
+    return join_groups(found, groups, "first", "class_size").select(F.col("key").alias(key), F.col("best.key").alias("class_id"), "class_size", (F.col(ROW) == F.col(f"best.{ROW}")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
