@@ -7,7 +7,8 @@ four-quadrant trees lower the remaining loss most get tables of their own, boost
 score is the sigmoid of the intercept plus one table entry for each feature and pair: vectorised bin additions.
 
 Features are computed from the whole text alone. Training takes at most SAMPLE labelled rows, the ones with the
-smallest hash of their key (a bounded, documented sample), and only their features go to the driver.
+smallest hash of their key (a bounded, documented sample), and only their features go to the driver; of rows of the same key
+those with the smallest features are learned from, so a key that repeats counts once whatever the order of rows.
 
 Defined cases: null text counts as empty and is scored like any text; keys with several labels count once for each
 distinct label; null labels and null keys aren't learned from; without labels of both kinds every score is the share
@@ -204,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = sample(known, "k", SAMPLE)
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = own.join(F.broadcast(chosen.select("k").distinct()), F.col("key") == F.col("k"), "left_semi")
-    found = _featured(rows, "key", "text").join(F.broadcast(chosen), F.col("key") == F.col("k")).select("k", "y", "x").limit(2 * SAMPLE).collect()
+    once = _featured(rows, "key", "text").groupBy("key").agg(F.min("x").alias("x"))
+    found = once.join(F.broadcast(chosen), F.col("key") == F.col("k")).select("k", "y", "x").collect()  # at most SAMPLE rows
     found.sort(key=lambda r: (r["k"], r["y"], r["x"]))
     x = np.array([r["x"] for r in found]).reshape(-1, len(FEATURES))
     return train(x, np.array([r["y"] for r in found], np.float64))
