@@ -5,7 +5,8 @@ rows of an embedding table; a text is the mean over its words of the mean of the
 above is linear, the trained model is one table of class logits for each bucket, which is all that is sent to workers.
 
 Training takes at most SAMPLE labelled texts, the ones with the smallest hash of their key (a bounded, documented
-sample); one in HOLD of them is set aside to calibrate: a temperature that gives the best likelihood there, and the
+sample; of rows of one key the smallest by label and text). They go to the driver as they are if they are shorter than their
+bags of buckets can be, else as bags, so its memory is bounded however long they are. One in HOLD of them is set aside to calibrate: a temperature that gives the best likelihood there, and the
 least confidence at which the accepted ones are right often enough (PRECISION). Predictions under it are marked
 ``accepted = false``; the label is given all the same. Every text is read whole.
 
@@ -31,6 +32,8 @@ from portcullis.llm.common import sample
 BUCKETS, DIMENSION, GRAMS = 1 << 15, 16, (2, 3, 4, 5)
 SAMPLE, HOLD, EPOCHS, BATCH, RATE = 3000, 5, 6, 32, 40.0
 PRECISION = 0.995
+#: Code points of a text that goes to the driver; about the bytes of the largest bag.
+LONG = 8 * BUCKETS
 #: Words whose logits a worker keeps at once.
 KEPT = 200_000
 UNKNOWN = "und"
@@ -100,8 +103,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
+    return train_bags([_bag(t) for t in texts], labels, seed)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: int = 7) -> Model:
+    """bags: of each text its buckets and their weights."""
     names = sorted(set(labels))
-    bags = [_bag(t) for t in texts]
     y = np.array([names.index(x) for x in labels], np.int64)
     usable = [i for i, b in enumerate(bags) if len(b[0])]
     held = [i for k, i in enumerate(usable) if k % HOLD == HOLD - 1]
@@ -187,9 +194,21 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null")
     ids = sample(rows.select(F.col("key").alias("k")), "k", SAMPLE).distinct()
     chosen = rows.join(F.broadcast(ids), F.col("key") == F.col("k"), "left_semi")
-    found = chosen.select(F.xxhash64(F.col("key").cast("string")).alias("h"), "t", "y").limit(2 * SAMPLE).collect()
-    found.sort(key=lambda r: (r["h"], r["t"], r["y"]))
-    return train([r["t"] for r in found], [r["y"] for r in found])
+    once = chosen.groupBy("key").agg(F.min(F.struct("y", "t")).alias("one")).select(F.xxhash64(F.col("key").cast("string")).alias("h"), "one.y", "one.t")
+    found = once.mapInArrow(_compact, "h long, y string, t string, at array<int>, weight array<double>").collect()  # at most SAMPLE rows
+    found.sort(key=lambda r: (r["h"], r["y"]))
+    bags = [_bag(r["t"]) if r["at"] is None else (np.array(r["at"], np.int32), np.array(r["weight"])) for r in found]
+    return train_bags(bags, [r["y"] for r in found])
+
+
+def _compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long texts as their bags."""
+    for b in batches:
+        for i in range(b.num_rows):
+            h, y, t = (b.column(c)[i].as_py() for c in ("h", "y", "t"))
+            at, weight = (None, None) if len(t) <= LONG else (x.tolist() for x in _bag(t))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((h, y, t if at is None else None, at, weight), kinds, strict=True)], names=["h", "y", "t", "at", "weight"])
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
