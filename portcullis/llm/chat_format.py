@@ -7,11 +7,12 @@ taking the byte after each of those four away again gives back the original.
 A batch of turns is assembled at once: segment lengths and cumulative offsets are computed in numpy, one buffer is
 allocated, and headers and contents are scattered into it; it becomes the data buffer of the Arrow column as it is.
 
-Rows are dealt by conversation and sorted by turn. A conversation that is longer than an Arrow batch is written as
-several parts, so no task holds a whole long one; ``read_back`` goes through the parts in order with running digests.
+Rows are dealt by conversation and sorted by turn. At most PART bytes are assembled at once, so offsets stay far from 32 bits, and
+a conversation that is longer than that, or than an Arrow batch, is written as several parts, so no task holds a whole long one; ``read_back`` goes through the parts in order with running digests.
 
 Defined cases: a null text or role is an empty one; turns with equal or null numbers are ordered by turn (nulls
-first), role, text; null conversation ids form one conversation; an empty table gives no rows.
+first), role, text; null conversation ids form one conversation; a turn is never split, so one whose escaped text is 2 GiB or
+more, which no string column can hold, is an error; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 HEAD, MIDDLE, TAIL = b"<s>[", b"]\n", b"</s>\n"
 TARGET_ROLE = "assistant"
+#: Bytes of formatted text that are assembled at once, unless one turn alone is longer.
+PART = 1 << 26
 SPECIAL = np.zeros(256, bool)
 SPECIAL[list(b"<[]\\")] = True
 ESCAPED = re.compile(rb"([<\[\]\\])\\")
@@ -81,11 +84,20 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return out, start, text_at, t_len
 
 
+def _pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose formatted text has at most PART bytes, were every byte escaped; rows alone where one has more."""
+    size = sum(np.diff(_column(b.column(c))[1]) for c in ("role", "text")) * 2 + len(HEAD + MIDDLE + TAIL)
+    ends = np.cumsum(size)
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, PART + (ends[at - 1] if at else 0), "right")))
+        yield b.slice(at, to - at)
+        at = to
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, part = object(), 0
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (piece for whole in batches for piece in _pieces(whole)):
         conv, roles = b.column("conv_id"), b.column("role")
         out, start, text_at, text_len = assemble(roles, b.column("text"))
         ids = conv.to_pylist()
