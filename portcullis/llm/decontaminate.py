@@ -13,24 +13,28 @@ A hit is verified in the text around it: the shares of the item's question and o
 stand there must reach QUESTION and ANSWER. The answer is what follows the last line that starts with ``answer:``, or
 else the last quarter of the words.
 
-The index is broadcast in shards of at most SHARD words of items; with more items there are more passes over the
-texts. Document frequencies are those of all items. Texts are read whole, one at a time.
+The index is broadcast in shards of about SHARD words of items, dealt by a hash of their ids; with more items there are more
+passes over the texts, each written before the next. Document frequencies are those of all items, counted by Spark. Texts are
+read whole, one at a time.
 
-Defined cases: null text or item counts as empty and never matches; items of fewer than five words are checked as one
-n-gram; repeated items give a row for each distinct id; repeated rows of texts give rows each; of several places the
+Defined cases: null text counts as empty and never matches; items of fewer than five words are checked as one
+n-gram; ids may be of any type; repeated items give a row for each distinct id, items without an id a row each, with a null; repeated rows of texts give rows each; of several places the
 one with the best score, then the first, is given; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from portcullis.llm.common import ROW, checkpointed, filtered, with_row, without
 from portcullis.llm.license_scan import words
 
 SEGMENT, STRIDE, BLOCK = 64, 64, 32
@@ -39,7 +43,7 @@ SCORE, QUESTION, ANSWER, GRAM = 0.6, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
 SHARD = 2_000_000
 
-HITS = "item_id long, first_word int, score double, question_overlap double, answer_overlap double"
+HITS = "first_word int, score double, question_overlap double, answer_overlap double"
 
 
 def parts(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -65,12 +69,16 @@ def grams(found: list[bytes], n: int) -> set[tuple[bytes, ...]]:
 class Index:
     """Of some items, with the document frequencies and the mean length of all segments."""
 
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[bytes, int], n_segments: int, mean: float) -> None:
+    def __init__(self, items: list[tuple[object, str | None]], frequency: dict[bytes, int], n_segments: int, mean: float) -> None:
+        self.ids = [i for i, _ in items]
+        first: dict[object, int] = {}
+        #: of each item the first with its id; items without an id are on their own
+        self.group = [n if i is None else first.setdefault(i, n) for n, i in enumerate(self.ids)]
         self.items = []
         self.owner: list[int] = []
         self.vocabulary: dict[bytes, int] = {}
         entries: list[tuple[int, int, float]] = []
-        for item_id, text in items:
+        for _, text in items:
             question, answer = parts(text)
             checks = [(g, len(g)) for g in (grams(x, min(GRAM, max(1, len(x)))) for x in (question, answer))]
             for s in segments(question + answer):
@@ -84,7 +92,7 @@ class Index:
                 for w, x in impact.items():
                     entries.append((self.vocabulary.setdefault(w, len(self.vocabulary) + 1), len(self.owner), x / own))
                 self.owner.append(len(self.items))
-            self.items.append((item_id, len(question) + len(answer), [min(GRAM, max(1, len(x))) for x in (question, answer)], checks))
+            self.items.append((len(question) + len(answer), [min(GRAM, max(1, len(x))) for x in (question, answer)], checks))
         entries.sort()
         term = np.array([e[0] for e in entries], np.int64)
         self.segment = np.array([e[1] for e in entries], np.int64)
@@ -135,78 +143,107 @@ class Index:
                 yield a, s, float(scores[s])
 
     def hits(self, text: str | None) -> list[tuple[int, int, float, float, float]]:
-        """(item id, first word of the passage, score, question overlap, answer overlap) of the items that text holds."""
+        """(item's place, first word of the passage, score, question overlap, answer overlap) of the items that text holds, one of each id."""
         found = words(text)
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
         best: dict[int, tuple] = {}
         for a, s, score in self.retrieve(ids):
-            item_id, length, sizes, checks = self.items[self.owner[s]]
+            length, sizes, checks = self.items[self.owner[s]]
+            item = self.group[self.owner[s]]
             near = found[max(0, a - length) : a + WINDOW + length]
             overlap = []
             for size, (wanted, n) in zip(sizes, checks, strict=True):
                 overlap.append(len(wanted & grams(near, size)) / n if n else 1.0)
             if overlap[0] >= QUESTION and overlap[1] >= ANSWER:
-                hit = (item_id, a, score, *overlap)
-                if item_id not in best or (-score, a) < (-best[item_id][2], best[item_id][1]):
-                    best[item_id] = hit
+                if item not in best or (-score, a) < (-best[item][2], best[item][1]):
+                    best[item] = (item, a, score, *overlap)
         return [best[i] for i in sorted(best)]
 
 
-def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """The index of all items, in shards."""
-    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).orderBy("i", "t")
-    frequency: Counter[bytes] = Counter()
-    n = length = 0
-    for r in rows.toLocalIterator():
-        question, answer = parts(r["t"])
-        for s in segments(question + answer):
-            frequency.update(set(s))
-            n, length = n + 1, length + len(s)
-    shard, size = [], 0
-    for r in rows.toLocalIterator():
-        shard.append((r["i"], r["t"]))
-        size += len(words(r["t"]))
-        if size >= SHARD:
-            yield Index(shard, frequency, n, length / max(1, n))
-            shard, size = [], 0
-    if shard:
-        yield Index(shard, frequency, n, length / max(1, n))
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many segments have each word; the empty word stands for all segments, a space for all words."""
+    for b in batches:
+        counts: Counter[bytes] = Counter()
+        for t in b.column("t"):
+            for s in segments([w for part in parts(t.as_py()) for w in part]):
+                counts.update(set(s))
+                counts[b""] += 1
+                counts[b" "] += len(s)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+
+def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> tuple[int, Iterator[Index]]:
+    """How many shards the items make, and their indexes, one at a time. Words are counted by Spark; the driver holds the items and
+    the counts of one shard."""
+    items = checkpointed(with_row(benchmark.select(F.col(item).alias("i"), F.col(text).alias("t"))))
+    counts = checkpointed(items.select("t").mapInArrow(_measure, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    totals = {bytes(r["word"]): r["n"] for r in counts.where(F.col("word").isin(b"", b" ")).collect()}
+    n, length = totals.get(b"", 0), totals.get(b" ", 0)
+    shards = -(-length // SHARD)
+    shard = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.concat(F.lit("row "), F.col(ROW)))), F.lit(max(1, shards)))  # an id lies in one shard
+
+    def one(s: int) -> Index:
+        rows = items.where(shard == s)
+        known = counts if shards == 1 else rows.select("t").mapInArrow(_measure, "word binary, n long").select("word").distinct().join(counts, "word")
+        frequency = {bytes(r["word"]): r["n"] for r in known.collect()}
+        return Index([(r["i"], r["t"]) for r in rows.orderBy(ROW).collect()], frequency, n, length / max(1, n))
+
+    return shards, (one(s) for s in range(shards))
+
+
+def _passes(benchmark: DataFrame, search: Callable[[Broadcast], DataFrame]) -> DataFrame | None:
+    """The union of search(index) over all shards. With several, each pass is written before the next index is made."""
+    shards, found = indexes(benchmark)
+    out = None
+    for index in found:
+        shared = benchmark.sparkSession.sparkContext.broadcast(index)
+        part = search(shared)
+        if shards > 1:
+            part = checkpointed(part)
+            shared.destroy()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and HITS: a row for each row of docs and item that it holds."""
+    """key, item_id (each of its table's type) and HITS: a row for each row of docs and item that it holds."""
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"{key} {source.schema['key'].dataType.simpleString()}, {HITS}"
+    id_type = benchmark.schema["item_id"].dataType
+    schema = f"{key} {source.schema['key'].dataType.simpleString()}, item_id {id_type.simpleString()}, {HITS}"
     names = [key, "item_id", "first_word", "score", "question_overlap", "answer_overlap"]
-    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+    kinds = [to_arrow_type(id_type), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
 
-    def search(shared):
+    def search(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = shared.value.ids
             for b in batches:
-                found = [(i, h) for i, t in enumerate(b.column("text")) for h in shared.value.hits(t.as_py())]
+                found = [(i, (ids[h[0]], *h[1:])) for i, t in enumerate(b.column("text")) for h in shared.value.hits(t.as_py())]
                 if found:
                     columns = zip(*(h for _, h in found), strict=True)
                     yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array([i for i, _ in found])), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
         return source.mapInArrow(run, schema)
 
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark):
-        out = out.unionByName(search(docs.sparkSession.sparkContext.broadcast(index)))
-    return out
+    found = _passes(benchmark, search)
+    return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
 
-    def search(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([not shared.value.hits(t.as_py()) for t in b.column(text)], pa.bool_()))
+    def keep(rows: DataFrame) -> DataFrame:
+        source = rows.select(ROW, F.col(text).alias("text"))
+
+        def search(shared: Broadcast) -> DataFrame:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    hit = pa.array([bool(shared.value.hits(t.as_py())) for t in b.column("text")], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([b.column(ROW).filter(hit)], names=[ROW])
+
+            return source.mapInArrow(run, f"{ROW} long")
 
-        return docs.mapInArrow(run, docs.schema)
+        found = _passes(benchmark, search)
+        return rows if found is None else without(rows, checkpointed(found.distinct()))
 
-    for index in indexes(benchmark):
-        docs = search(docs.sparkSession.sparkContext.broadcast(index))
-    return docs
+    return filtered(docs, keep)
