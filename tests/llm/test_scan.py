@@ -68,3 +68,45 @@ def test_odd_texts(spark, documents):
     assert (by[20]["n_base"], by[20]["first_word"], by[20]["last_word"], by[20]["labels"], by[20]["score"]) == (2, 0, 2, "mit", 1.0)
     assert by[5]["n_words"] == 60_000
     assert L.license_scan(documents([])).collect() == []
+
+
+def test_spdx_tags():
+    scan = lambda t: SCANNER.scan(t)[5]
+    assert scan("// SPDX-License-Identifier: BSD-3-Clause\nint x;") == "bsd"
+    assert scan("# SPDX-License-Identifier: GPL-2.0-or-later") == "gpl" and scan("SPDX-License-Identifier: AGPL-3.0-only") == "agpl"
+    assert scan("SPDX-License-Identifier: CC-BY-NC-SA-4.0") == "cc-by-nc-sa" and scan("SPDX-License-Identifier: CC-BY-4.0") == "cc-by"
+    assert scan("SPDX-License-Identifier: LicenseRef-own") == "" and scan("bsd 3 clause") == ""
+
+
+def test_precision_and_recall_on_edited_whole_texts():
+    """Each whole text, with words dropped, changed and added at many rates, among other words: labelled alone by its own label."""
+    rng = random.Random(6)
+    noise = [f"word{i}" for i in range(500)]
+    scores, right, wrong, missed = set(), 0, 0, 0
+    for label, template in L.TEMPLATES:
+        w = template.split()
+        if len(w) < 60:
+            continue
+        for rate in (0.0, 0.01, 0.02, 0.04):
+            for _ in range(3):
+                edited = []
+                for x in w:
+                    r = rng.random()
+                    edited += [x] if r >= rate else [[], [rng.choice(noise)], [x, rng.choice(noise)]][rng.randrange(3)]
+                found = SCANNER.scan(" ".join([*rng.sample(noise, 40), *edited, *rng.sample(noise, 40)]))
+                own = set(found[5].split(",")) - {""}
+                own -= {"gpl"} if label in ("lgpl", "agpl") else set()  # the base phrase stands in their names
+                right += label in own
+                missed += label not in own
+                wrong += len(own - {label})
+                scores.add(found[6])
+    assert right / (right + missed) >= 0.97 and right / (right + wrong) >= 0.97, (right, missed, wrong)
+    assert any(0.5 <= s < 1 for s in scores)
+    for _ in range(50):
+        assert SCANNER.scan(" ".join(rng.choice(noise) for _ in range(400)))[5] == ""
+
+
+def test_a_shared_disclaimer_alone_tells_nothing():
+    from portcullis.llm.license_texts import _BSD_END, _MIT_END
+
+    assert SCANNER.scan("Copyright me." + _MIT_END)[5] in ("", "mit") and SCANNER.scan("x" + _BSD_END)[5] in ("", "bsd")
