@@ -263,3 +263,27 @@ def test_url_verdicts_equal_a_plain_filter(spark):
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
         assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-6, (g, w)
+
+
+def test_words_beside_seeds_are_learned(spark):
+    """Hosts of two kinds of words; seeds stand in four of five unwanted ones. The others, and all hosts with their seeds taken
+    away, must be found by their other words."""
+    rng = random.Random(13)
+    bad, good = "lucky spinner royal jackal prize fortune dealer wager".split(), "garden recipe history school museum weather travel library".split()
+    text = "<p>" + " ".join((bad + good) * 60)
+    pages, unseeded = [], set()
+    for i in range(1200):
+        unwanted = i % 4 == 0
+        words = rng.sample(bad if unwanted else good, 2)
+        if unwanted and i % 5:
+            words.insert(rng.randrange(3), rng.choice(U.BLOCK_SEEDS))
+        elif unwanted:
+            unseeded.add(i)
+        pages.append((i, f"http://{''.join(words)}.com/{rng.choice(['index', 'about'])}/{i}", text))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    blocked = {r["page_id"] for r in U.filter_urls(df, U.fit(df)).collect() if r["verdict"] == "block"}
+    wanted = {i for i in range(1200) if i % 4 == 0}
+    assert len(blocked & unseeded) >= 0.9 * len(unseeded) and len(blocked - wanted) <= 0.02 * len(blocked)
+    train, test = df.where("page_id % 7 <> 0"), df.where("page_id % 7 = 0 and (page_id % 4 <> 0 or page_id % 5 <> 0)")
+    precision, recall = U.evaluate(train, test)
+    assert precision >= 0.95 and recall >= 0.9, (precision, recall)
