@@ -6,9 +6,9 @@ Tokens are the words of a text between ASCII white space (A-Z lower-cased), then
    N / 2**HEAD_BITS occurrences are the head, at most 2**HEAD_BITS words whatever the input, and are broadcast.
 2. Units are the head words, ENDINGS groups of all other words (by a hash of their last three bytes) and the end token.
    Head words and groups have CLASSES classes each; the end has a class of its own.
-3. Exchange clustering starts with the SEEDS most frequent words and the groups, the other head words counted within
-   their groups: each moves to the class that most raises the likelihood of the class bigrams, until a sweep moves
-   none. Then the neighbours of every head word are counted and written, and in each of at most ROUNDS rounds all units
+3. The neighbours of every unit are counted over all texts and written. Exchange clustering starts with the SEEDS most
+   frequent words and the groups, the other head words counted within their groups: each moves to the class that most raises
+   the likelihood of the class bigrams, until a sweep moves none. Then in each of at most ROUNDS rounds all units
    move at once to the class whose neighbours are most like theirs; a round that lowers the likelihood is undone and
    the last. A rare word, met or not, has the class of its group.
 4. P(text) is the product over tokens of P(class | previous class) P(word | class). Transitions are smoothed by
@@ -120,21 +120,28 @@ def _bigrams(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[np.nda
             yield np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
 
 
-def unit_bigrams(docs: DataFrame, head: list[bytes], text: str = "text") -> np.ndarray:
-    """How often small unit j follows small unit i in docs, other head words counted in their groups; the end token also
-    stands before each text. N_SMALL x N_SMALL."""
-    shared = docs.sparkSession.sparkContext.broadcast(head[:SEEDS])
+def unit_bigrams(found: DataFrame, head: list[bytes]) -> np.ndarray:
+    """How often small unit j follows small unit i, other head words counted in their groups; the end token also stands before
+    each text. N_SMALL x N_SMALL, from the neighbours of all units."""
+    seeds = min(len(head), SEEDS)
+    of = np.zeros(N_UNITS, np.int64)
+    of[:seeds], of[CLUSTERED:] = np.arange(seeds), np.arange(SEEDS, N_SMALL)
+    of[seeds : len(head)] = small_number(np.fromiter(map(ending, head[seeds:]), np.int64, len(head) - seeds))
+    shared = found.sparkSession.sparkContext.broadcast(of.astype(np.int16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units({w: i for i, w in enumerate(shared.value)} | {END: END_UNIT})
-        total = np.zeros(N_SMALL * N_SMALL, np.int64)
-        for u in _bigrams(batches, units):
-            u = small_number(u)
-            total += np.bincount(u[:-1] * N_SMALL + u[1:], minlength=len(total))
+        of = shared.value
+        total = np.zeros(N_SMALL * N_SMALL)
+        for b in batches:
+            _, word, other, before, n = _entries(b)
+            a, c = of[word].astype(np.int64), of[other].astype(np.int64)
+            once = ~before | small(other, seeds)  # a pair of two other words is in the rows of both
+            pair = np.where(before, c * N_SMALL + a, a * N_SMALL + c)
+            total += np.bincount(pair[once], n[once], len(total))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["pair", "n"])
 
-    return _summed(docs.select(F.col(text).alias("text")).mapInArrow(run, "pair int, n long"), N_SMALL * N_SMALL).reshape(N_SMALL, N_SMALL)
+    return _summed(found.mapInArrow(run, "pair int, n long"), N_SMALL * N_SMALL).reshape(N_SMALL, N_SMALL)
 
 
 def _summed(parts: DataFrame, size: int) -> np.ndarray:
@@ -247,11 +254,10 @@ def likelihood(cc: np.ndarray) -> float:
     return float(_xlogx(cc).sum() - _xlogx(cc.sum(0)).sum() - _xlogx(cc.sum(1)).sum())
 
 
-def exchange_rounds(docs: DataFrame, head: list[bytes], of: np.ndarray, cc: np.ndarray, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def exchange_rounds(found: DataFrame, head: list[bytes], of: np.ndarray, cc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes and class bigrams after rounds over all head words and groups, given those of the seeds and groups."""
     seeds, k = min(len(head), SEEDS), len(cc)
     q = min(seeds, CLASSES)
-    found = neighbours(docs, head, text)
     of = reassigned(found, of, cc, seeds, q)
     cc, near = class_bigrams(found, of, k, seeds)
     groups = np.arange(CLUSTERED, END_UNIT)
@@ -361,7 +367,8 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     pairs = sorted(((-r["n"], bytes(r["word"])) for r in rows if bytes(r["word"]) != END))
     head, n = [w for _, w in pairs], -np.array([c for c, _ in pairs], np.float64)
     m = min(len(head), SEEDS)
-    bigrams = unit_bigrams(docs, head, text)
+    near = neighbours(docs, head, text)
+    bigrams = unit_bigrams(near, head)
     used = np.concatenate([np.arange(m), np.arange(SEEDS, N_SMALL)])
     found = np.zeros(N_SMALL, np.int64)
     found[used] = exchange(bigrams[np.ix_(used, used)], [m, ENDINGS, 1])
@@ -374,7 +381,7 @@ def fit(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     of[:m], of[CLUSTERED:] = found[:m], found[SEEDS:]
     of[m : len(head)] = of[[ending(w) for w in head[m:]]]
     if len(head) > m:
-        of, cc = exchange_rounds(docs, head, of, cc, text)
+        of, cc = exchange_rounds(near, head, of, cc)
     transition = np.log10((cc + ALPHA) / (cc.sum(1, keepdims=True) + ALPHA * k))
     class_tokens = cc.sum(0)
     group = F.pmod(F.crc32(F.expr("substring(word, -3)")), F.lit(ENDINGS)).alias("g")
