@@ -46,7 +46,7 @@ def outside_policy_modules(files: DataFrame, path: str = "path") -> DataFrame:
     return files.where(~paths.is_policy_implementation(F.col(path)))
 
 
-def scope(df: DataFrame, file: str = "file", language: str = "language") -> Column:
+def scope(file: str = "file", language: str = "language") -> Column:
     """What policy bindings belong to: a Go package (directory), else the file."""
     return F.when(F.col(language) == "go", F.concat(F.lit("go:"), paths.package_dir(F.col(file)))).otherwise(F.col(file))
 

@@ -21,8 +21,10 @@ from portcullis.functions import paths, text
 from portcullis.operators import bindings, findings
 from portcullis.rules.spec import Rule, RuleError
 from portcullis.syntax import parse
-from portcullis.syntax.imports import assignments, policy_imports
+from portcullis.syntax.imports import assignments, is_policy_path, policy_imports
+from portcullis.syntax.lexer import OP, Token, tokens
 from portcullis.syntax.query import Index
+from portcullis.syntax.tree import Node
 
 PARSED = (
     "file string, language string, matches array<struct<rule_id:string,rule_ord:int,match_seq:int,line_start:bigint,line_end:bigint,code_snippet:string,"
@@ -65,6 +67,47 @@ def loose(kind: str, value: str) -> re.Pattern | None:
     return re.compile(bare)
 
 
+class Places:
+    """Where a source has text that a rule needs. A place of it that the search passes over lies in one that it finds, so a part
+    of the source that touches none of those has none."""
+
+    def __init__(self, source: str, needed: re.Pattern) -> None:
+        self.spans = [m.span() for m in needed.finditer(source)]
+        self.first, self.last = [a for a, _ in self.spans], [b for _, b in self.spans]
+
+    def within(self, start: int, end: int) -> bool:
+        i = bisect_right(self.last, start)
+        return i < len(self.first) and self.first[i] < end
+
+    def may(self, node: Node) -> bool:
+        i = bisect_right(self.last, node.start)
+        return i < len(self.first) and self.first[i] < node.end
+
+
+#: Languages whose blocks of statements stand in braces, and the words that may stand before one; in Go any may.
+BRACES = {"typescript", "javascript", "java", "csharp", "go", "kotlin", "php"}
+_BEFORE_BLOCK = {")", "=>", "->", "else", "try", "finally", "do"}
+
+
+def without_blocks(given: list[Token], language: str, needed: list[Places]) -> list[Token]:
+    """Tokens without what stands in blocks that hold nothing any rule needs; the braces stay."""
+    if language not in BRACES:
+        return given
+    out: list[Token] = []
+    opened: list[tuple[int, bool]] = []  # of each open brace its place in out, and whether it begins a block
+    for t in given:
+        if t.kind == OP:
+            if t.text == "{":
+                last = out[-1] if out else None
+                opened.append((len(out), last is not None and (language == "go" or last.text in _BEFORE_BLOCK)))
+            elif t.text == "}" and opened:
+                at, block = opened.pop()
+                if block and len(out) - at > 1 and not any(p.within(out[at].end, t.start) for p in needed):
+                    del out[at + 1 :]
+        out.append(t)
+    return out
+
+
 class Matcher:
     """Compiled rules by language. A rule that doesn't compile is left out and named in ``refused``."""
 
@@ -85,6 +128,10 @@ class Matcher:
             for language in rule.languages:
                 self.by_language.setdefault(language, []).append((order, rule, query, tests, cross, needs))
 
+    def fitting(self, source: str, language: str) -> list:
+        """The rules that can find anything in a source at all."""
+        return [r for r in self.by_language.get(language, ()) if all(p.search(source) for p in r[-1])]
+
     @staticmethod
     def holds(captures: dict[str, str], tests: list, cross: list) -> bool:
         for name, kind, value in tests:
@@ -96,15 +143,20 @@ class Matcher:
                 return False
         return all((any if kind == "any_match" else all)(n in captures and pattern.search(captures[n]) for n in names) for kind, names, pattern in cross)
 
-    def matches(self, source: str, language: str) -> list[dict]:
-        rules = [r for r in self.by_language.get(language, ()) if all(p.search(source) for p in r[-1])]
+    def matches(self, source: str, language: str, rules: list | None = None, given: list[Token] | None = None) -> list[dict]:
+        """rules: the fitting ones, and given: the source's tokens, where they are known already."""
+        rules = self.fitting(source, language) if rules is None else rules
         if not rules:
             return []  # nothing to find: not even parsed
-        index = Index(parse(source, language))
+        inside = language != "ruby" or "<<" not in source  # bodies of here-documents lie outside of the nodes that hold them
+        places = {r[1].id: min((Places(source, p) for p in r[-1]), key=lambda p: len(p.spans)) for r in rules if r[-1] and inside}
+        if len(places) == len(rules) and all(r[1].named_blocks for r in rules):
+            given = without_blocks(tokens(source, language) if given is None else given, language, list(places.values()))
+        index = Index(parse(source, language, given))
         starts = [0, *(m.end() for m in re.finditer("\n", source))]
         out = []
         for order, rule, query, tests, cross, _ in rules:
-            for nodes in query.matches(index):
+            for nodes in query.matches(index, places[rule.id].may if rule.id in places else None):
                 captures = {name: source[n.start : n.end] for name, n in nodes.items()}
                 if not self.holds(captures, tests, cross):
                     continue
@@ -134,10 +186,12 @@ def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
             rows = []
             for path, content, language in zip(b.column("path").to_pylist(), b.column("content"), b.column("language").to_pylist(), strict=True):
                 source = content.as_py() or ""
-                found = m.matches(source, language)
+                fitting = m.fitting(source, language)
+                read = tokens(source, language) if fitting or language == "go" and is_policy_path(source) else None
+                found = m.matches(source, language, fitting, read)
                 # bindings matter where something is found, in Go anywhere in the package; assignments where something is bound
-                names = sorted(policy_imports(source, language)) if found or language == "go" else []
-                edges = assignments(source, language) if names or language == "go" else []
+                names = sorted(policy_imports(source, language, read)) if found or language == "go" else []
+                edges = assignments(source, language, read) if names else []
                 rows.append({"file": path, "language": language, "matches": found, "names": names, "edges": [{"lhs": x, "rhs": y} for x, y in edges]})
             gc.collect()
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
@@ -157,6 +211,23 @@ _SCHEMA = pa.schema([
 ])
 
 
+def package_edges(files: DataFrame, one: DataFrame, first: DataFrame) -> DataFrame | None:
+    """scope and e of the Go files that bind nothing themselves but whose package does; they are read once more. None if there are
+    none. one: PARSED with scope, first: scope and name, both written."""
+    bound = first.where(F.col("scope").startswith("go:")).select("scope").distinct()
+    others = checkpointed(one.where((F.col("language") == "go") & (F.size("names") == 0)).join(bound, "scope", "left_semi").select(F.col("file").alias("path"), "scope"))
+    if others.isEmpty():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges = [[{"lhs": x, "rhs": y} for x, y in assignments(c.as_py() or "", "go")] for c in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column("scope"), pa.array(edges, _SCHEMA.field("edges").type)], names=["scope", "edges"])
+
+    again = files.join(others, "path").select("scope", "content").mapInArrow(run, "scope string, edges array<struct<lhs:string,rhs:string>>")
+    return again.select("scope", F.explode("edges").alias("e"))
+
+
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     rows = [(r.id, i, list(r.languages), r.category, r.confidence, r.description, r.externalized, r.query, [dict(zip(("capture", "kind", "value"), p, strict=True)) for p in r.predicates], dict(r.templates), r.provenance) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, "rule_id string, rule_ord int, languages array<string>, category string, confidence string, description string, externalized boolean, query string, predicates array<struct<capture:string,kind:string,value:string>>, templates map<string,string>, provenance string")
@@ -176,12 +247,15 @@ class Scan:
 
     def __init__(self, files: DataFrame, rules: list[Rule], least: str | None = None, categories: list[str] = (), languages: list[str] = (), excludes: list[str] = ()) -> None:
         spark = files.sparkSession
-        one = checkpointed(parsed(selected(files, languages, excludes), rules))
-        scope = findings.scope(one)
+        source = selected(files, languages, excludes)
+        one = checkpointed(parsed(source, rules).withColumn("scope", findings.scope()))
         table = rules_table(spark, rules).select("rule_id", "category", "confidence", "description", "externalized")
-        matches = one.select("file", "language", scope.alias("scope"), F.explode("matches").alias("m")).select("file", "language", "scope", "m.*").join(F.broadcast(table), "rule_id")
-        first = one.select(scope.alias("scope"), F.explode("names").alias("name"))
-        edges = one.select(scope.alias("scope"), F.explode("edges").alias("e")).select("scope", "e.lhs", "e.rhs")
+        matches = one.select("file", "language", "scope", F.explode("matches").alias("m")).select("file", "language", "scope", "m.*").join(F.broadcast(table), "rule_id")
+        first = one.select("scope", F.explode("names").alias("name"))
+        edges = one.select("scope", F.explode("edges").alias("e"))
+        if (more := package_edges(source, one, first)) is not None:
+            edges = edges.unionByName(more)
+        edges = edges.select("scope", "e.lhs", "e.rhs")
         self.bindings = bindings.close(first, edges)
         self.routed = findings.route(matches, self.bindings)
         self.enforcement_points = findings.enforcement_points(self.routed)

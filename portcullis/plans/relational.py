@@ -175,7 +175,7 @@ _GO_FILES = f"SELECT DISTINCT file, regexp_replace(file, '/[^/]*$', '') AS packa
 def go_package_bindings(spark, sf):
     """The bindings of a Go file are those of all files of its directory."""
     g = frame(spark, sf, _GO_FILES).select("file", F.lit("go").alias("language"))
-    g = g.select("file", findings.scope(g).alias("package"))
+    g = g.select("file", findings.scope().alias("package"))
     own = frame(spark, sf, D.BINDINGS).join(g, F.col("scope") == F.col("file")).groupBy("package").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
     return g.join(own, "package", "left").select("file", F.coalesce("names", F.lit("")).alias("names"))
 

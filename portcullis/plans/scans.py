@@ -4,6 +4,8 @@ Each event gives a line from a small set, so what a scan must find is a CASE ove
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +121,56 @@ def plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scan.Scan(plain_code(spark, sf_dir), [r for r in rules.builtin() if "typescript" in r.languages])
     return s.findings.select("file", "line_start", "pattern_rule")
+
+
+#: Seven lines of ordinary code of each language; one order in 1009 has the decision in place of the fifth.
+_BLOCK = {
+    "ts": ('export function total{n}(order: Order, price: number): number {\n  if (price > {c}) {\n    return price * order.items.length;\n  }\n  const base = lookup("{s}", order.items[{k}]);\n  return base + {n};\n}', '  if (user.role === "admin") { return 0; }', "ts-role-check-conditional"),
+    "js": ('function total{n}(order, price) {\n  if (price > {c}) {\n    return price * order.items.length;\n  }\n  const base = lookup("{s}", order.items[{k}]);\n  return base + {n};\n}', '  if (user.role === "admin") { return 0; }', "ts-role-check-conditional"),
+    "py": ('def total{n}(order, price):\n    if price > {c}:\n        return price * len(order.items)\n    # what the order is based on\n    base = lookup("{s}", order.items[{k}])\n    return base + {n}\n', '    base = user.role == "admin"', "py-role-check-conditional"),
+    "go": ('func total{n}(order Order, price int) (int, error) {\n\tif price > {c} {\n\t\treturn price * len(order.Items), nil\n\t}\n\tbase := lookup("{s}", order.Items[{k}])\n\treturn base + {n}, nil\n}', '\tbase := user.Role == "admin"', "go-role-check-conditional"),
+    "java": ('class Total{n} {\n  int of(Order order, int price) {\n    if (price > {c}) { return price * order.items().size(); }\n    // what the order is based on\n    int base = lookup("{s}", order.items().get({k}));\n    return base + {n}; }\n}', '    boolean base = user.getRole().equals("admin");', "java-role-equals-check"),
+    "cs": ('class Total{n} {\n  int Of(Order order, int price) {\n    if (price > {c}) { return price * order.Items.Count; }\n    // what the order is based on\n    var b = Lookup("{s}", order.Items[{k}]);\n    return b + {n}; }\n}', '    var b = user.IsInRole("Admin");', "csharp-is-in-role-call"),
+    "kt": ('fun total{n}(order: Order, price: Int): Int {\n    if (price > {c}) {\n        return price * order.items.size\n    }\n    val base = lookup("{s}", order.items[{k}])\n    return base + {n}\n}', '    val base = user.role == "admin"', "kotlin-role-equals-check"),
+    "rb": ('def total{n}(order, price)\n  if price > {c}\n    return price * order.items.size\n  end\n  base = lookup("{s}", order.items[{k}])\n  base + {n}\nend', '  base = user.role == "admin"', "ruby-role-equals-check"),
+    "php": ('function total{n}($order, $price) {\n  if ($price > {c}) {\n    return $price * count($order->items);\n  }\n  $base = lookup("{s}", $order->items[{k}]);\n  return $base + {n};\n}', "  $base = $user->hasRole('admin');", "php-has-role-call"),
+}
+_FIRST = {"php": "<?php\n", "go": "package app\n"}
+
+
+def _blocks(ext: str) -> str:
+    """n, path and block of every order, in SQL of both engines."""
+    code, decision, _ = _BLOCK[ext]
+    lines = code.split("\n")
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "''").replace("\t", "  ") + "'"
+
+    def put(s: str) -> str:
+        values = {"{n}": "CAST(o_orderkey AS STRING)", "{c}": "CAST(o_custkey AS STRING)", "{k}": "CAST(o_custkey % 7 AS STRING)", "{s}": "o_orderstatus"}
+        parts = [values.get(x) or quoted(x) for x in re.split(r"(\{[ncks]\})", s) if x]
+        return "concat(" + ", ".join(parts) + ")" if parts else "''"
+
+    fifth = f"CASE WHEN o_orderkey % 1009 = 7 THEN {put(decision)} ELSE {put(lines[4])} END"
+    block = "concat(" + ", chr(10), ".join(fifth if i == 4 else put(x) for i, x in enumerate(lines)) + ")"
+    return f"SELECT o_orderkey AS n, concat('app/m', CAST(o_custkey % 97 AS STRING), '/f', CAST(o_custkey % 5 AS STRING), '.{ext}') AS path, {block} AS block FROM orders"
+
+
+def plain_blocks(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
+    """SOURCE_FILES of functions, few of which decide on access."""
+    sql = _blocks(ext)
+    rows = spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("x"))
+    content = F.concat(F.lit(_FIRST.get(ext, "")), F.array_join(F.transform("x", lambda e: e["block"]), "\n"))
+    return files.repartition(8 * spark.sparkContext.defaultParallelism, "path").select("path", content.alias("content"))
+
+
+def _register_plain(ext: str) -> None:
+    rule, head = _BLOCK[ext][2], _FIRST.get(ext, "").count("\n")
+
+    @query(f"scan_plain_{ext}", f"WITH x AS (SELECT o_orderkey AS n, concat('app/m', CAST(o_custkey % 97 AS STRING), '/f', CAST(o_custkey % 5 AS STRING), '.{ext}') AS file FROM orders), y AS (SELECT *, 7 * (row_number() OVER (PARTITION BY file ORDER BY n) - 1) + {head + 5} AS line_start FROM x) SELECT file, CAST(line_start AS BIGINT) AS line_start, '{rule}' AS pattern_rule FROM y WHERE n % 1009 = 7")
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = scan.Scan(plain_blocks(spark, sf_dir, ext), [r for r in rules.builtin() if _LANGUAGE[ext] in r.languages])
+        return s.findings.select("file", "line_start", "pattern_rule")
+
+
+for _ext in _BLOCK:
+    _register_plain(_ext)

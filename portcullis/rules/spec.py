@@ -40,6 +40,8 @@ class Rule:
     tests: tuple[Test, ...] = field(default=(), repr=False)
     externalized: bool = False
     provenance: str | None = None
+    #: all that the query asks for within a block of statements is named in a predicate, so blocks without such names needn't be parsed
+    named_blocks: bool = False
 
     def template(self, engine: str) -> str | None:
         return next((t for e, t in self.templates if e == engine), None)

@@ -180,9 +180,11 @@ def _php(text: str, ts: list[Token]) -> set[str]:
 _IMPORTS = {"typescript": _typescript, "javascript": _typescript, "go": _go, "python": _python, "java": _java, "csharp": _csharp, "php": _php}
 
 
-def policy_imports(text: str, language: str) -> set[str]:
+def policy_imports(text: str, language: str, given: list[Token] | None = None) -> set[str]:
     """Names bound by imports of policy modules; Kotlin and Ruby have none."""
-    return _IMPORTS[language](text, tokens(text, language)) if language in _IMPORTS else set()
+    if language not in _IMPORTS or not is_policy_path(text):
+        return set()  # no import can name a policy module
+    return _IMPORTS[language](text, tokens(text, language) if given is None else given)
 
 
 _LINES = {"go", "python", "kotlin", "ruby"}
@@ -227,11 +229,11 @@ def _run(ts: list[Token], i: int, language: str, stop: tuple[str, ...]) -> int:
     return len(ts)
 
 
-def assignments(text: str, language: str) -> list[tuple[str, str]]:
+def assignments(text: str, language: str, given: list[Token] | None = None) -> list[tuple[str, str]]:
     """(name, right side): declarations, assignments, keyed values; in C# and PHP also names with their declared types."""
     if language not in _IMPORTS:
         return []
-    ts = tokens(text, language)
+    ts = tokens(text, language) if given is None else given
     out: list[tuple[str, str]] = []
     span = lambda a, b: text[ts[a].start : ts[b - 1].end] if b > a else ""
     for i, t in enumerate(ts):

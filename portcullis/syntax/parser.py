@@ -22,6 +22,7 @@ _LEVELS = [
 ]
 BINARY = {op: i for i, level in enumerate(_LEVELS) for op in level.split()}
 RIGHT = {0, 1, 2, 14}
+_POSTFIX = {".", "?.", "::", "->", "?->", "&.", "(", "[", "!", "++", "--", "<", "{"}
 PREFIX = set("! - + ~ & * ++ -- <- ... .. :: @ typeof await void delete not yield new throw return case".split())
 
 _C_WORDS = set(
@@ -46,9 +47,9 @@ class Parser:
     methods_before_braces = False
     typed_methods = False  # Type name(...); declares a method
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, text: str, given: list[Token] | None = None) -> None:
         self.text = text
-        self.tokens = tokens(text, self.language)
+        self.tokens = tokens(text, self.language) if given is None else given
         self.n = len(self.tokens)
         self.at = 0
         self.depth = 0
@@ -62,12 +63,15 @@ class Parser:
         return self.tokens[i] if i < self.n else None
 
     def text_at(self, k: int = 0) -> str:
-        t = self.peek(k)
-        return t.text if t is not None and t.kind != STRING else ""
+        i = self.at + k
+        if i >= self.n:
+            return ""
+        t = self.tokens[i]
+        return "" if t.kind == STRING else t.text
 
     def kind_at(self, k: int = 0) -> str:
-        t = self.peek(k)
-        return t.kind if t is not None else ""
+        i = self.at + k
+        return self.tokens[i].kind if i < self.n else ""
 
     def take(self) -> Token:
         self.at += 1
@@ -228,7 +232,13 @@ class Parser:
             self.depth -= 1
 
     def expression(self, least: int = 0) -> Node | None:
-        return self.deeper(self._expression, least)
+        if self.depth >= DEEPEST or self.at >= self.n:
+            self.at = min(self.n, self.at + 1)
+            return None
+        self.depth += 1
+        out = self._expression(least)
+        self.depth -= 1
+        return out
 
     def _expression(self, least: int) -> Node | None:
         left = self.unary()
@@ -260,12 +270,12 @@ class Parser:
 
     def operator(self) -> tuple[str, int] | None:
         """The binary operator that stands here, and its tokens."""
-        t = self.peek()
-        if t is None or t.kind not in (OP, ID):
+        if self.at >= self.n:
             return None
+        t = self.tokens[self.at]
         if t.kind == OP:
             return (t.text, 1) if t.text in BINARY and self.allowed(t.text) else None
-        return (t.text, 1) if t.text in self.word_operators else None
+        return (t.text, 1) if t.kind == ID and t.text in self.word_operators else None
 
     word_operators: set[str] = {"instanceof", "in", "as"}
 
@@ -426,13 +436,14 @@ class Parser:
     named_arguments = False
 
     def postfix(self, left: Node) -> Node:
-        while (t := self.peek()) is not None:
+        while self.at < self.n:
+            t = self.tokens[self.at]
             if t.kind == NEWLINE:
                 if self.continues():
                     self.skip_newlines()
                     continue
                 break
-            if t.kind != OP:
+            if t.kind != OP or t.text not in _POSTFIX:
                 break
             if t.text in self.member_ops:
                 after = self.peek(1)
@@ -1282,8 +1293,8 @@ class Python(Parser):
 class _BracketedPython(Python):
     """In brackets a new line is no end."""
 
-    def __init__(self, text: str) -> None:
-        super().__init__(text)
+    def __init__(self, text: str, given: list[Token] | None = None) -> None:
+        super().__init__(text, given)
         depth, kept = 0, []
         for t in self.tokens:
             if t.kind == OP:
@@ -1469,8 +1480,8 @@ class Ruby(Parser):
 PARSERS = {"typescript": TypeScript, "javascript": JavaScript, "java": Java, "csharp": CSharp, "go": Go, "kotlin": Kotlin, "php": Php, "python": _BracketedPython, "ruby": Ruby}
 
 
-def parse(text: str, language: str) -> Node:
-    """The tree of a source text. Past DEEPEST levels of nesting, inner parts are passed over."""
+def parse(text: str, language: str, given: list[Token] | None = None) -> Node:
+    """The tree of a source text, of its tokens if they are given. Past DEEPEST levels of nesting, inner parts are passed over."""
     if sys.getrecursionlimit() < 5000:
         sys.setrecursionlimit(5000)  # DEEPEST levels take some ten calls each
-    return PARSERS[language](text).parse()
+    return PARSERS[language](text, given).parse()

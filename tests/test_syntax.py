@@ -11,13 +11,15 @@ PIECES = ["a", "role", "if", "class", "def", "end", "function", "(", ")", "[", "
 
 
 @pytest.mark.parametrize("language", model.LANGUAGES)
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PIECES), max_size=60))
 def test_any_text_is_parsed(language, pieces):
     text = " ".join(pieces)
     tree = parse(text, language)
     for node in tree.walk():
         assert 0 <= node.start <= node.end <= len(text)
+        for _, c in node.children:  # the scan looks for what a rule needs in the text of the outermost node
+            assert node.start <= c.start and c.end <= node.end or c.kind == "heredoc_body", (node.kind, c.kind)
     policy_imports(text, language)
     assignments(text, language)
 
