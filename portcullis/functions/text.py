@@ -16,8 +16,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; the empty piece after a last end is no line."""
-    parts = F.split(text, "\r?\n")
-    return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    none = F.array().cast("array<string>")
+    return let(F.split(text, "\r?\n"), lambda parts: F.when(F.size(parts) == 0, none).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def little_endian(n: Column) -> Column:
@@ -117,10 +117,12 @@ def bounded_imports(all_lines: Column, max_chars: int) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("spent"), F.lit(False).alias("full"))
 
     def step(a: Column, x: Column) -> Column:
-        line = clipped(x, IMPORT_BYTES)
-        size = F.octet_length(line) + 1
-        full = a["full"] | (a["spent"] + size > budget)
-        return F.struct(F.when(full, a["out"]).otherwise(F.concat(a["out"], F.array(line))).alias("out"), F.when(full, a["spent"]).otherwise(a["spent"] + size).alias("spent"), full.alias("full"))
+        def put(line: Column) -> Column:
+            spent = a["spent"] + F.octet_length(line) + 1
+            kept = F.struct(F.concat(a["out"], F.array(line)).alias("out"), spent.alias("spent"), F.lit(False).alias("full"))
+            return F.when(spent > budget, F.struct(a["out"].alias("out"), a["spent"].alias("spent"), F.lit(True).alias("full"))).otherwise(kept)
+
+        return F.when(a["full"], a).otherwise(let(clipped(x, IMPORT_BYTES), put))
 
     return F.aggregate(F.slice(all_lines, 1, IMPORT_LINES), start, step)["out"]
 
@@ -162,10 +164,14 @@ def context(content: Column, line_start: Column, line_end: Column, max_chars: in
 
 def line_range(all_lines: Column, start: Column, end: Column) -> Column:
     """Lines start to end, joined; null if the range is no range or starts after the last line."""
-    n = F.size(all_lines)
-    last = F.greatest(F.least(end, n), start)
-    ok = (start > 0) & (end >= start) & (n > 0) & (start <= n)
-    return F.when(ok, F.array_join(F.slice(all_lines, F.greatest(start, F.lit(1)).cast("int"), F.greatest(last - start + 1, F.lit(0)).cast("int")), "\n"))
+
+    def cut(every: Column) -> Column:
+        n = F.size(every)
+        last = F.greatest(F.least(end, n), start)
+        ok = (start > 0) & (end >= start) & (n > 0) & (start <= n)
+        return F.when(ok, F.array_join(F.slice(every, F.greatest(start, F.lit(1)).cast("int"), F.greatest(last - start + 1, F.lit(0)).cast("int")), "\n"))
+
+    return let(all_lines, cut)
 
 
 def strip_fence(s: Column) -> Column:

@@ -18,6 +18,8 @@ def close(bindings: DataFrame, edges: DataFrame) -> DataFrame:
     """All bindings (scope, name) after the closure. Scopes without a first binding have none."""
     words = F.explode(F.array_distinct(F.regexp_extract_all("rhs", F.lit(r"(?U)\w+"), F.lit(0)))).alias("name")
     known = checkpointed(bindings.select("scope", "name").distinct())
+    if known.isEmpty():
+        return known
     uses = checkpointed(edges.join(known.select("scope").distinct(), "scope", "left_semi").select("scope", "lhs", words).where("lhs <> name").distinct())
     new = known
     while True:

@@ -181,7 +181,7 @@ def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _matcher(given)
-        gc.disable()  # trees have no cycles, and are many objects; the worker collects between batches
+        gc.disable()  # trees have no cycles, and are many objects: they go as soon as their file is done
         for b in batches:
             rows = []
             for path, content, language in zip(b.column("path").to_pylist(), b.column("content"), b.column("language").to_pylist(), strict=True):
@@ -193,7 +193,6 @@ def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
                 names = sorted(policy_imports(source, language, read)) if found or language == "go" else []
                 edges = assignments(source, language, read) if names else []
                 rows.append({"file": path, "language": language, "matches": found, "names": names, "edges": [{"lhs": x, "rhs": y} for x, y in edges]})
-            gc.collect()
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
         gc.enable()
 

@@ -30,13 +30,13 @@ SELECT DISTINCT file AS scope, CASE seq % 52 WHEN 0 THEN 'enforcer' WHEN 1 THEN
 FROM ({FINDINGS}) t
 """
 
-#: Assignments n0 -> n1 -> ... within scopes, with cycles, and names without a seed.
+#: Assignments of names of six levels, each to the next and the last to the first, within scopes; one seed in each scope.
 EDGES = """
-SELECT DISTINCT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST((event_id * 7) % 997 AS STRING)) AS lhs,
-  concat('make(n', CAST((event_id * 5) % 997 AS STRING), ', n', CAST((event_id * 11) % 997 AS STRING), ')') AS rhs
+SELECT DISTINCT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST((event_id % 6 + 1) % 6 AS STRING), '_', CAST((event_id * 7) % 97 AS STRING)) AS lhs,
+  concat('make(n', CAST(event_id % 6 AS STRING), '_', CAST((event_id * 5) % 89 AS STRING), ', n', CAST(event_id % 6 AS STRING), '_', CAST((event_id * 11) % 83 AS STRING), ')') AS rhs
 FROM events
 """
-SEEDS = "SELECT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST((min(event_id) * 5) % 997 AS STRING)) AS name FROM events GROUP BY 1"
+SEEDS = "SELECT concat('s', CAST(user_id % 30 AS STRING)) AS scope, concat('n', CAST(min(event_id) % 6 AS STRING), '_', CAST((min(event_id) * 5) % 89 AS STRING)) AS name FROM events GROUP BY 1"
 
 #: Second looks at ranges near those of the findings.
 SEMANTIC = f"""

@@ -304,7 +304,7 @@ _CONTENT = f"SELECT seq, line_start, line_end, 300 AS n FROM ({D.FINDINGS}) t"
 def context_window(spark, sf):
     """The window around each range of a file of 300 lines, and its first and last line."""
     lines = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.concat(F.lit("l"), i)), "\n")
-    x = frame(spark, sf, _CONTENT).select("seq", text.context(lines, F.col("line_start"), F.col("line_end"), 16_000).alias("x"))
+    x = frame(spark, sf, _CONTENT).withColumn("content", lines).select("seq", text.context(F.col("content"), F.col("line_start"), F.col("line_end"), 16_000).alias("x"))
     s = F.split("x.snippet", "\n")
     return x.select("seq", F.col("x.line_start"), F.col("x.line_end"), s[0].alias("first"), F.element_at(s, -1).alias("last"))
 

@@ -37,7 +37,7 @@ def rule_code(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     head = [F.lit(examples.HEADS[language])] if examples.HEADS[language] else []
     content = F.concat_ws("\n", *head, F.transform("x", lambda e: e["code"]))
     # few rows that take long: without a number of partitions, adaptive execution would put them into one
-    return files.repartition(8 * spark.sparkContext.defaultParallelism, "stem").select(F.concat(F.lit("src/"), "stem", F.lit(f".{EXTENSION[language]}")).alias("path"), content.alias("content"))
+    return files.repartition(3 * spark.sparkContext.defaultParallelism, "stem").select(F.concat(F.lit("src/"), "stem", F.lit(f".{EXTENSION[language]}")).alias("path"), content.alias("content"))
 
 
 def _rule_hits(language: str) -> str:
@@ -120,7 +120,7 @@ def _forms() -> list[tuple[int, str, str, str, int, bool]]:
 def form_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SOURCE_FILES: a file of each form for each stem; the Go ones have folders of their own."""
     forms = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(ext).alias("ext"), F.lit(content).alias("content")) for k, ext, content, _, _, _ in _forms()])
-    stems = frame(spark, sf_dir, f"SELECT DISTINCT {_STEM} AS stem FROM events").repartition(8 * spark.sparkContext.defaultParallelism, "stem")
+    stems = frame(spark, sf_dir, f"SELECT DISTINCT {_STEM} AS stem FROM events").repartition(3 * spark.sparkContext.defaultParallelism, "stem")
     return stems.select("stem", F.explode(forms).alias("f")).select(F.concat(F.lit("k"), "f.k", F.lit("/"), "stem", F.lit("."), "f.ext").alias("path"), "f.content")
 
 

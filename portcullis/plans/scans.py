@@ -70,7 +70,7 @@ def code(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     files = lines.groupBy("stem", "u").agg(F.array_sort(F.collect_list(F.struct("event_id", "line"))).alias("x"))
     folder = F.concat(F.lit("d"), F.col("u")) if ext == "go" else F.lit("src")  # each Go file is a package of its own
     # few rows that take long: without a number of partitions, adaptive execution would put them into one
-    return files.repartition(8 * spark.sparkContext.defaultParallelism, "stem").select(F.concat(folder, F.lit("/"), "stem", F.lit(f".{ext}")).alias("path"), F.concat_ws("\n", first, F.transform("x", lambda e: e["line"])).alias("content"))
+    return files.repartition(3 * spark.sparkContext.defaultParallelism, "stem").select(F.concat(folder, F.lit("/"), "stem", F.lit(f".{ext}")).alias("path"), F.concat_ws("\n", first, F.transform("x", lambda e: e["line"])).alias("content"))
 
 
 def _expected(ext: str) -> str:
@@ -114,7 +114,7 @@ def plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SOURCE_FILES as code bases are: long files, few of whose lines decide on access."""
     rows = spark.sql(_PLAIN.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
-    return files.repartition(8 * spark.sparkContext.defaultParallelism, "path").select("path", F.concat_ws("\n", F.transform("x", lambda e: e["line"])).alias("content"))
+    return files.repartition(3 * spark.sparkContext.defaultParallelism, "path").select("path", F.concat_ws("\n", F.transform("x", lambda e: e["line"])).alias("content"))
 
 
 @query("scan_plain_code", f"WITH x AS ({_PLAIN}), y AS (SELECT path, n, line, row_number() OVER (PARTITION BY path ORDER BY n, line) AS line_start FROM x) SELECT path AS file, line_start, 'ts-role-check-conditional' AS pattern_rule FROM y WHERE n % 1009 = 7")
@@ -160,7 +160,7 @@ def plain_blocks(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     rows = spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
     files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("x"))
     content = F.concat(F.lit(_FIRST.get(ext, "")), F.array_join(F.transform("x", lambda e: e["block"]), "\n"))
-    return files.repartition(8 * spark.sparkContext.defaultParallelism, "path").select("path", content.alias("content"))
+    return files.repartition(3 * spark.sparkContext.defaultParallelism, "path").select("path", content.alias("content"))
 
 
 def _register_plain(ext: str) -> None:

@@ -126,7 +126,7 @@ def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules
     if os.path.isdir(root):
         top = Path(root).resolve()
         found = list(_local_paths(top, [re.compile(p) for p in patterns], [(re.compile(p), k) for p, k in rules]))
-        n = max(1, min(len(found), 8 * spark.sparkContext.defaultParallelism))
+        n = max(1, min(-(-len(found) // 16), 8 * spark.sparkContext.defaultParallelism))
         base = str(top)
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
