@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portcullis import model
-from portcullis.functions import paths, text
+from portcullis.functions import paths, policy_check, text
 from portcullis.operators.findings import put_output
 
 GENERATOR = "portcullis"
@@ -106,3 +109,15 @@ def policy_files(findings: DataFrame, engine: str, output_dir: str, prefix: str
     content = F.concat(F.array_join(F.array(F.lit(f"{mark} Generated by {GENERATOR}"), *head), "\n"), F.lit("\n"), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"), F.lit("\n"))
     label = package if engine == "rego" else paths.cedar_label(F.col("file"), prefix)
     return groups.select("file", label.alias("label"), paths.policy_path(F.col("file"), engine, output_dir, prefix).alias("output_path"), content.alias("content"), "finding_count")
+
+
+def checked(policies: DataFrame, engine: str, content: str = "content") -> DataFrame:
+    """policies with ``valid``: whether their text can be read by the engine's grammar; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            valid = pa.array([policy_check.validate(engine, t.as_py() or "")[0] for t in b.column(content)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, valid], names=[*b.schema.names, "valid"])
+
+    schema = policies.schema
+    return policies.mapInArrow(run, type(schema)([*schema.fields]).add("valid", "boolean"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from portcullis import rules
 from portcullis.checkpoints import checkpointed
 from portcullis.deep import prompt
-from portcullis.functions import policy_check, text
+from portcullis.functions import text
 from portcullis.operators import candidates, findings, policies, scan
 from portcullis.plans import derived as D
 from portcullis.plans.derived import frame
@@ -86,9 +86,22 @@ def select_candidates(spark: SparkSession, sf: str) -> DataFrame:
 SELECT file, count_if(k IN (0, 2, 6) OR k = 3 AND b <> 0) AS finding_count, true AS valid FROM x GROUP BY file HAVING count_if(k IN (0, 2, 6) OR k = 3 AND b <> 0) > 0""")
 def scan_policy_files(spark: SparkSession, sf: str) -> DataFrame:
     """Rego files of a whole scan, each checked."""
-    checked = F.udf(lambda p: policy_check.validate("rego", p)[0], "boolean")
     out = policies.policy_files(_scan(spark, sf, "ts").findings, "rego", "out", "app")
-    return out.select("file", "finding_count", checked("content").alias("valid"))
+    return policies.checked(out.select("file", "finding_count", "content"), "rego").drop("content")
+
+
+_BROKEN = """SELECT seq, CASE seq % 6 WHEN 0 THEN concat('package a', chr(10), 'allow if {', chr(10), '  input.x == "', category, '"', chr(10), '}') WHEN 1 THEN concat('package a', chr(10), 'allow if { input.x == }') WHEN 2 THEN concat('package a', chr(10), 'x := "', category)
+  WHEN 3 THEN concat('package a', chr(10), 'allow if { some i; input.xs[i] == ', CAST(seq AS STRING), ' }') WHEN 4 THEN concat('allow if { true }', category) ELSE concat('package a', chr(10), 'default allow') END AS rego,
+  CASE seq % 5 WHEN 0 THEN concat('permit (principal, action, resource) when { principal.role == "', category, '" };') WHEN 1 THEN 'permit (principal, action, resource)' WHEN 2 THEN concat('permit (principal, action, resource) when { ', category, ' };')
+  WHEN 3 THEN concat('forbid (principal, action == Action::"', category, '", resource);') ELSE 'permit (action, principal, resource);' END AS cedar FROM """ + f"({D.FINDINGS}) t"
+
+
+@query("policy_checks", W(f=D.FINDINGS) + "SELECT seq, seq % 6 IN (0, 3) AS rego, seq % 5 IN (0, 3) AS cedar FROM f")
+def policy_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Policies that an engine reads among ones that it refuses."""
+    p = frame(spark, sf, _BROKEN)
+    one = policies.checked(p, "rego", "rego").drop("rego").withColumnRenamed("valid", "rego")
+    return policies.checked(one, "cedar", "cedar").drop("cedar").withColumnRenamed("valid", "cedar").select("seq", "rego", "cedar")
 
 
 @query("findings_in_order", W(f=D.FINDINGS) + "SELECT seq, row_number() OVER (ORDER BY string_split(file, '/'), line_start, seq) AS place FROM f")

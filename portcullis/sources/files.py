@@ -68,13 +68,29 @@ def exclusion_patterns(globs: list[str]) -> list[str]:
     return out
 
 
+def _below(glob: str, folders: tuple[str, ...]) -> str | None:
+    """What a pattern of an ignore file says within folders below it; None if it says nothing there."""
+    if "/" not in glob.rstrip("/"):
+        return glob  # holds at any depth
+    parts = glob.removeprefix("/").split("/")
+    for name in folders:
+        if parts[0] == "**":
+            return "/".join(parts)
+        if len([x for x in parts if x]) < 2 or not re.search(glob_pattern(parts[0]), name):
+            return None
+        parts = parts[1:]
+    return "/" + "/".join(parts)
+
+
 def ignore_rules(root: str | os.PathLike) -> list[tuple[str, bool]]:
-    """(pattern, keeps) of the ignore files of a local tree, outer ones first; of the patterns that match a path the last one counts."""
+    """(pattern, keeps) of the ignore files that hold for a local tree; of the patterns that match a path the last one counts.
+
+    Least weight first: the user's own file, the repository's exclude file, the .gitignore files of the folders above up to the
+    repository's root, those of the tree from the outside in."""
     top = Path(root).resolve()
     out: list[tuple[str, bool]] = []
 
-    def read(folder: Path, prefix: str) -> None:
-        f = folder / ".gitignore"
+    def read(f: Path, prefix: str = "", folders: tuple[str, ...] = ()) -> None:
         if not f.is_file():
             return
         for line in f.read_text(encoding="utf-8", errors="replace").splitlines():
@@ -82,13 +98,23 @@ def ignore_rules(root: str | os.PathLike) -> list[tuple[str, bool]]:
             if not line or line.startswith("#"):
                 continue
             keeps = line.startswith("!")
-            p = glob_pattern(line[1:] if keeps else line)
-            out.append(("^" + re.escape(prefix) + (p[1:] if p.startswith("^") else p), keeps))
-
+            glob = _below(line[1:] if keeps else line, folders)
+            if glob is not None:
+                p = glob_pattern(glob)
+                out.append(("^" + re.escape(prefix) + (p[1:] if p.startswith("^") else p), keeps))
+
+    repository = next((x for x in (top, *top.parents) if (x / ".git").exists()), None)
+    if repository is not None:
+        above = [x for x in reversed((top, *top.parents)) if x == repository or repository in x.parents]
+        config = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config")
+        read(config / "git" / "ignore", folders=top.relative_to(repository).parts)
+        read(repository / ".git" / "info" / "exclude", folders=top.relative_to(repository).parts)
+        for x in above[:-1]:
+            read(x / ".gitignore", folders=top.relative_to(x).parts)
     for at, folders, _ in os.walk(top):
         folders[:] = sorted(d for d in folders if not d.startswith("."))
         relative = Path(at).relative_to(top).as_posix()
-        read(Path(at), "" if relative == "." else relative + "/")
+        read(Path(at) / ".gitignore", "" if relative == "." else relative + "/")
     return out
 
 
@@ -120,7 +146,7 @@ def _local_paths(root: Path, excludes: list[re.Pattern], rules: list[tuple[re.Pa
 def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules: list[tuple[str, bool]] = ()) -> DataFrame:
     """SOURCE_FILES of known languages below root. Hidden, excluded and ignored files, and text that isn't valid UTF-8, are left out.
 
-    A local folder is listed by the driver, paths alone, and read by the workers, which must see it too. Any other file system is
+    A local folder is listed by the driver, paths alone, and read by the workers; a worker that doesn't see the folder fails. Any other file system is
     read by Spark's own reader, with the path filters before the content; that reader passes over names that begin with ``_``."""
     patterns = exclusion_patterns(list(excludes))
     if os.path.isdir(root):
@@ -134,8 +160,12 @@ def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules
                 for path in b.column("path").to_pylist():
                     try:
                         content = Path(base, path).read_bytes().decode()
-                    except (OSError, UnicodeDecodeError):
+                    except (UnicodeDecodeError, PermissionError):
                         continue
+                    except FileNotFoundError:
+                        if not os.path.isdir(base):  # this machine doesn't see the tree: no scan rather than an empty one
+                            raise
+                        continue  # removed since it was listed
                     yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content])], names=["path", "content"])
 
         return spark.createDataFrame([(p,) for p in found], "path string").repartition(n, "path").mapInArrow(read, "path string, content string")
