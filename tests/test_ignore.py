@@ -14,6 +14,7 @@ def repository(tmp_path, monkeypatch):
     (repo / ".git" / "info").mkdir(parents=True)
     (repo / ".git" / "info" / "exclude").write_text("/app/private/\n")
     (repo / ".gitignore").write_text("gen\n/app/src/out/\n/lib/x.ts\napp/**/tmp.ts\n*.min.js\n!keep.min.js\n")
+    (repo / "app" / "src").mkdir(parents=True)
     (repo / "app" / ".gitignore").write_text("src/old.ts\n")
     for f in ("a.ts", "a.user.ts", "gen/b.ts", "out/c.ts", "deep/out/d.ts", "old.ts", "deep/tmp.ts", "x.ts", "m.min.js", "keep.min.js"):
         path = repo / "app" / "src" / f
