@@ -10,6 +10,7 @@ from pathlib import Path
 
 from portcullis import model
 from portcullis.syntax import Query, QueryError
+from portcullis.syntax.kinds import kinds
 
 KINDS = ("match", "eq", "not_match", "not_eq")
 DEEPEST = 10
@@ -47,7 +48,7 @@ class Rule:
         return next((t for e, t in self.templates if e == engine), None)
 
     def compiled(self) -> Query:
-        """The query, once it is known to have all captures that the rule names."""
+        """The query, once it is known to have all captures that the rule names, and to ask only for nodes that there can be."""
         try:
             q = Query(self.query)
         except QueryError as e:
@@ -55,6 +56,9 @@ class Rule:
         named = {"match", *(c for c, _, _ in self.predicates), *(c for _, cs, _ in self.cross for c in cs), *([self.provenance] if self.provenance else [])}
         if missing := sorted(named - q.capture_names):
             raise RuleError(f"{self.id}: the query has no capture {', '.join(missing)}")
+        for language in self.languages:
+            if unknown := sorted(q.kinds - kinds(language)):
+                raise RuleError(f"{self.id}: trees of {language} have no nodes of kind {', '.join(unknown)}")
         return q
 
 

@@ -5,6 +5,8 @@ from hypothesis import strategies as st
 from portcullis import model, rules
 from portcullis.operators.scan import Matcher, render
 from portcullis.syntax import Query, QueryError, parse
+from portcullis.rules import RuleError, examples
+from portcullis.syntax.kinds import kinds
 from portcullis.syntax.imports import assignments, policy_imports
 
 PIECES = ["a", "role", "if", "class", "def", "end", "function", "(", ")", "[", "]", "{", "}", ".", "?.", "->", "::", ",", ";", ":", "=", "==", "=>", "\n", " ", '"x"', "'y'", "`z`", "@", "#", "$v", ":s", "<", ">", "!", "?", "&", "new", "return", "1", '"', "/*", "//", "\\", "é", "import", "use", "from"]
@@ -20,6 +22,7 @@ def test_any_text_is_parsed(language, pieces):
         assert 0 <= node.start <= node.end <= len(text)
         for _, c in node.children:  # the scan looks for what a rule needs in the text of the outermost node
             assert node.start <= c.start and c.end <= node.end or c.kind == "heredoc_body", (node.kind, c.kind)
+        assert not node.named or node.kind in kinds(language), node.kind
     policy_imports(text, language)
     assignments(text, language)
 
@@ -113,3 +116,19 @@ def test_markup_in_code():
     s = 'const P = () => { return <div><b>x</b> {hasRole("a")} <i>y</i> {user.roles.includes("b")}</div>; };\nif (user.role === "c") { f(<A x={1}/>); }\nconst r = /hasRole("z")/;\n'
     got = [(x["rule_id"], x["captures"]) for x in Matcher(rules.builtin()).matches(s, "typescript")]
     assert sorted(dict(c)["role_value"] for _, c in got) == ['"a"', '"b"', '"c"']
+
+
+@pytest.mark.parametrize("language", model.LANGUAGES)
+def test_kinds_of_all_examples_are_known(language):
+    text = "\n".join(examples.source(language, code) for code, _, _ in examples.EXAMPLES["typescript" if language == "javascript" else language])
+    assert {n.kind for n in parse(text, language).walk() if n.named} <= kinds(language)
+
+
+@pytest.mark.parametrize(("language", "query"), [
+    ("typescript", "(import_statement) @match"), ("typescript", "(return_statement) @match"), ("python", "(if_statement) @match"), ("python", "(call function: (no_such_thing)) @match"), ("go", "(function_declaration) @match"), ("ruby", "[(call) (call_expression)] @match"),
+])
+def test_kinds_that_no_tree_has_are_refused(language, query):
+    rule = rules.Rule("r", (language,), "rbac", "high", "d", query)
+    with pytest.raises(RuleError, match="have no nodes of kind"):
+        rule.compiled()
+    assert "r" in Matcher([rule]).refused
