@@ -118,7 +118,7 @@ def _master(language: str) -> tuple[re.Pattern, dict[str, tuple[str, str, bool]]
     for i, (opened, closed, escapes) in enumerate(x.strings):
         marks[f"string{i}"] = (opened, closed, escapes)
         parts.append(f"(?P<string{i}>{prefix}{_string(language, opened, closed, escapes)})")
-    parts += [f"(?P<id>{x.identifier})", r"(?P<number>\d(?:\w|\.\d)*)"]
+    parts += [r"(?P<number>0[xX]\w+|\d(?:[eE][+-]\d|\w|\.\d)*)", f"(?P<id>{x.identifier})"]  # no name begins with a digit
     if x.regexes:
         parts.append(r"(?P<regex>/(?![*/ ])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)")
     parts.append("(?P<op>" + "|".join(re.escape(o) for o in _OPS) + "|.)")

@@ -13,6 +13,7 @@ from portcullis.syntax.lexer import ID, NEWLINE, NUMBER, OP, STRING, SYMBOL, VAR
 from portcullis.syntax.tree import Node
 
 DEEPEST = 120
+_FLOAT = re.compile(r"(?!0[xX])(?:.*[.eE].*|.*[fFdDmM])", re.S)
 _WORD = re.compile(r"(?:\\.|[^\s\\])+", re.S)
 _ESCAPE = re.compile(r"\\(?:u\{[0-9A-Fa-f]*\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|\r\n|.)", re.S)
 
@@ -43,6 +44,7 @@ class Parser:
     member_kind, object_field, member_field, member_name_kind = "member_expression", "object", "property", "property_identifier"
     binary_kind, operator_field = "binary_expression", "operator"
     identifier_kind = "identifier"
+    integer_kind, float_kind = "number", "number"
     member_ops = {".", "?.", "::"}
     methods_before_braces = False
     typed_methods = False  # Type name(...); declares a method
@@ -315,7 +317,7 @@ class Parser:
         if t.kind == STRING:
             return self.string(self.take())
         if t.kind == NUMBER:
-            return self.leaf("number", self.take())
+            return self.leaf(self.float_kind if _FLOAT.fullmatch(t.text) else self.integer_kind, self.take())
         if t.kind == VARIABLE:
             return self.leaf("variable_name", self.take())
         if t.kind == SYMBOL:
@@ -617,6 +619,7 @@ class Java(Parser):
     language = "java"
     words = _C_WORDS - {"type", "get", "set", "init", "select", "map", "range", "go", "object", "data", "open", "when", "use", "match", "module", "end", "begin", "print", "echo", "require", "include", "unless", "until", "then", "with", "self", "val", "fun", "func", "def", "function", "params", "where", "ref", "out", "internal", "partial", "pass", "not", "and", "or", "is", "fn", "operator", "inline", "infix", "ensure", "raise", "global", "clone", "virtual", "override", "chan", "defer", "lambda", "from", "as", "of", "in", "struct", "trait", "using", "let", "await", "async", "typeof", "yield", "del", "export", "namespace", "suspend", "companion", "record", "var", "readonly", "elif", "elsif", "foreach", "rescue", "goto"}
     string_kind, content_kind = "string_literal", "string_fragment"
+    integer_kind, float_kind = "decimal_integer_literal", "decimal_floating_point_literal"
     arguments_kind = "argument_list"
     methods_before_braces = typed_methods = True
 
@@ -769,6 +772,7 @@ class CSharp(Java):
     language = "csharp"
     words = (Java.words | {"in", "is", "as", "using", "namespace", "ref", "out", "params", "internal", "partial", "virtual", "override", "readonly", "sealed", "await", "async", "foreach", "struct", "typeof", "goto", "yield", "where"}) - {"package", "import", "assert", "require"}
     string_kind, content_kind = "string_literal", "string_literal_content"
+    integer_kind, float_kind = "integer_literal", "real_literal"
     argument_kind = "argument"
     named_arguments = True
     word_operators = {"is", "as", "in"}
@@ -843,6 +847,7 @@ class Go(Parser):
     words = {"if", "else", "for", "switch", "case", "default", "break", "continue", "return", "go", "defer", "range", "func", "var", "const", "type", "struct", "interface", "import", "package", "select", "fallthrough", "goto", "chan", "map"}
     arguments_kind = "argument_list"
     member_kind, object_field, member_field, member_name_kind = "selector_expression", "operand", "field", "field_identifier"
+    integer_kind, float_kind = "int_literal", "float_literal"
     member_ops = {"."}
     word_operators: set[str] = set()
 
@@ -924,6 +929,7 @@ class Kotlin(Parser):
     language = "kotlin"
     words = {"if", "else", "for", "while", "do", "when", "return", "try", "catch", "finally", "throw", "class", "interface", "object", "fun", "val", "var", "import", "package", "in", "is", "as", "public", "private", "protected", "internal", "override", "open", "data", "sealed", "abstract", "companion", "suspend", "lateinit", "inline", "const", "enum", "break", "continue", "typealias"}
     string_kind, content_kind = "string_literal", "string_content"
+    integer_kind, float_kind = "number_literal", "float_literal"
     arguments_kind, argument_kind = "value_arguments", "value_argument"
     member_kind = "navigation_expression"
     member_ops = {".", "?.", "::"}
@@ -1007,6 +1013,7 @@ class Php(Parser):
     words = _C_WORDS - {"type", "get", "set", "init", "select", "map", "range", "go", "object", "data", "open", "when", "match", "module", "end", "begin", "unless", "until", "then", "with", "self", "val", "fun", "func", "def", "params", "where", "ref", "out", "internal", "partial", "pass", "not", "is", "operator", "inline", "infix", "ensure", "raise", "virtual", "override", "chan", "defer", "assert", "lambda", "from", "of", "package", "struct", "using", "let", "await", "async", "typeof", "del", "export", "suspend", "companion", "in", "import", "void", "record", "synchronized", "sealed", "range", "elif", "elsif", "rescue", "nonlocal", "lateinit"}
     argument_kind = "argument"
     identifier_kind = "name"
+    integer_kind, float_kind = "integer", "float"
     content_kind = "string_content"
     member_ops = {"->", "?->", "::"}
     word_operators = {"instanceof", "and", "or"}
@@ -1164,6 +1171,7 @@ class Python(Parser):
     language = "python"
     words = {"if", "elif", "else", "for", "while", "return", "yield", "try", "except", "finally", "raise", "with", "as", "class", "def", "lambda", "import", "from", "in", "is", "not", "and", "or", "assert", "del", "global", "nonlocal", "pass", "break", "continue", "async", "await", "match_"}
     content_kind, splits_escapes = "string_content", False
+    integer_kind, float_kind = "integer", "float"
     call_kind, arguments_kind = "call", "argument_list"
     member_kind, member_field, member_name_kind = "attribute", "attribute", "identifier"
 
@@ -1308,6 +1316,7 @@ class _BracketedPython(Python):
 
 class Ruby(Parser):
     language = "ruby"
+    integer_kind, float_kind = "integer", "float"
     words = {"if", "unless", "else", "elsif", "end", "while", "until", "for", "in", "do", "begin", "rescue", "ensure", "return", "def", "class", "module", "then", "when", "case", "yield", "and", "or", "not", "break", "next", "redo", "retry", "alias", "undef", "super_"}
     content_kind = "string_content"
     call_kind, arguments_kind = "call", "argument_list"

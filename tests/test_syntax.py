@@ -61,6 +61,18 @@ def test_queries():
             Query(bad)
 
 
+@pytest.mark.parametrize(("language", "integer", "real"), [
+    ("typescript", "number", "number"), ("javascript", "number", "number"), ("python", "integer", "float"), ("go", "int_literal", "float_literal"), ("ruby", "integer", "float"),
+    ("java", "decimal_integer_literal", "decimal_floating_point_literal"), ("csharp", "integer_literal", "real_literal"), ("kotlin", "number_literal", "float_literal"), ("php", "integer", "float"),
+])
+def test_numbers(language, integer, real):
+    source = ("<?php " if language == "php" else "") + "f(12, 1.5, x1, 2e-3)"
+    of = lambda kind: [m["x"] for m in found(f"({kind}) @x", source, language)]
+    assert of(integer) == (["12"] if integer != real else ["12", "1.5", "2e-3"])
+    assert of(real)[-2:] == ["1.5", "2e-3"] and "12" not in of("identifier")
+    rules.Rule("r", (language,), "rbac", "high", "d", f"({real}) @match").compiled()
+
+
 def test_one_annotation_with_two_texts_is_two_matches():
     s = 'class A { @Secured({"A"}) @RolesAllowed("B") void f() { } }'
     m = Matcher(rules.builtin())
