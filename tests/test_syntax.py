@@ -73,6 +73,30 @@ def test_numbers(language, integer, real):
     rules.Rule("r", (language,), "rbac", "high", "d", f"({real}) @match").compiled()
 
 
+def test_groups_and_runs():
+    s = 'f("a", b, "c", "d", e); g(b, "x"); h();'
+    args = "(call_expression function: (identifier) @f arguments: (arguments {}))"
+    seen = lambda inner: [(m["f"], m.get("x"), m.get("y")) for m in found(args.format(inner), s)]
+    assert seen("((string) @x . (identifier) @y)") == [("f", '"a"', "b"), ("f", '"d"', "e")]
+    assert seen("((string) @x . (identifier) @y)?") == [("f", '"a"', "b"), ("f", '"d"', "e"), ("g", None, None), ("h", None, None)]
+    assert seen("(string)+ @x") == [("f", '"d"', None), ("g", '"x"', None)]
+    assert seen("(string)+ @x . (string) @y") == [("f", '"c"', '"d"')]
+    assert seen("(string)+ @x (identifier) @y") == [("f", '"d"', "e")]
+    assert seen(". [(string) (identifier)]+ @x .") == [("f", "e", None), ("g", '"x"', None)]
+    assert seen("((identifier) @x . (string) @y)+") == [("f", "b", '"c"'), ("g", "b", '"x"')]
+    assert seen("((string)+ @x)?") == [("f", '"d"', None), ("g", '"x"', None), ("h", None, None)]
+    assert found("((number) @x . (string) @y)", "f(1, 'a', 2, 'b'); g('c', 3)") == [{"x": "1", "y": "'a'"}, {"x": "2", "y": "'b'"}]
+    assert found("(number)+ @x", "f(1, 2); g(3)") == [{"x": "2"}, {"x": "3"}]
+    assert found("((call_expression) @x)", "f(1)") == [{"x": "f(1)"}]
+    for bad in ("((a) (b)) @x", "((a) .)", "[(a)+ (b)]", "(x f: ((a) (b)))", "((a) (#eq? @x 1))", "((a) (b)", "()"):
+        with pytest.raises(QueryError):
+            Query(bad)
+
+
+def test_long_runs_take_linear_time():
+    assert found("(arguments (number)+ @x (string))", "f(" + "1, " * 20000 + "2)") == []
+
+
 def test_one_annotation_with_two_texts_is_two_matches():
     s = 'class A { @Secured({"A"}) @RolesAllowed("B") void f() { } }'
     m = Matcher(rules.builtin())
