@@ -14,9 +14,12 @@ from portcullis.llm.chat_format import format_chats, read_back
 from portcullis.llm.common import fold, table
 from portcullis.llm.decontaminate import find_leaks
 from portcullis.llm.exact_dedup import exact_dedup
+from portcullis.llm.hard_negatives import mine, relabelled
 from portcullis.llm.language_id import fit as fit_languages
 from portcullis.llm.language_id import identify
 from portcullis.llm.license_scan import license_scan
+from portcullis.llm.simhash import simhash
+from portcullis.llm.whitening import whiten
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,42 @@ def op10_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(docs, model, counts).withColumn("held_out", fold("doc_id", 7) == 2)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 have the next label; those divisible by 100 are anchors."""
+    return mine(table(spark, sf_dir, "embeddings"), label_of=relabelled)
+
+
+HARD_NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * c::DOUBLE) FOR c IN embedding] AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
+  FROM r AS a JOIN r ON a.vec_id <> r.vec_id
+  WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) <= 5
+"""
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op1_url_filter,
     op2_bag_minhash,
@@ -98,6 +137,9 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     op8_language_id,
     op9_chat_format,
     op10_class_lm,
+    op11_simhash,
+    op12_whitening,
+    op13_hard_negatives,
 )
 
 
@@ -106,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op6_exact_dedup": EXACT_DEDUP_SQL, "op13_hard_negatives": HARD_NEGATIVES_SQL}
