@@ -19,7 +19,7 @@ from portcullis.operators import findings as ops
 from portcullis.operators import scan
 from portcullis.sources import config as settings
 from portcullis.sources import findings_json, sinks
-from portcullis.sources.files import ignore_rules, source_files
+from portcullis.sources.files import source_files
 
 KEY = "PORTCULLIS_API_KEY"
 PREFIX, OUTPUT = "app", "./policies/generated"
@@ -78,7 +78,7 @@ def do_scan(a: argparse.Namespace, c: settings.Config) -> int:
         raise settings.ConfigError(f"{', '.join(given)} go with --deep")
     root = str(Path(a.path).resolve())
     second = build(c, a.base_url, a.model, a.agent_cmd, a.api_key, a.max_cost, a.exclude, a.language) if a.deep else None
-    files = source_files(session(), root, [*c.scan.exclude, *a.exclude], ignore_rules(root))
+    files = source_files(session(), root, [*c.scan.exclude, *a.exclude], ignore=True)
     s = scan.Scan(files, rules.load(c.rules.additional, a.rules_dir), a.confidence or c.scan.min_confidence, a.category, a.language)
     found = s.findings
     if second is not None:

@@ -15,7 +15,7 @@ from portcullis.functions import text
 from portcullis.functions.policy_check import validate
 from portcullis.operators import policies, scan
 from portcullis.sources.config import Config
-from portcullis.sources.files import ignore_rules, source_files
+from portcullis.sources.files import source_files
 from portcullis.sources.sinks import VERSION
 
 PROTOCOL = "2024-11-05"
@@ -103,8 +103,7 @@ class Server:
 
     def scan_authz(self, a: dict) -> dict:
         path = self.inside(a.get("path"))
-        ignored = ignore_rules(path) if path.is_dir() else []
-        s = scan.Scan(source_files(self.spark, str(path), self.config.scan.exclude, ignored), self.rules, a.get("min_confidence") or self.config.scan.min_confidence, a.get("categories") or [], a.get("languages") or [])
+        s = scan.Scan(source_files(self.spark, str(path), self.config.scan.exclude, ignore=True), self.rules, a.get("min_confidence") or self.config.scan.min_confidence, a.get("categories") or [], a.get("languages") or [])
         from portcullis.operators.findings import in_order
 
         found = [json.loads(r["j"]) for r in in_order(s.findings, "id").select(F.to_json(F.struct(*s.findings.columns)).alias("j")).toLocalIterator()]
@@ -169,7 +168,7 @@ class Server:
 
     def resources(self) -> list[dict]:
         out = [{"uri": "prompt://system", "name": "The system part of requests", "mimeType": "text/plain"}, {"uri": "prompt://schema", "name": "The schema of answers", "mimeType": "application/json"}]
-        out += [{"uri": f"category://{c}", "name": name, "description": prompt.CATEGORY_NOTES[c], "mimeType": "application/json"} for c, name in model.CATEGORIES.items()]
+        out += [{"uri": f"category://{c}", "name": name, "description": prompt.CATEGORY_NOTES[c][0], "mimeType": "application/json"} for c, name in model.CATEGORIES.items()]
         return out + [{"uri": f"rule://{r.id}", "name": r.id, "description": r.description, "mimeType": "application/json"} for r in self.rules]
 
     def resource(self, uri: str) -> dict:
@@ -179,7 +178,7 @@ class Server:
         if uri == "prompt://schema":
             body: Any = prompt.SCHEMA
         elif kind == "category" and name in model.CATEGORIES:
-            body = {"category": name, "display_name": model.CATEGORIES[name], "description": prompt.CATEGORY_NOTES[name], "examples": [r.id for r in self.rules if r.category == name][:5]}
+            body = {"category": name, "display_name": model.CATEGORIES[name], "description": prompt.CATEGORY_NOTES[name][0], "examples": [r.id for r in self.rules if r.category == name][:5]}
         elif kind == "rule" and self.rule(name):
             body = self.get_rule({"id": name})
         else:

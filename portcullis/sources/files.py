@@ -2,179 +2,43 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Iterator
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from portcullis.functions import paths
-from portcullis.functions.paths import EXTENSIONS
+from portcullis.sources import tree
+from portcullis.sources.ignore import exclusion_patterns, from_lines, glob_pattern, ignore_rules
 
+__all__ = ["exclusion_patterns", "glob_pattern", "ignore_rules", "source_files"]
 
-def glob_pattern(glob: str) -> str:
-    """An ignore-file pattern as a regular expression over paths relative to the pattern's folder.
+#: How deep ignore files are looked for in stores that only Spark reads.
+DEPTH = 24
 
-    ``/`` at the start or inside anchors it; ``**`` spans folders; a trailing ``/`` means a folder. What matches a folder
-    matches all below it."""
-    g = glob.rstrip("/")
-    anchored = "/" in g
-    g = g.removeprefix("/")
-    out, i = "", 0
-    while i < len(g):
-        if g.startswith("**/", i):
-            out += "(?:.*/)?"
-            i += 3
-        elif g.startswith("/**", i) and i + 3 == len(g):
-            out += "/.*"
-            i += 3
-        elif g.startswith("**", i):
-            out += ".*"
-            i += 2
-        elif g[i] == "*":
-            out += "[^/]*"
-            i += 1
-        elif g[i] == "?":
-            out += "[^/]"
-            i += 1
-        elif g[i] == "[" and (end := g.find("]", i + 2)) > 0:
-            body = g[i + 1 : end]
-            out += "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
-            i = end + 1
-        elif g[i] == "\\" and i + 1 < len(g):
-            out += re.escape(g[i + 1])
-            i += 2
-        else:
-            out += re.escape(g[i])
-            i += 1
-    start = "^" if anchored else "(?:^|.*/)"
-    tail = "/.*$" if glob.endswith("/") else "(?:/.*)?$"
-    return start + out + tail
 
-
-def exclusion_patterns(globs: list[str]) -> list[str]:
-    """Patterns of exclude globs; ones that are no globs are left out."""
-    out = []
-    for g in globs:
-        try:
-            p = glob_pattern(g)
-            re.compile(p)
-        except (re.error, IndexError):
-            continue
-        out.append(p)
-    return out
-
-
-def _below(glob: str, folders: tuple[str, ...]) -> str | None:
-    """What a pattern of an ignore file says within folders below it; None if it says nothing there."""
-    if "/" not in glob.rstrip("/"):
-        return glob  # holds at any depth
-    parts = glob.removeprefix("/").split("/")
-    for name in folders:
-        if parts[0] == "**":
-            return "/".join(parts)
-        if len([x for x in parts if x]) < 2 or not re.search(glob_pattern(parts[0]), name):
-            return None
-        parts = parts[1:]
-    return "/" + "/".join(parts)
-
-
-def ignore_rules(root: str | os.PathLike) -> list[tuple[str, bool]]:
-    """(pattern, keeps) of the ignore files that hold for a local tree; of the patterns that match a path the last one counts.
-
-    Least weight first: the user's own file, the repository's exclude file, the .gitignore files of the folders above up to the
-    repository's root, those of the tree from the outside in."""
-    top = Path(root).resolve()
-    out: list[tuple[str, bool]] = []
-
-    def read(f: Path, prefix: str = "", folders: tuple[str, ...] = ()) -> None:
-        if not f.is_file():
-            return
-        for line in f.read_text(encoding="utf-8", errors="replace").splitlines():
-            line = line.rstrip()
-            if not line or line.startswith("#"):
-                continue
-            keeps = line.startswith("!")
-            glob = _below(line[1:] if keeps else line, folders)
-            if glob is not None:
-                p = glob_pattern(glob)
-                out.append(("^" + re.escape(prefix) + (p[1:] if p.startswith("^") else p), keeps))
-
-    repository = next((x for x in (top, *top.parents) if (x / ".git").exists()), None)
-    if repository is not None:
-        above = [x for x in reversed((top, *top.parents)) if x == repository or repository in x.parents]
-        config = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config")
-        read(config / "git" / "ignore", folders=top.relative_to(repository).parts)
-        read(repository / ".git" / "info" / "exclude", folders=top.relative_to(repository).parts)
-        for x in above[:-1]:
-            read(x / ".gitignore", folders=top.relative_to(x).parts)
-    for at, folders, _ in os.walk(top):
-        folders[:] = sorted(d for d in folders if not d.startswith("."))
-        relative = Path(at).relative_to(top).as_posix()
-        read(Path(at) / ".gitignore", "" if relative == "." else relative + "/")
-    return out
-
-
-def _known(name: str) -> bool:
-    stem, dot, ext = name.rpartition(".")
-    return name == "Rakefile" or bool(stem and dot) and ext.lower() in EXTENSIONS
-
-
-def _local_paths(root: Path, excludes: list[re.Pattern], rules: list[tuple[re.Pattern, bool]]) -> Iterator[str]:
-    """Relative paths of source files below a local folder; folders that are hidden, excluded or ignored as a whole aren't entered."""
-
-    def dropped(path: str) -> bool:
-        ignored = False
-        for p, keeps in rules:
-            if p.search(path):
-                ignored = not keeps
-        return ignored or any(p.search(path) for p in excludes)
-
-    unkept = not any(keeps for _, keeps in rules)  # a file in an ignored folder may be kept by a later rule
-    for at, folders, files in os.walk(root, followlinks=False):
-        prefix = Path(at).relative_to(root).as_posix()
-        prefix = "" if prefix == "." else prefix + "/"
-        folders[:] = sorted(d for d in folders if not d.startswith(".") and not (unkept and dropped(f"{prefix}{d}/x")))
-        for f in sorted(files):
-            if not f.startswith(".") and _known(f) and not dropped(prefix + f) and os.path.isfile(os.path.join(at, f)):
-                yield prefix + f
-
-
-def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules: list[tuple[str, bool]] = ()) -> DataFrame:
+def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules: list[tuple[str, bool]] = (), ignore: bool = False) -> DataFrame:
     """SOURCE_FILES of known languages below root. Hidden, excluded and ignored files, and text that isn't valid UTF-8, are left out.
 
-    A local folder is listed by the driver, paths alone, and read by the workers; a worker that doesn't see the folder fails. Any other file system is
-    read by Spark's own reader, with the path filters before the content; that reader passes over names that begin with ``_``."""
-    patterns = exclusion_patterns(list(excludes))
-    if os.path.isdir(root):
-        top = Path(root).resolve()
-        found = list(_local_paths(top, [re.compile(p) for p in patterns], [(re.compile(p), k) for p, k in rules]))
-        n = max(1, min(-(-len(found) // 16), 8 * spark.sparkContext.defaultParallelism))
-        base = str(top)
-
-        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for path in b.column("path").to_pylist():
-                    try:
-                        content = Path(base, path).read_bytes().decode()
-                    except (UnicodeDecodeError, PermissionError):
-                        continue
-                    except FileNotFoundError:
-                        if not os.path.isdir(base):  # this machine doesn't see the tree: no scan rather than an empty one
-                            raise
-                        continue  # removed since it was listed
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content])], names=["path", "content"])
-
-        return spark.createDataFrame([(p,) for p in found], "path string").repartition(n, "path").mapInArrow(read, "path string, content string")
+    rules: (pattern, keeps), as ignore_rules gives them. ignore: the tree's own ignore files count, without being listed first. Trees are
+    read by the ``source_tree`` format; a worker that doesn't see a local folder fails. A store that Arrow can't open is read by Spark's own
+    reader, with the path filters before the content; that one passes over names that begin with ``_``."""
+    if os.path.isdir(root) or "://" in root and tree.Store.opens(root):
+        tree.register(spark)
+        top = root if "://" in root else str(Path(root).resolve())
+        n = max(64, 8 * spark.sparkContext.defaultParallelism)
+        given = {"excludes": "\n".join(excludes), "rules": json.dumps(list(rules)), "ignore": str(ignore).lower(), "partitions": n}
+        return spark.read.format(tree.FORMAT).options(**given).load(top)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.escape(re.sub("^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), f"^.*?{base}/", "")
-    kept = raw.select(path.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\.") & paths.language(F.col("path")).isNotNull())
-    for p in patterns:
+    relative = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", ""), f"^.*?{base}/", "")
+    kept = raw.select(relative.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\.") & paths.language(F.col("path")).isNotNull())
+    for p in exclusion_patterns(list(excludes)):
         kept = kept.where(~F.col("path").rlike(p))
+    rules = [*rules, *(_ignore_files(spark, root) if ignore else [])]
     if rules:
         ignored = F.lit(False)
         for p, keeps in rules:
@@ -182,3 +46,20 @@ def source_files(spark: SparkSession, root: str, excludes: list[str] = (), rules
         kept = kept.where(~ignored)
     text = F.col("content").cast("string")
     return kept.where(F.is_valid_utf8(text)).select("path", text.alias("content"))
+
+
+def _ignore_files(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
+    """Rules of the ignore files of a tree that only Spark's file systems open, from the outside in, level by level. Spark's reader hides
+    names that begin with a dot."""
+    jvm, out = spark._jvm, []
+    store = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in range(DEPTH):
+        for status in store.globStatus(jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/" + "*/" * k + ".gitignore")) or ():
+            prefix = "".join(f"{x}/" for x in str(status.getPath()).split("/")[-k - 1 : -1])
+            if not re.search(r"(^|/)\.", prefix):
+                stream = store.open(status.getPath())
+                try:
+                    out += from_lines(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines(), prefix)
+                finally:
+                    stream.close()
+    return out
