@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portcullis import model
 from portcullis.functions import paths, text
+from portcullis.operators import prefix
 
 # Names that suggest authorization, as whole words in any case.
 AUTH_NAME = (
@@ -37,12 +38,9 @@ def cold_budget(most: int, escalations: int) -> int:
 
 
 def windows(hits: DataFrame) -> DataFrame:
-    """hits: file, line. file, line_start, line_end: windows around hits, joined where they touch."""
+    """hits: file, line. file, line_start, line_end: windows around hits, joined where they touch. A file's hits may lie in many tasks."""
     one = hits.select("file", "line").distinct().select("file", F.greatest(F.col("line") - BEFORE, F.lit(1)).alias("s"), (F.col("line") + AFTER).alias("e"))
-    order = Window.partitionBy("file").orderBy("s", "e")
-    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(before + 1 >= F.col("s"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return one.withColumn("island", island).groupBy("file", "island").agg(F.min("s").alias("line_start"), F.max("e").alias("line_end")).drop("island")
+    return prefix.islands(one, ["file"], "s", "e", 1).groupBy("file", "island").agg(F.max("e").alias("line_end")).select("file", F.col("island").alias("line_start"), "line_end")
 
 
 def clear_of(regions: DataFrame, taken: DataFrame) -> DataFrame:
@@ -52,8 +50,9 @@ def clear_of(regions: DataFrame, taken: DataFrame) -> DataFrame:
     starts and regions by their ends, with the largest end so far."""
     ranges = taken.where("line_start <= line_end").select("file", F.col("line_start").alias("__at"), F.lit(0).alias("__region"), F.col("line_end").alias("__end"))
     both = regions.withColumns({"__at": F.col("line_end"), "__region": F.lit(1)}).unionByName(ranges, allowMissingColumns=True)
-    last = F.max("__end").over(Window.partitionBy("file").orderBy("__at", "__region").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("__last", last).where((F.col("__region") == 1) & (F.col("__last").isNull() | (F.col("__last") < F.col("line_start")))).select(*regions.columns)
+    order = ["__at", "__region"]
+    last = prefix.before(prefix.ranged(both, ["file"], order), ["file"], order, __last=("max", F.col("__end")))
+    return last.where((F.col("__region") == 1) & (F.col("__last").isNull() | (F.col("__last") < F.col("line_start")))).select(*regions.columns)
 
 
 def by_priority(regions: DataFrame, budget: int) -> DataFrame:

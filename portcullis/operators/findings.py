@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from portcullis import model
+from portcullis.checkpoints import checkpointed
 from portcullis.functions import paths, text
+from portcullis.tiers import BROADCAST, tiered
 
 #: The order in which the first copy of a finding is kept and findings are listed.
 MATCH_ORDER = ("rule_ord", "match_seq")
@@ -51,21 +53,28 @@ def scope(file: str = "file", language: str = "language") -> Column:
     return F.when(F.col(language) == "go", F.concat(F.lit("go:"), paths.package_dir(F.col(file)))).otherwise(F.col(file))
 
 
-def binding_patterns(bindings: DataFrame) -> DataFrame:
-    """scope and one pattern of all its names as whole words. Names of one scope are few; they are sorted for a stable text."""
-    quoted = F.transform(F.array_sort(F.collect_set("name")), lambda n: F.regexp_replace(n, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1"))
-    return bindings.groupBy("scope").agg(F.concat(F.lit(r"(?U)\b(?:"), F.array_join(quoted, "|"), F.lit(r")\b")).alias("pattern"))
-
-
 def route(matches: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Adds ``enforced``: the rule is externalized, or the snippet names a policy binding of its scope."""
-    known = binding_patterns(bindings)
-    hit = F.coalesce(F.expr("code_snippet rlike pattern"), F.lit(False))
-    return matches.join(known, "scope", "left").withColumn("enforced", F.col("externalized") | hit).drop("pattern")
+    """Adds ``enforced``: the rule is externalized, or the snippet names a policy binding of its scope as a whole word.
+
+    At a place where a name stands between word borders, every word within the name is a whole word of the snippet. So distinct snippets are
+    cut into words, which meet the first words of their scope's names by equality; a name that is more than that word is then looked
+    for itself. A scope may have any number of names, and any share of the matches. A name without a word character is never found."""
+    first = F.regexp_extract("name", r"(?U)(\w+)", 1)
+    named = checkpointed(bindings.select("scope", "name", first.alias("word")).where("word <> ''").distinct())
+    texts = matches.where(~F.col("externalized")).select("scope", "code_snippet").distinct()
+    words = F.array_distinct(F.regexp_extract_all("code_snippet", F.lit(r"(?U)\w+"), F.lit(0)))
+    met = tiered(texts.withColumn("word", F.explode(words)), named, ["scope", "word"])
+    quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("name", r"([\\.^$|?*+()\[\]{}\-])", r"\\$1"), F.lit(r"\b"))
+    whole = (F.col("name") == F.col("word")) | F.rlike("code_snippet", quoted)
+    digest = F.sha2(F.concat_ws("\0", "scope", "code_snippet"), 256)
+    hits = checkpointed(met.where(whole).select(digest.alias("__digest")).distinct().withColumn("__hit", F.lit(True)))
+    found = F.broadcast(hits) if hits.count() <= BROADCAST else hits
+    routed = matches.withColumn("__digest", F.when(~F.col("externalized"), digest)).join(found, "__digest", "left")
+    return routed.withColumn("enforced", F.col("externalized") | F.coalesce("__hit", F.lit(False))).drop("__digest", "__hit")
 
 
 def first_of_each(df: DataFrame, key: str = "id", order: tuple[str, ...] = MATCH_ORDER) -> DataFrame:
-    """The first row of each id in match order."""
+    """The first row of each id in match order. Spark cuts each task's rows of an id to the first before they are shuffled."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("__n", n).where("__n = 1").drop("__n")
 

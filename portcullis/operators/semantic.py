@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from portcullis import model
+from portcullis.checkpoints import checkpointed
 from portcullis.functions import paths, text
+from portcullis.operators import prefix
+from portcullis.tiers import tiered
 
 
 def clamp(semantic: DataFrame) -> DataFrame:
@@ -44,13 +47,13 @@ def micro_usd(tokens_in: Column, tokens_out: Column, rate_in: float, rate_out: f
 
 
 def within_cost(calls: DataFrame, rate_in: float, rate_out: float, cap_usd: float | None, order: tuple[str, ...]) -> DataFrame:
-    """Calls up to and with the first that goes beyond the cap. The order is total, so the calls of one run are one sequence;
-    without a cap or rates all stay and nothing is sorted."""
+    """Calls up to and with the first that goes beyond the cap. The order is total; sums are carried from one range of it to the next.
+    Without a cap or rates all stay and nothing is sorted."""
     cost = calls.withColumn("micro_usd", micro_usd(F.col("input_tokens"), F.col("output_tokens"), rate_in, rate_out))
     if cap_usd is None or not (rate_in or rate_out):
         return cost
-    before = F.coalesce(F.sum("micro_usd").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cost.withColumn("__before", before).where(F.col("__before") <= round(cap_usd * 1_000_000)).drop("__before")
+    spent = prefix.before(prefix.ranged(cost, [], list(order)), [], list(order), __before=("sum", F.col("micro_usd")))
+    return spent.where(F.coalesce("__before", F.lit(0)) <= round(cap_usd * 1_000_000)).drop("__before", prefix.PART)
 
 
 def as_findings(semantic: DataFrame, findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -108,17 +111,33 @@ def fold(entries: list[dict], arrivals: list[dict]) -> list[dict]:
     return out
 
 
+def takes_place(s: Column, e: Column) -> Column:
+    """Whether an arrival covers an entry by half or more with no less confidence: the test of ``fold`` on columns."""
+    common = F.least(e["line_end"], s["line_end"]) - F.greatest(e["line_start"], s["line_start"]) + 1
+    longest = F.greatest(e["line_end"] - e["line_start"], s["line_end"] - s["line_start"]) + 1
+    return (common > 0) & (2 * common >= longest) & (model.rank(s["confidence"]) >= model.rank(e["confidence"]))
+
+
 def merge(structural: DataFrame, semantic: DataFrame) -> DataFrame:
-    """The findings of both, folded file by file: structural ones by lines and id, semantic ones by lines and id.
+    """The findings of both, folded: structural ones by lines and id, semantic ones by lines and id.
 
-    A file without arrivals, and a file without entries but at most one arrival, isn't sent to Python at all."""
-    busy = semantic.groupBy("file").agg(F.count("*").alias("__n"))
-    rest = structural.join(busy, "file", "left_anti")
-    both = structural.join(busy.select("file"), "file", "left_semi").withColumn("__new", F.lit(0)).unionByName(semantic.withColumn("__new", F.lit(1)))
+    Ranges that share no line, directly or through others, can't meet, so each run of ranges that do is folded on its own, wherever the
+    file's other runs are. Runs without arrivals, or of one range, stay as they are; runs of two are decided by columns; only larger
+    ones are sent to Python, and what a task holds is one run."""
     columns = structural.columns
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by file; a file's rows are folded when the next file begins."""
+    both = structural.withColumn("__new", F.lit(0)).unionByName(semantic.withColumn("__new", F.lit(1)))
+    runs = checkpointed(prefix.islands(both, ["file"], "line_start", "line_end", 0, "id", "__new"))
+    sizes = checkpointed(runs.groupBy("file", "island").agg(F.count("*").alias("__n"), F.sum("__new").alias("__arrivals")).where("__n > 1 AND __arrivals > 0").select("file", "island", "__n"))
+    keys = ["file", "island"]
+    alone = runs.join(sizes, keys, "left_anti").select(*columns)
+    busy = tiered(runs, sizes, keys)
+    entry = F.struct("__new", "line_start", "line_end", "id", *[c for c in columns if c not in ("line_start", "line_end", "id")])
+    two = busy.where("__n = 2").groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    old, new = F.col("x")[0], F.col("x")[1]
+    pair = two.select(F.explode(F.when(takes_place(new, old), F.array(new)).otherwise(F.col("x"))).alias("y")).select(*[F.col(f"y.{c}").alias(c) for c in columns])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by run; a run's rows are folded when the next one begins."""
         now: list[dict] = []
 
         def out() -> list[dict]:
@@ -128,16 +147,16 @@ def merge(structural: DataFrame, semantic: DataFrame) -> DataFrame:
 
         target = None
         for b in batches:
-            target = target or pa.schema([f for f in b.schema if f.name != "__new"])
+            target = target or pa.schema([f for f in b.schema if f.name not in ("__new", "island")])
             done = []
             for r in b.to_pylist():
-                if now and now[-1]["file"] != r["file"]:
+                if now and (now[-1]["file"], now[-1]["island"]) != (r["file"], r["island"]):
                     done += out()
                 now.append(r)
             yield pa.RecordBatch.from_pylist(done, target)
         if now:
             yield pa.RecordBatch.from_pylist(out(), target)
 
-    dealt = both.repartition("file").sortWithinPartitions("file", "line_start", "line_end", "id")
-    folded = dealt.select(*columns, "__new").mapInArrow(runs, structural.schema)
-    return rest.select(*columns).unionByName(folded)
+    dealt = busy.where("__n > 2").repartition(*keys).sortWithinPartitions(*keys, "line_start", "line_end", "id")
+    more = dealt.select(*columns, "__new", "island").mapInArrow(folded, structural.schema)
+    return alone.unionByName(pair).unionByName(more)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from portcullis import model
 from portcullis.functions import paths, text
-from portcullis.operators import bindings, candidates, findings, policies, semantic
+from portcullis.operators import bindings, candidates, findings, policies, prefix, semantic
 from portcullis.plans import derived as D
 from portcullis.plans.derived import frame
 from portcullis.registry import query
@@ -52,10 +52,8 @@ def policy_path(spark, sf):
 
 @query("path_component_order", W(p=D.PATHS) + "SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS place FROM p")
 def path_component_order(spark, sf):
-    """The place of each path in component order. A total order has one last sort; paths are few against findings."""
-    from pyspark.sql import Window
-
-    return frame(spark, sf, D.PATHS).select("path", F.row_number().over(Window.orderBy(model.path_order(F.col("path")))).alias("place"))
+    """The place of each path in component order."""
+    return prefix.places(frame(spark, sf, D.PATHS).withColumn("components", model.path_order(F.col("path"))), ["components"]).select("path", "place")
 
 
 _LE = lambda n: "unhex(" + " || ".join(f"substr(printf('%016x', {n}), {15 - 2 * i}, 2)" for i in range(8)) + ")"
