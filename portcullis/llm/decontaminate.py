@@ -9,9 +9,11 @@ returns all segments at SCORE or above, without a top-k:
 - bound 2: the same for each block of BLOCK segments (block-max); only blocks that reach SCORE are opened;
 - the postings of those blocks give the exact scores.
 
-A hit is verified in the text around it: the shares of the item's question and of its answer n-grams (five words) that
-stand there must reach QUESTION and ANSWER. The answer is what follows the last line that starts with ``answer:``, or
-else the last quarter of the words.
+A hit is verified in the text around it: of the item's question at least QUESTION must stand there, of its answer at least ANSWER. What
+stands is the larger of two shares: that of the part's n-grams (five words), and that of its words which stay if the part is aligned with
+the stretch of text nearest to it (1 - edits / words; an edit is a word replaced, dropped or put in). So a copy with a word changed here and there is
+found, though each change breaks five n-grams. Parts of more than ALIGNED words have the first share alone, which tolerates
+single changes there. The answer is what follows the last line that starts with ``answer:``, or else the last quarter of the words.
 
 The index is broadcast in shards of about SHARD words of items, dealt by a hash of their ids; with more items there are more
 passes over the texts, each written before the next. Document frequencies are those of all items, counted by Spark. Texts are
@@ -42,6 +44,7 @@ WINDOW = 2 * STRIDE
 SCORE, QUESTION, ANSWER, GRAM = 0.6, 0.8, 0.5, 5
 K1, B = 1.2, 0.75
 SHARD = 2_000_000
+ALIGNED = 4096
 
 HITS = "first_word int, score double, question_overlap double, answer_overlap double"
 
@@ -66,6 +69,26 @@ def grams(found: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(found[i:] for i in range(n)), strict=False))
 
 
+def edits(part: list[bytes], text: list[bytes]) -> int:
+    """The fewest words to replace, drop or put in to make part a stretch of text; one bit of a number for each word of part."""
+    places: dict[bytes, int] = {}
+    for i, w in enumerate(part):
+        places[w] = places.get(w, 0) | 1 << i
+    every, last = (1 << len(part)) - 1, 1 << len(part) - 1
+    up, down, now = every, 0, len(part)
+    best = now
+    for w in text:
+        same = places.get(w, 0)
+        across = ((same & up) + up ^ up) | same
+        more, less = down | ~(across | up) & every, up & across
+        now += bool(more & last) - bool(less & last)
+        best = min(best, now)
+        same |= down
+        more, less = more << 1 & every, less << 1 & every
+        up, down = less | ~(same | more) & every, more & same
+    return best
+
+
 class Index:
     """Of some items, with the document frequencies and the mean length of all segments."""
 
@@ -92,7 +115,7 @@ class Index:
                 for w, x in impact.items():
                     entries.append((self.vocabulary.setdefault(w, len(self.vocabulary) + 1), len(self.owner), x / own))
                 self.owner.append(len(self.items))
-            self.items.append((len(question) + len(answer), [min(GRAM, max(1, len(x))) for x in (question, answer)], checks))
+            self.items.append((len(question) + len(answer), [min(GRAM, max(1, len(x))) for x in (question, answer)], checks, (question, answer)))
         entries.sort()
         term = np.array([e[0] for e in entries], np.int64)
         self.segment = np.array([e[1] for e in entries], np.int64)
@@ -149,12 +172,19 @@ class Index:
         ids = np.fromiter((get(w, 0) for w in found), np.int64, len(found))
         best: dict[int, tuple] = {}
         for a, s, score in self.retrieve(ids):
-            length, sizes, checks = self.items[self.owner[s]]
+            length, sizes, checks, words_of = self.items[self.owner[s]]
             item = self.group[self.owner[s]]
             near = found[max(0, a - length) : a + WINDOW + length]
-            overlap = []
-            for size, (wanted, n) in zip(sizes, checks, strict=True):
-                overlap.append(len(wanted & grams(near, size)) / n if n else 1.0)
+            there, overlap = set(near), []
+            for size, (wanted, n), part, least in zip(sizes, checks, words_of, (QUESTION, ANSWER), strict=True):
+                share = len(wanted & grams(near, size)) / n if n else 1.0
+                if share < least and len(part) <= ALIGNED and sum(w in there for w in part) >= least * len(part):
+                    share = max(share, 1 - edits(part, near) / len(part))
+                overlap.append(share)
+                if share < least:
+                    break
+            if len(overlap) < 2:
+                continue
             if overlap[0] >= QUESTION and overlap[1] >= ANSWER:
                 if item not in best or (-score, a) < (-best[item][2], best[item][1]):
                     best[item] = (item, a, score, *overlap)

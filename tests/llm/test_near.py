@@ -124,6 +124,17 @@ def test_shingle_bags_equal_tuples():
 ITEMS = [(1, "What is the colour of the sky on a clear day at noon\nanswer: a deep and even blue"), (2, "short item"), (3, None), (4, " ".join(f"long{i}" for i in range(300))), (2, "short item"), (5, "the of and to in is it that for on as with was")]
 
 
+def plain_edits(part, text):
+    """Words to replace, drop or put in to make part a stretch of text, by the table of all prefixes."""
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(part, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
 def leaks_brute(items, rows):
     out = Counter()
     for key, text in rows:
@@ -136,7 +147,9 @@ def leaks_brute(items, rows):
             for part in (question, answer):
                 k = min(5, max(1, len(part)))
                 g = D.grams(part, k)
-                shares.append(len(g & D.grams(w, k)) / len(g) if g else 1.0)
+                there = set(w)
+                aligned = 1 - plain_edits(part, w) / len(part) if part and sum(x in there for x in part) >= len(part) / 2 else 0
+                shares.append(max(len(g & D.grams(w, k)) / len(g), aligned) if g else 1.0)
             if shares[0] >= D.QUESTION and shares[1] >= D.ANSWER:
                 out[(key, item)] += 1
     return out
@@ -165,6 +178,42 @@ def test_leaks_match_brute_force(spark, documents, monkeypatch, shard):
     assert D.find_leaks(documents([]), benchmark).collect() == []
 
 
+def test_edits_equal_the_whole_table():
+    rng = random.Random(12)
+    for _ in range(1500):
+        part, text = [[rng.choice("abcd").encode() for _ in range(n)] for n in (rng.randint(1, 9), rng.randint(0, 14))]
+        assert D.edits(part, text) == plain_edits(part, text)
+    long = [str(rng.randrange(30)).encode() for _ in range(200)]
+    assert D.edits(long, [b"x", *long[:90], *long[91:150], b"y", *long[150:], b"z"]) == 2 and D.edits(long, []) == 200
+
+
+def test_edited_copies_of_every_item_are_found(spark):
+    """One and two words replaced, dropped or put in, anywhere in the item, in a text of 400 other words."""
+    from portcullis.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    benchmark, rng = table(spark, sf, "benchmark"), random.Random(7)
+    items = [(r["item_id"], r["text"].split()) for r in benchmark.collect()]
+    vocabulary = [w for r in table(spark, sf, "documents").limit(500).collect() for w in (r["text"] or "").split()]
+    more = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, k = [], 0
+    for kind in ("replace", "drop", "insert"):
+        for edits in (1, 2):
+            for item, text in items:
+                w = text[:]
+                for _ in range(edits):
+                    j = rng.randrange(len(w))
+                    w[j : j + (kind != "insert")] = more(1) if kind != "drop" else []
+                rows.append((k * 1000 + item, " ".join(more(200) + w + more(200))))
+            k += 1
+    rows += [(100_000 + i, " ".join(more(400))) for i in range(300)]
+    found = D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    right = {r["doc_id"] for r in found if r["doc_id"] % 1000 == r["item_id"] and r["doc_id"] < 100_000}
+    for case in range(k):
+        assert sum(case * 1000 <= d < (case + 1) * 1000 for d in right) >= 0.9 * len(items)
+    assert not [r for r in found if r["doc_id"] >= 100_000 or r["doc_id"] % 1000 != r["item_id"]]
+
+
 def test_wand_returns_all_segments_above_the_threshold():
     rng = random.Random(8)
     vocabulary = [f"t{i}".encode() for i in range(60)]
