@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from portcullis.llm import class_lm as B
 from portcullis.llm import language_id as I
@@ -98,25 +99,37 @@ def test_class_model_sums_match_brute_force(spark, documents, monkeypatch, bits)
     from portcullis.llm.common import fold
 
     m, counts = B.fit(docs.where(fold("doc_id", 7) != 2))
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in B.score(docs, m, counts).collect())
+    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4), round(r["score"], 4)) for r in B.score(docs, m, counts).collect())
     split = lambda t: [*(t or "").encode().lower().split(), b""]
     c = Counter(w for t in train for w in split(t))
     n, v = sum(c.values()), len(c)
     assert (m.tokens, m.distinct) == (n, v)
     want = Counter()
     rank = {w: i for i, w in enumerate(m.head[: B.CLUSTERED])}
+    q = m.classes
+    of = {bytes(r["word"]): r["class"] for r in counts.collect()}
+    assert set(of) == set(c) and {w for w, x in of.items() if x is None} == {*rank, b""}
     for key, text in rows:
         w = split(text)
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
-        score, before = 0.0, B.END_UNIT
+        score, before = 0.0, q + 1
         for x in w:
-            unit = B.END_UNIT if x == b"" else rank.get(x, B.ending(x) if x else None)
-            score += m.transition[before, unit]
-            if x:
-                score += m.emission[rank[x]] if x in rank else math.log10(c[x] + 1) - m.log_room[unit]
-            before = unit
-        want[(key, len(w), sum(c[x] > 0 for x in w), n, round(base, 6), round(score, 6))] += 1
+            if x == b"":
+                score += m.transition[before, 2 * q]
+            elif x in rank:
+                score += m.transition[before, m.of[rank[x]]] + m.emission[rank[x]]
+            elif x in c:
+                score += m.transition[before, q + of[x]] + math.log10(c[x] + 1) - m.log_room[of[x]]
+            else:
+                score += m.unseen[before]
+            before = m.of[rank[x]] if x in rank else q
+        want[(key, len(w), sum(c[x] > 0 for x in w), n, round(base, 4), round(score, 4))] += 1
     assert got == want
+    # the model's probabilities of what may follow a context add up to no more than one
+    for context in range(q + 2):
+        total = sum(10 ** (m.transition[context, m.of[i]] + m.emission[i]) for i in range(len(rank))) + 10 ** m.transition[context, 2 * q] + 10 ** m.unseen[context]
+        total += sum(10 ** (m.transition[context, q + of[x]] + math.log10(c[x] + 1) - m.log_room[of[x]]) for x in c if x and x not in rank)
+        assert total == pytest.approx(1)
 
 
 def test_class_model_beats_the_unigram_base_on_held_out_texts(spark):
@@ -147,25 +160,55 @@ def test_words_of_one_ending_have_classes_by_their_neighbours(spark, documents):
     docs = documents([(i, f"la a{i}xyz ra lb b{i}xyz rb " * 2) for i in range(700)])
     model, counts = B.fit(docs)
     at = {w: i for i, w in enumerate(model.head)}
-    of = [{int(model.transition.of[at[f"{c}{i}xyz".encode()]]) for i in range(700)} for c in "ab"]
+    of = [{int(model.of[at[f"{c}{i}xyz".encode()]]) for i in range(700)} for c in "ab"]
     assert of[0].isdisjoint(of[1])
     score = {r["doc_id"]: r["score"] for r in B.score(documents([(1, "la a699xyz ra"), (2, "la b699xyz ra")]), model, counts).collect()}
     assert score[1] > score[2] + 1
 
 
+def test_rare_words_have_classes_by_their_neighbours(spark, documents, monkeypatch):
+    """Words of two occurrences that aren't in the head, all with one ending, go with the frequent words that stand where they do."""
+    monkeypatch.setattr(B, "HEAD_BITS", 9)
+    docs = documents([(i, f"la a{i}xyz ra lb b{i}xyz rb " * 2 + "la often ra lb always rb") for i in range(700)])
+    model, counts = B.fit(docs)
+    of = {bytes(r["word"]).decode(): r["class"] for r in counts.collect()}
+    assert "a5xyz" not in {w.decode() for w in model.head}
+    a, b = ({of[f"{c}{i}xyz"] for i in range(700)} for c in "ab")
+    head = {w: int(c) for w, c in zip(model.head, model.of, strict=True)}
+    assert a == {head[b"often"]} and b == {head[b"always"]} and a != b
+    score = {r["doc_id"]: r["score"] for r in B.score(documents([(1, "la a699xyz ra"), (2, "la b699xyz ra")]), model, counts).collect()}
+    assert score[1] > score[2] + 1
+
+
+def test_rows_of_neighbours_do_not_grow_with_partitions(spark, monkeypatch):
+    monkeypatch.setattr(B, "PAIRS", 20_000)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("text").cache()
+    head = [bytes(r["word"]) for r in B.word_counts(docs).where("n > 1").orderBy(F.desc("n"), "word").collect() if r["word"]]
+    seen = []
+    for n in (2, 40):
+        found = B.neighbours(docs.repartition(n), head)
+        rows = {r["word"]: r["e"] for r in found.collect()}
+        assert len(rows) == found.count() and all(len({x >> 32 for x in e}) == len(e) for e in rows.values())
+        seen.append({w: sorted(e) for w, e in rows.items()})
+    assert seen[0] == seen[1]
+    docs.unpersist()
+
+
 @pytest.mark.parametrize("bits", [20, 8])
 def test_class_bigrams_cover_all_tokens(spark, documents, monkeypatch, bits):
     monkeypatch.setattr(B, "HEAD_BITS", bits)
     monkeypatch.setattr(B, "PAIRS", 1000)
     rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()]
-    model, _ = B.fit(documents(rows))
-    at = {w: i for i, w in enumerate(model.head)} | {b"": B.END_UNIT}
-    k = len(model.transition.table)
-    cc = np.zeros((k, k))
+    model, counts = B.fit(documents(rows))
+    q, head = model.classes, {w: int(c) for w, c in zip(model.head, model.of, strict=True)}
+    of = {bytes(r["word"]): r["class"] for r in counts.collect()}
+    follow = np.zeros((q + 2, 2 * q + 1))
     for _, text in rows:
-        units = [B.END_UNIT, *(at[w] if w in at else B.ending(w) for w in (text or "").encode().lower().split()), B.END_UNIT]
-        np.add.at(cc, (model.transition.of[units[:-1]], model.transition.of[units[1:]]), 1)
-    assert model.transition.table == pytest.approx(np.log10((cc + B.ALPHA) / (cc.sum(1, keepdims=True) + B.ALPHA * k)))
+        before = q + 1
+        for w in [*(text or "").encode().lower().split(), b""]:
+            follow[before, 2 * q if not w else head[w] if w in head else q + of[w]] += 1
+            before = head.get(w, q)
+    assert model.transition == pytest.approx(np.log10((follow + B.ALPHA) / (follow.sum(1, keepdims=True) + B.ALPHA * (2 * q + 1))))
 
 
 # urls
