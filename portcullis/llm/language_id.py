@@ -190,9 +190,9 @@ class Predictor:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Model:
-    """labelled: rows to learn from. Their SAMPLE smallest hashes are taken to the driver."""
+    """labelled: rows to learn from. Of their keys the SAMPLE with the smallest hashes are taken to the driver, one row of each."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("t"), F.col(label).alias("y")).where("t is not null and y is not null")
-    ids = sample(rows.select(F.col("key").alias("k")), "k", SAMPLE).distinct()
+    ids = sample(rows.select(F.col("key").alias("k")).distinct(), "k", SAMPLE)
     chosen = rows.join(F.broadcast(ids), F.col("key") == F.col("k"), "left_semi")
     once = chosen.groupBy("key").agg(F.min(F.struct("y", "t")).alias("one")).select(F.xxhash64(F.col("key").cast("string")).alias("h"), "one.y", "one.t")
     found = once.mapInArrow(_compact, "h long, y string, t string, at array<int>, weight array<double>").collect()  # at most SAMPLE rows
