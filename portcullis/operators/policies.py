@@ -121,3 +121,16 @@ def checked(policies: DataFrame, engine: str, content: str = "content") -> DataF
 
     schema = policies.schema
     return policies.mapInArrow(run, type(schema)([*schema.fields]).add("valid", "boolean"))
+
+
+def reasons(policies: DataFrame, engine: str) -> DataFrame:
+    """policies without their content, with ``valid`` and ``why`` not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [policy_check.validate(engine, t.as_py() or "") for t in b.column("content")]
+            rest = b.drop_columns(["content"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([x for x, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.string())], names=[*rest.schema.names, "valid", "why"])
+
+    kept = [f for f in policies.schema.fields if f.name != "content"]
+    return policies.mapInArrow(run, type(policies.schema)(kept).add("valid", "boolean").add("why", "string"))

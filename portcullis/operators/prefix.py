@@ -31,8 +31,7 @@ def before(dealt: DataFrame, by: list[str], order: list[str], **what: tuple[str,
     local = dealt.withColumns({name: kinds[kind](column).over(within) for name, (kind, column) in what.items()})
     total = dealt.groupBy(PART, *by).agg(*[kinds[kind](column).alias(f"__of_{name}") for name, (kind, column) in what.items()])
     if by:  # a key that ends one range and begins the next: the only ones that carry anything on
-        several = total.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-        total = total.join(several, reduce(Column.__and__, [total[c].eqNullSafe(several[c]) for c in by]), "left_semi")
+        total = total.withColumn("__n", F.count("*").over(Window.partitionBy(*by))).where("__n > 1")
     # at most two rows for each range
     earlier = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = total.select(F.col(PART).alias("__p"), *[F.col(c).alias(f"__by_{c}") for c in by], *[kinds[kind](f"__of_{name}").over(earlier).alias(f"__in_{name}") for name, (kind, _) in what.items()])

@@ -25,6 +25,7 @@ from portcullis.syntax.imports import assignments, is_policy_path, policy_import
 from portcullis.syntax.lexer import OP, Token, tokens
 from portcullis.syntax.query import Index
 from portcullis.syntax.tree import Node
+from portcullis.tiers import BROADCAST
 
 PARSED = (
     "file string, language string, matches array<struct<rule_id:string,rule_ord:int,match_seq:int,line_start:bigint,line_end:bigint,code_snippet:string,"
@@ -223,7 +224,8 @@ def package_edges(files: DataFrame, one: DataFrame, first: DataFrame) -> DataFra
             edges = [[{"lhs": x, "rhs": y} for x, y in assignments(c.as_py() or "", "go")] for c in b.column("content")]
             yield pa.RecordBatch.from_arrays([b.column("scope"), pa.array(edges, _SCHEMA.field("edges").type)], names=["scope", "edges"])
 
-    again = files.join(others, "path").select("scope", "content").mapInArrow(run, "scope string, edges array<struct<lhs:string,rhs:string>>")
+    # contents stay where they are: only paths are sent round, unless there are too many of them
+    again = files.join(F.broadcast(others) if others.count() <= BROADCAST else others, "path").select("scope", "content").mapInArrow(run, "scope string, edges array<struct<lhs:string,rhs:string>>")
     return again.select("scope", F.explode("edges").alias("e"))
 
 

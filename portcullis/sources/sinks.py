@@ -1,27 +1,27 @@
-"""Reports and policy files. Findings are ordered and written by Spark; only one-row summaries and policy files, whose number is
-that of source files with findings, come to the driver, one partition at a time."""
+"""Reports and policy files. Findings are ordered by Spark, policy files are written by its tasks; one-row summaries, and the lines of a report
+or a log, come to the driver, one partition at a time."""
 
 from __future__ import annotations
 
 import json
 import os
-from pathlib import Path
+import re
 from typing import TextIO
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from portcullis import model
-from portcullis.functions.policy_check import validate
+from portcullis.checkpoints import checkpointed
 from portcullis.operators import findings as ops
 from portcullis.operators import policies
+from portcullis.sources import policy_sink
+from portcullis.sources.policy_sink import SinkError
 
 VERSION = "0.1.0"
 
 
-class SinkError(ValueError):
-    pass
-
-
 def _plain(row) -> dict:
     d = row.asDict(recursive=True)
     return {k: v for k, v in d.items() if v is not None}
@@ -63,27 +63,24 @@ def report_text(findings: DataFrame, points: DataFrame, out: TextIO) -> None:
     out.write(f"Summary: {n} findings in {s['files']} files ({parts})\n")
 
 
-def write_inside(path: Path, content: str, root: Path) -> None:
-    """Writes below root alone, and never through a link."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    if not path.parent.resolve().is_relative_to(root.resolve()):
-        raise SinkError(f"{path} is outside of {root}")
-    if path.is_symlink():
-        raise SinkError(f"{path} is a link")
-    path.write_text(content, encoding="utf-8")
-
-
 def write_policies(findings: DataFrame, engine: str, output_dir: str, prefix: str, log: TextIO | None = None) -> int:
-    """Policy files of all findings; how many. Files that fail the check are written all the same, with a warning."""
-    root = Path(output_dir)
-    os.makedirs(root, exist_ok=True)
-    n = total = warned = 0
-    for f in policies.policy_files(findings, engine, output_dir, prefix).orderBy(model.path_order(findings["file"])).toLocalIterator():
-        valid, why = validate(engine, f["content"])
-        write_inside(Path(f["output_path"]), f["content"], root)
-        n, total, warned = n + 1, total + f["finding_count"], warned + (valid is False)
-        if log:
-            log.write(f"  [{'OK' if valid else 'WARN'}] {f['label']} ({f['finding_count']} findings) -> {f['output_path']}\n" + (f"       {why}\n" if why else ""))
+    """Policy files of all findings, written by tasks; how many. Files that fail the check are written all the same, with a warning. Of source
+    files with the same policy file the last in order of their paths stays."""
+    spark, root = findings.sparkSession, os.path.abspath(output_dir)
+    policy_sink.register(spark)
+    files = checkpointed(policies.policy_files(findings, engine, root, prefix))
+    last = files.groupBy("output_path").agg(F.max_by("content", model.path_order(F.col("file"))).alias("content"))
+    try:
+        last.write.format(policy_sink.FORMAT).mode("append").save(root)
+    except PySparkException as e:
+        if "SinkError" in str(e):
+            raise SinkError(re.search(r"SinkError: (.*)", str(e))[1]) from e
+        raise
+    s = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("finding_count"), F.lit(0)).alias("total")).first()
     if log:
-        log.write(f"\nGenerated {n} {engine} files from {total} findings.\n" + (f"{warned} of them need a look at their syntax.\n" if warned else ""))
-    return n
+        warned = 0
+        for f in policies.reasons(files, engine).orderBy(model.path_order(F.col("file"))).toLocalIterator():
+            warned += f["valid"] is False
+            log.write(f"  [{'OK' if f['valid'] else 'WARN'}] {f['label']} ({f['finding_count']} findings) -> {f['output_path']}\n" + (f"       {f['why']}\n" if f["why"] else ""))
+        log.write(f"\nGenerated {s['n']} {engine} files from {s['total']} findings.\n" + (f"{warned} of them need a look at their syntax.\n" if warned else ""))
+    return s["n"]
