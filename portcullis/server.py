@@ -9,7 +9,7 @@ from typing import Any, TextIO
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from portcullis import model, rules
+from portcullis import model, pages, rules
 from portcullis.deep import prompt
 from portcullis.functions import text
 from portcullis.functions.policy_check import validate
@@ -35,7 +35,7 @@ _CATEGORY, _CONFIDENCE, _ENGINE = {"type": "string", "enum": list(model.CATEGORI
 _LINE = {"type": "integer", "minimum": 1}
 #: name -> (description, properties, required)
 TOOLS: dict[str, tuple[str, dict, list[str]]] = {
-    "scan_authz": ("Scan a folder below scan_root: findings, and how many decisions are left to a policy engine.", {"path": _TEXT, "languages": {"type": "array", "items": _LANGUAGE}, "categories": {"type": "array", "items": _CATEGORY}, "min_confidence": _CONFIDENCE}, []),
+    "scan_authz": ("Scan a folder below scan_root: findings, and how many decisions are left to a policy engine.", {"path": _TEXT, "languages": {"type": "array", "items": _LANGUAGE}, "categories": {"type": "array", "items": _CATEGORY}, "cursor": _TEXT, "page_size": {"type": "integer", "minimum": 1}, "min_confidence": _CONFIDENCE}, []),
     "get_finding_context": ("The lines around a finding and the file's first lines.", {"file": _TEXT, "language": _LANGUAGE, "line_start": _LINE, "line_end": _LINE, "max_chars": {"type": "integer", "minimum": 200}}, ["file", "language", "line_start", "line_end"]),
     "list_rules": ("The pattern rules.", {"language": _LANGUAGE, "category": _CATEGORY}, []),
     "get_rule": ("One rule in full.", {"id": _TEXT}, ["id"]),
@@ -102,12 +102,24 @@ class Server:
     # tools
 
     def scan_authz(self, a: dict) -> dict:
-        path = self.inside(a.get("path"))
-        s = scan.Scan(source_files(self.spark, str(path), self.config.scan.exclude, ignore=True), self.rules, a.get("min_confidence") or self.config.scan.min_confidence, a.get("categories") or [], a.get("languages") or [])
-        from portcullis.operators.findings import in_order
-
-        found = [json.loads(r["j"]) for r in in_order(s.findings, "id").select(F.to_json(F.struct(*s.findings.columns)).alias("j")).toLocalIterator()]
-        return {"findings": found, "enforcement_points": s.enforcement_points.count()}
+        """The first page of the findings in order, with a cursor if there are more; given that, the next page without another scan."""
+        if (cursor := a.get("cursor")) is None:
+            path = self.inside(a.get("path"))
+            s = scan.Scan(source_files(self.spark, str(path), self.config.scan.exclude, ignore=True), self.rules, a.get("min_confidence") or self.config.scan.min_confidence, a.get("categories") or [], a.get("languages") or [])
+            ordered = s.findings.withColumn("__components", model.path_order(F.col("file")))
+            cursor = pages.write(ordered, ["__components", "line_start", "id"], a.get("page_size") or pages.ROWS)
+            out = {"findings": [], "enforcement_points": s.enforcement_points.count()}
+            if cursor is None:
+                return out
+        else:
+            out = {"findings": []}
+        try:
+            rows, after = pages.read(self.spark, cursor)
+        except pages.CursorError as e:
+            raise ToolError(str(e)) from e
+        names = [c for c in rows.columns if c != "__components"]
+        out["findings"] = [json.loads(r["j"]) for r in rows.select(F.to_json(F.struct(*names)).alias("j")).collect()]  # at most a page
+        return out | ({"next_cursor": after} if after else {})
 
     def get_finding_context(self, a: dict) -> dict:
         content = self.inside(a["file"]).read_text(encoding="utf-8")
