@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ HEAD_BITS, SEEDS, SWEEPS, ROUNDS, ALPHA = 20, 512, 8, 12, 0.5
 #: Classes of head words: at least, and at most; between them the head's size to the power of 0.4.
 CLASSES, MOST_CLASSES = 64, 256
 #: Gain in likelihood (nats a token) below which it counts as standing still.
-STANDS = 0.001
+STANDS = 0.005
 #: Head words at most; the unit of all other words, and that of the end.
 CLUSTERED = 1 << HEAD_BITS
 OTHER, END_UNIT, N_UNITS = CLUSTERED, CLUSTERED + 1, CLUSTERED + 2
@@ -84,13 +85,6 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Units(dict):
-    """Word -> unit, of head words and END; all others are OTHER."""
-
-    def __missing__(self, word: bytes) -> int:
-        return OTHER
-
-
 #: Bits of a unit in a pair; a neighbour before the word has the bit above them set.
 UNIT_BITS = 21
 MASK = (1 << UNIT_BITS) - 1
@@ -109,15 +103,15 @@ def small_number(units: np.ndarray) -> np.ndarray:
 N_SMALL = SEEDS + 2
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[np.ndarray]:
-    """The units of some texts at a time, with the end before, between and after them."""
+def _bigrams(batches: Iterator[pa.RecordBatch], units: dict[bytes, int]) -> Iterator[np.ndarray]:
+    """The units of some texts at a time, with the end before, between and after them. units: of head words and END; all others are OTHER."""
     for b in batches:
         for at in range(0, b.num_rows, TEXTS):
             flat = [END]
             for t in b.column("text").slice(at, TEXTS):
                 flat += words(t.as_py())
                 flat.append(END)
-            yield np.fromiter(map(units.__getitem__, flat), np.int64, len(flat))
+            yield np.fromiter(map(units.get, flat, repeat(OTHER)), np.int64, len(flat))
 
 
 def unit_bigrams(found: DataFrame, head: list[bytes]) -> np.ndarray:
@@ -200,7 +194,7 @@ def neighbours(docs: DataFrame, head: list[bytes], text: str = "text") -> DataFr
     shared, seeds = docs.sparkSession.sparkContext.broadcast(head), min(len(head), SEEDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units({w: i for i, w in enumerate(shared.value)} | {END: END_UNIT})
+        units = {w: i for i, w in enumerate(shared.value)} | {END: END_UNIT}
         close = np.zeros(N_SMALL * N_SMALL, np.int64)  # of small units, over the whole task
         pairs, held = [], 0
 
@@ -396,7 +390,7 @@ def other_classes(docs: DataFrame, head: list[bytes], of: np.ndarray, cc: np.nda
                 for t in b.column("text").slice(at, TEXTS):
                     flat += words(t.as_py())
                     flat.append(END)
-                context = np.fromiter((get(w, q) for w in flat), np.int64, len(flat))
+                context = np.fromiter(map(get, flat, repeat(q)), np.int64, len(flat))
                 places = np.flatnonzero(context == q)
                 if not len(places):
                     continue
@@ -539,7 +533,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
                 split = [words(t.as_py()) for t in part.column("text")]
                 size = np.fromiter(map(len, split), np.int64, len(split))
                 flat = [w for s in split for w in s]
-                index = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+                index = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
                 known, rare = np.flatnonzero(index >= 0), np.flatnonzero(index < 0)
                 context = np.full(len(flat), q, np.int64)
                 context[known] = m.of[index[known]]
@@ -562,11 +556,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id",
                     names=names,
                 )
                 if len(rare):
-                    seen = Counter(zip(owner[rare].tolist(), (flat[i] for i in rare.tolist()), before[rare].tolist(), strict=True))
-                    of = np.fromiter((o for o, _, _ in seen), np.int64, len(seen))
+                    ids: dict[bytes, int] = {}
+                    id_ = np.fromiter((ids.setdefault(flat[i], len(ids)) for i in rare.tolist()), np.int64, len(rare))
+                    seen, times = np.unique((owner[rare] * len(ids) + id_) * (q + 2) + before[rare], return_counts=True)
+                    of, own = seen // (q + 2) // len(ids), pa.array(list(ids), pa.binary()).take(pa.array(seen // (q + 2) % len(ids)))
                     none = pa.nulls(len(seen), pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[of]), pa.nulls(len(seen), keys.type), pa.array([w for _, w, _ in seen], pa.binary()), pa.array([c for _, _, c in seen], pa.int16()), pa.array(list(seen.values()), pa.int32()), none, none, pa.nulls(len(seen), pa.float64()), pa.nulls(len(seen), pa.float64())],
+                        [pa.array(rows[of]), pa.nulls(len(seen), keys.type), own, pa.array((seen % (q + 2)).astype(np.int16)), pa.array(times.astype(np.int32)), none, none, pa.nulls(len(seen), pa.float64()), pa.nulls(len(seen), pa.float64())],
                         names=names,
                     )
 
