@@ -176,8 +176,8 @@ def _matcher(rules: tuple[Rule, ...]) -> Matcher:
     return Matcher(list(rules))
 
 
-def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """files: path, content, language. PARSED, one row for each file."""
+def parsed(files: DataFrame, rules: list[Rule], all_edges: bool = False) -> DataFrame:
+    """files: path, content, language. PARSED, one row for each file. all_edges: with the assignments of Go files that bind nothing themselves."""
     given = tuple(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def parsed(files: DataFrame, rules: list[Rule]) -> DataFrame:
                 found = m.matches(source, language, fitting, read)
                 # bindings matter where something is found, in Go anywhere in the package; assignments where something is bound
                 names = sorted(policy_imports(source, language, read)) if found or language == "go" else []
-                edges = assignments(source, language, read) if names else []
+                edges = assignments(source, language, read) if names or all_edges and language == "go" else []
                 rows.append({"file": path, "language": language, "matches": found, "names": names, "edges": [{"lhs": x, "rhs": y} for x, y in edges]})
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
         gc.enable()
@@ -247,14 +247,24 @@ class Scan:
     """findings and enforcement_points of a set of files, both lazy."""
 
     def __init__(self, files: DataFrame, rules: list[Rule], least: str | None = None, categories: list[str] = (), languages: list[str] = (), excludes: list[str] = ()) -> None:
-        spark = files.sparkSession
         source = selected(files, languages, excludes)
         one = checkpointed(parsed(source, rules).withColumn("scope", findings.scope()))
-        table = rules_table(spark, rules).select("rule_id", "category", "confidence", "description", "externalized")
+        more = package_edges(source, one, one.select("scope", F.explode("names").alias("name")))
+        self._route(one, more, rules, least, categories)
+
+    @classmethod
+    def of_parsed(cls, one: DataFrame, rules: list[Rule], least: str | None = None, categories: list[str] = ()) -> Scan:
+        """Of files that have been parsed, with all edges: PARSED with scope, written; whole scopes."""
+        self = cls.__new__(cls)
+        self._route(one, None, rules, least, categories)
+        return self
+
+    def _route(self, one: DataFrame, more: DataFrame | None, rules: list[Rule], least: str | None, categories: list[str]) -> None:
+        table = rules_table(one.sparkSession, rules).select("rule_id", "category", "confidence", "description", "externalized")
         matches = one.select("file", "language", "scope", F.explode("matches").alias("m")).select("file", "language", "scope", "m.*").join(F.broadcast(table), "rule_id")
         first = one.select("scope", F.explode("names").alias("name"))
         edges = one.select("scope", F.explode("edges").alias("e"))
-        if (more := package_edges(source, one, first)) is not None:
+        if more is not None:
             edges = edges.unionByName(more)
         edges = edges.select("scope", "e.lhs", "e.rhs")
         self.bindings = bindings.close(first, edges)
