@@ -75,6 +75,16 @@ def test_language_odd_rows(spark, documents):
     assert {r["lang_pred"] for r in I.identify(documents(ODD), I.train([], [])).collect()} == {"und"}
 
 
+def test_language_sample_has_one_row_of_each_key(spark, monkeypatch):
+    """A key that most rows have takes one place of the sample, not most of them."""
+    monkeypatch.setattr(I, "SAMPLE", 300)
+    seen = []
+    monkeypatch.setattr(I, "train_bags", lambda bags, labels: seen.append(len(bags)))
+    rows = spark.range(6_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same key").alias("text"), F.lit("en").alias("lang"))
+    I.fit(rows.unionByName(spark.range(1_000, 1_398).select(F.col("id").alias("doc_id"), F.lit("another text").alias("text"), F.lit("en").alias("lang"))))
+    assert 200 < seen[0] <= 300
+
+
 def test_subwords_are_those_of_each_word_alone():
     found = [b"a", b"haus", "été".encode(), b"wonderful"]
     ids, offsets = I.subwords(found)
