@@ -1,18 +1,20 @@
-"""The deep pass. Candidates are chosen, expanded and put into requests by Spark; there are at most ``max_candidates`` of them, and the
-calls are made one by one from the driver in their order, since a cost cap needs an order and a call must not be made twice by a
-retried task. What comes back is clamped, turned into findings and merged by Spark again."""
+"""The deep pass. Candidates are chosen, expanded and put into requests by Spark; there are at most ``max_candidates`` of them. Tasks make the
+calls in waves, through a ledger (``ledger.py``); from the driver, one by one, go calls to a model on the driver's own machine that the
+workers of a cluster don't reach. What comes back is clamped, turned into findings and merged by Spark again."""
 
 from __future__ import annotations
 
 import logging
+import uuid
+from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from portcullis import model
-from portcullis.deep import prompt
-from portcullis.deep.settings import Settings
-from portcullis.deep.transports import Analyzer, Skip
+from portcullis import checkpoints, model
+from portcullis.deep import ledger, prompt
+from portcullis.deep.settings import Settings, is_local
+from portcullis.deep.transports import Analyzer, Http, Subprocess
 from portcullis.operators import candidates as C
 from portcullis.operators import semantic as S
 
@@ -21,25 +23,35 @@ log = logging.getLogger(__name__)
 _LOOKS = f"candidate int, {model.SEMANTIC}"
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of checkpoints as a path, if it is one that files can be opened in."""
+    where = urlsplit(checkpoints.folder(spark))
+    return where.path if where.scheme in ("", "file") else None
+
+
+def on_workers(spark: SparkSession, settings: Settings, ask: Analyzer) -> bool:
+    """Whether tasks make the calls: they can take the transport with them, reach what it calls, and share a ledger."""
+    reach = spark.sparkContext.master.startswith("local") or settings.mode == "http" and not is_local(settings.base_url)
+    return isinstance(ask, (Http, Subprocess)) and reach and shared_folder(spark) is not None
+
+
 def run(findings: DataFrame, files: DataFrame, settings: Settings, ask: Analyzer) -> DataFrame:
     """FINDINGS after the second look at files (path, content)."""
     spark = findings.sparkSession
     order = Window.orderBy(model.path_order(F.col("file")), "line_start", "line_end", "original_finding_id")
     chosen = C.select_candidates(findings, files, settings.max_candidates, settings.max_prompt_chars).withColumn("candidate", F.row_number().over(order))
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most max_candidates: chosen once, as later steps read them again
-    looks, spent = [], 0
-    for r in prompt.requests(chosen, findings).orderBy("candidate").collect():
-        try:
-            a = ask(r["user"])
-        except Skip as e:
-            log.warning("candidate %d is left out: %s", r["candidate"], e)
+    asked = [(r["candidate"], r["user"]) for r in prompt.requests(chosen, findings).orderBy("candidate").collect()]
+    if on_workers(spark, settings, ask):
+        answered = ledger.ask_all(spark, asked, settings, ask, f"{shared_folder(spark)}/calls-{uuid.uuid4().hex}")
+    else:
+        answered = ledger.one_by_one(asked, settings, ask)
+    looks = []
+    for i, entry in answered:
+        if "skip" in entry:
+            log.warning("candidate %d is left out: %s", i, entry["skip"])
             continue
-        looks += [(r["candidate"], *(x[k] for k in ("line_start", "line_end", "category", "confidence", "description", "reasoning", "is_false_positive"))) for x in a.findings]
-        if settings.rate_in or settings.rate_out:
-            spent += round((a.input_tokens / 1000 * settings.rate_in + a.output_tokens / 1000 * settings.rate_out) * 1_000_000)
-            if settings.max_cost is not None and spent > settings.max_cost * 1_000_000:
-                log.warning("stopped at the cost cap after %.4f dollars", spent / 1e6)
-                break
+        looks += [(i, *(x[k] for k in ("line_start", "line_end", "category", "confidence", "description", "reasoning", "is_false_positive"))) for x in entry["findings"]]
     own = chosen.select("candidate", "file", "language", "source_snippet", "original_finding_id", F.col("line_start").alias("window_start"), F.col("line_end").alias("window_end"))
     answers = spark.createDataFrame(looks, _LOOKS).join(own, "candidate")
     kept = S.without_rejected(findings, answers)
