@@ -396,3 +396,11 @@ def put_policy_output(spark, sf):
     old = F.array(F.struct(engine.alias("engine"), F.lit("old").alias("content")))
     out = findings.put_output(old, engine, F.col("category"))
     return frame(spark, sf, D.FINDINGS).select("seq", F.array_join(F.transform(out, lambda x: F.concat(x["engine"], F.lit(":"), x["content"])), "|").alias("outputs"))
+
+
+_LONG = f"SELECT seq, repeat(concat(code_snippet, ' '), CAST(1 + seq % 12 AS INT)) AS line FROM ({D.FINDINGS}) t"
+
+
+@query("log_line", W(f=_LONG) + "SELECT seq, CASE WHEN length(line) <= 200 THEN line ELSE left(line, 200) || '...' END AS line FROM f")
+def log_line(spark, sf):
+    return frame(spark, sf, _LONG).select("seq", text.log_line(F.col("line")).alias("line"))
