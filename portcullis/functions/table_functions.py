@@ -16,7 +16,8 @@ def register(spark: SparkSession, rules: list[Rule], name: str = "match_rules")
         def eval(self, content: str, language: str):
             from portcullis.operators.scan import _matcher
 
-            for m in _matcher(given).matches(content or "", language):
-                yield m["rule_id"], m["line_start"], m["line_end"], m["code_snippet"], dict(m["captures"])
+            for piece in _matcher(given).pieces(content or "", language):
+                for m in piece:
+                    yield m["rule_id"], m["line_start"], m["line_end"], m["code_snippet"], dict(m["captures"])
 
     spark.udtf.register(name, MatchRules)

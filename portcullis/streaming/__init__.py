@@ -48,9 +48,9 @@ def routed_batch(df: DataFrame, n: int, rules: list[Rule], state: str, least: st
     buckets = [r["bucket"] for r in scopes.select("bucket").distinct().collect()]  # at most BUCKETS
     so_far = spark.read.schema(new.schema.add("batch", "long")).parquet(state).where(F.col("bucket").isin(buckets) & (F.col("batch") <= n))
     of_scopes = so_far.join(scopes.select("scope"), "scope", "left_semi")
-    last = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("batch")))  # a row for each batch that had the file
+    last = F.rank().over(Window.partitionBy("file").orderBy(F.desc("batch")))  # the rows of each batch that had the file
     kept = checkpointed(of_scopes.withColumn("__n", last).where("__n = 1").drop("__n", "batch", "bucket"))
-    return Scan.of_parsed(kept, rules, least, categories), kept.select("file", "scope")
+    return Scan.of_parsed(kept, rules, least, categories), kept.select("file", "scope").distinct()
 
 
 def scan_packages(files: DataFrame, rules: list[Rule], sink: Callable[[DataFrame, DataFrame, DataFrame, int], None], state: str, checkpoint: str, **options) -> StreamingQuery:
