@@ -92,6 +92,13 @@ def test_imports_and_assignments_of_runs(language):
         assert policy_imports(source, language) == policy_imports(source, language, given)
 
 
+@pytest.mark.parametrize("language", sorted(_IMPORTS))
+def test_runs_for_imports_are_short(language):
+    """All examples 20 times over: also where only blocks end, as in files of classes."""
+    source = examples.HEADS[language] + "\n" + "\n".join([code for code, _, _ in PIECES[language]] * 20)
+    assert max(len(run) for run in closed_runs(source, language, 200)) < 800
+
+
 def stray(ts):
     depth = 0
     for t in ts:
