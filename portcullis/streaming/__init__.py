@@ -39,7 +39,8 @@ def routed_batch(df: DataFrame, n: int, rules: list[Rule], state: str, least: st
     What a batch parsed goes to state once, under its number, so a batch that is run again writes the same."""
     spark = df.sparkSession
     one = scan.parsed(scan.selected(df, languages, excludes), rules, all_edges=True).withColumn("scope", findings.scope())
-    one.withColumn("bucket", F.pmod(F.xxhash64("scope"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={n}")
+    with scan.small_batches(spark):
+        one.withColumn("bucket", F.pmod(F.xxhash64("scope"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{state}/batch={n}")
     try:
         new = spark.read.parquet(f"{state}/batch={n}")
     except AnalysisException:  # no file was parsed

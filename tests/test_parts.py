@@ -4,11 +4,13 @@ import random
 import sys
 import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from portcullis import model, rules
 from portcullis.functions import paths
+from portcullis.operators import scan
 from portcullis.operators.scan import PIECE, Matcher, Scan, in_parts, parsed
 from portcullis.plans.rule_scans import _FORMS
 from portcullis.plans.scans import _BLOCK, _FIRST, _LANGUAGE
@@ -143,3 +145,28 @@ def test_a_large_file_gives_several_rows(spark):
     assert s.findings.where("file = 'a.ts'").count() == n and s.findings.where("file = 'p/a.go'").count() == n
     assert sorted(tuple(r) for r in s.enforcement_points.collect()) == [("a.ts", len(lines)), ("p/a.go", go.count("\n"))]
     assert len(list(MATCHER.pieces(source, "typescript"))) == 4
+
+
+def test_large_files_cross_to_a_worker_one_by_one(spark, monkeypatch):
+    """Four files of 0.6 MB in one partition come in batches of at most two; the session's setting stays as it was."""
+    schema, key = scan._SCHEMA, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def counted(files, rules, all_edges=False):
+        def run(batches):
+            for b in batches:
+                rows = [{"file": f, "language": "typescript", "matches": [], "names": [f"n{b.num_rows}"], "edges": []} for f in b.column("path").to_pylist()]
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+        return files.select("path", "content", "language").mapInArrow(run, scan.PARSED)
+
+    monkeypatch.setattr(scan, "parsed", counted)
+    before = spark.conf.get(key)
+    files = spark.range(0, 4, 1, 1).select(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("path"), F.repeat(F.lit("x = 1;"), 100_000).alias("content"))
+    names = {r["name"] for r in Scan(files, []).bindings.collect()}
+    assert names <= {"n1", "n2"}, names
+    assert spark.conf.get(key) == before
+    spark.conf.set(key, "4k")
+    try:
+        assert {r["name"] for r in Scan(files, []).bindings.collect()} <= {"n1", "n2"} and spark.conf.get(key) == "4k"
+    finally:
+        spark.conf.set(key, before)
