@@ -4,6 +4,7 @@ import random
 import sys
 import tracemalloc
 
+import duckdb
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from portcullis.functions import paths
 from portcullis.operators import scan
 from portcullis.operators.scan import PIECE, Matcher, Scan, in_parts, parsed
 from portcullis.plans.rule_scans import _FORMS
-from portcullis.plans.scans import _BLOCK, _FIRST, _LANGUAGE
+from portcullis.plans.scans import _BLOCK, _FIRST, _HEAD, _LANGUAGE, _LINE, _PLAIN
 from portcullis.rules import examples
 from portcullis.syntax import parse, parse_parts
-from portcullis.syntax.imports import _IMPORTS, _assignments, assignments, closed_runs, policy_imports
+from portcullis.syntax.imports import _IMPORTS, _assignments, assignments, closed_runs, is_policy_path, policy_imports
 from portcullis.syntax.lexer import token_runs, tokens
 
 MATCHER = Matcher(rules.builtin())
@@ -170,3 +171,51 @@ def test_large_files_cross_to_a_worker_one_by_one(spark, monkeypatch):
         assert {r["name"] for r in Scan(files, []).bindings.collect()} <= {"n1", "n2"} and spark.conf.get(key) == "4k"
     finally:
         spark.conf.set(key, before)
+
+
+def ruled(language):
+    """A file of n examples, as rule_code() deals them."""
+    codes = [code for code, _, _ in PIECES[language]]
+    return language, lambda n: "\n".join([examples.HEADS[language] or "", *(codes[i % len(codes)] for i in range(n))])
+
+
+def lined(ext):
+    """A file of n events, as code() makes it."""
+    lines = lambda n: duckdb.sql(f"SELECT {_LINE[ext]} FROM (SELECT range AS event_id, range % 7 AS k FROM range({n})) ORDER BY event_id").fetchall()
+    return _LANGUAGE[ext], lambda n: "\n".join([_HEAD[ext][0], *(x for (x,) in lines(n))])
+
+
+def blocks(ext):
+    """A file of n orders, as plain_blocks() makes it."""
+    return _LANGUAGE[ext], lambda n: plain(ext, n)
+
+
+def ordered(n):
+    """A file of n orders, as plain_code() makes it."""
+    rows = duckdb.sql(f"WITH orders AS (SELECT range AS o_orderkey, range % 97 AS o_custkey, 'O' AS o_orderstatus FROM range({n})) SELECT line FROM ({_PLAIN}) ORDER BY n").fetchall()
+    return "\n".join(x for (x,) in rows)
+
+
+lines_of_orders = "typescript", ordered
+QUERIES = {
+    "scan_rules_points_py": ruled("python"),
+}  # the queries' code
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_files_of_a_query_take_memory_by_the_part(name):
+    """Four times the file takes little more, for matches, imports and, where they bind something, assignments."""
+    language, source = QUERIES[name]
+    peaks = []
+    for n in (300, 1200):
+        text = source(n)
+        tracemalloc.start()
+        found = sum(len(piece) for piece in MATCHER.pieces(text, language, None, None, 1000))
+        runs = lambda: closed_runs(text, language, 1000) if language in _IMPORTS and is_policy_path(text) else ()  # noqa: B023, E731
+        if any([_IMPORTS[language](text, run) for run in runs()]):
+            for run in runs():
+                _assignments(text, language, run)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found > n // 1009
+    assert peaks[1] < 2 * peaks[0], peaks
