@@ -199,6 +199,7 @@ def ordered(n):
 lines_of_orders = "typescript", ordered
 QUERIES = {
     "scan_rules_points_py": ruled("python"),
+    "scan_plain_code": lines_of_orders,
 }  # the queries' code
 
 
