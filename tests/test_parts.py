@@ -200,6 +200,7 @@ lines_of_orders = "typescript", ordered
 QUERIES = {
     "scan_rules_points_py": ruled("python"),
     "scan_plain_code": lines_of_orders,
+    "select_candidates": lined("ts"),
 }  # the queries' code
 
 
