@@ -201,6 +201,7 @@ QUERIES = {
     "scan_rules_points_py": ruled("python"),
     "scan_plain_code": lines_of_orders,
     "select_candidates": lined("ts"),
+    "scan_go_points": lined("go"),
 }  # the queries' code
 
 
