@@ -202,6 +202,7 @@ QUERIES = {
     "scan_plain_code": lines_of_orders,
     "select_candidates": lined("ts"),
     "scan_go_points": lined("go"),
+    "scan_plain_java": blocks("java"),
 }  # the queries' code
 
 
