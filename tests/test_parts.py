@@ -203,6 +203,7 @@ QUERIES = {
     "select_candidates": lined("ts"),
     "scan_go_points": lined("go"),
     "scan_plain_java": blocks("java"),
+    "scan_plain_py": blocks("py"),
 }  # the queries' code
 
 
