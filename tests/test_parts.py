@@ -204,6 +204,7 @@ QUERIES = {
     "scan_go_points": lined("go"),
     "scan_plain_java": blocks("java"),
     "scan_plain_py": blocks("py"),
+    "scan_ts_points": lined("ts"),
 }  # the queries' code
 
 
