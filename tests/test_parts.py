@@ -205,6 +205,7 @@ QUERIES = {
     "scan_plain_java": blocks("java"),
     "scan_plain_py": blocks("py"),
     "scan_ts_points": lined("ts"),
+    "scan_plain_ts": blocks("ts"),
 }  # the queries' code
 
 
