@@ -206,6 +206,7 @@ QUERIES = {
     "scan_plain_py": blocks("py"),
     "scan_ts_points": lined("ts"),
     "scan_plain_ts": blocks("ts"),
+    "scan_plain_cs": blocks("cs"),
 }  # the queries' code
 
 
