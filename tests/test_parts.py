@@ -207,6 +207,7 @@ QUERIES = {
     "scan_ts_points": lined("ts"),
     "scan_plain_ts": blocks("ts"),
     "scan_plain_cs": blocks("cs"),
+    "scan_plain_kt": blocks("kt"),
 }  # the queries' code
 
 
