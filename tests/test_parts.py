@@ -208,6 +208,7 @@ QUERIES = {
     "scan_plain_ts": blocks("ts"),
     "scan_plain_cs": blocks("cs"),
     "scan_plain_kt": blocks("kt"),
+    "scan_rules_points_cs": ruled("csharp"),
 }  # the queries' code
 
 
