@@ -209,6 +209,7 @@ QUERIES = {
     "scan_plain_cs": blocks("cs"),
     "scan_plain_kt": blocks("kt"),
     "scan_rules_points_cs": ruled("csharp"),
+    "scan_rules_js": ruled("javascript"),
 }  # the queries' code
 
 
