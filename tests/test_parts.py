@@ -210,6 +210,7 @@ QUERIES = {
     "scan_plain_kt": blocks("kt"),
     "scan_rules_points_cs": ruled("csharp"),
     "scan_rules_js": ruled("javascript"),
+    "scan_java_findings": lined("java"),
 }  # the queries' code
 
 
