@@ -211,6 +211,7 @@ QUERIES = {
     "scan_rules_points_cs": ruled("csharp"),
     "scan_rules_js": ruled("javascript"),
     "scan_java_findings": lined("java"),
+    "scan_rules_java": ruled("java"),
 }  # the queries' code
 
 
