@@ -212,6 +212,7 @@ QUERIES = {
     "scan_rules_js": ruled("javascript"),
     "scan_java_findings": lined("java"),
     "scan_rules_java": ruled("java"),
+    "scan_rules_points_go": ruled("go"),
 }  # the queries' code
 
 
