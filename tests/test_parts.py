@@ -213,6 +213,7 @@ QUERIES = {
     "scan_java_findings": lined("java"),
     "scan_rules_java": ruled("java"),
     "scan_rules_points_go": ruled("go"),
+    "scan_rules_points_java": ruled("java"),
 }  # the queries' code
 
 
