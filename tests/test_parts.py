@@ -214,6 +214,7 @@ QUERIES = {
     "scan_rules_java": ruled("java"),
     "scan_rules_points_go": ruled("go"),
     "scan_rules_points_java": ruled("java"),
+    "scan_rules_php": ruled("php"),
 }  # the queries' code
 
 
