@@ -113,8 +113,13 @@ _PLAIN = """SELECT o_orderkey AS n, concat('app/m', CAST(o_custkey % 97 AS STRIN
 def plain_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SOURCE_FILES as code bases are: long files, few of whose lines decide on access."""
     rows = spark.sql(_PLAIN.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
-    return files.repartition(3 * spark.sparkContext.defaultParallelism, "path").select("path", F.concat_ws("\n", F.transform("x", lambda e: e["line"])).alias("content"))
+    files = _dealt(rows).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("x"))
+    return files.select("path", F.concat_ws("\n", F.col("x.line")).alias("content"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a path together. Files are few and take long, so they are dealt once, to a number of partitions that adaptive execution leaves as it is."""
+    return rows.repartition(6 * rows.sparkSession.sparkContext.defaultParallelism, "path")
 
 
 @query("scan_plain_code", f"WITH x AS ({_PLAIN}), y AS (SELECT path, n, line, row_number() OVER (PARTITION BY path ORDER BY n, line) AS line_start FROM x) SELECT path AS file, line_start, 'ts-role-check-conditional' AS pattern_rule FROM y WHERE n % 1009 = 7")
@@ -158,9 +163,8 @@ def plain_blocks(spark: SparkSession, sf_dir: str, ext: str) -> DataFrame:
     """SOURCE_FILES of functions, few of which decide on access."""
     sql = _blocks(ext)
     rows = spark.sql(sql.replace("{", "{{").replace("}", "}}").replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    files = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", "block"))).alias("x"))
-    content = F.concat(F.lit(_FIRST.get(ext, "")), F.array_join(F.transform("x", lambda e: e["block"]), "\n"))
-    return files.repartition(3 * spark.sparkContext.defaultParallelism, "path").select("path", content.alias("content"))
+    files = _dealt(rows).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("n", "block"))).alias("x"))
+    return files.select("path", F.concat(F.lit(_FIRST.get(ext, "")), F.array_join(F.col("x.block"), "\n")).alias("content"))
 
 
 def _register_plain(ext: str) -> None:

@@ -8,6 +8,7 @@ from test_parts import MATCHER, ODD, PIECES, flat, plain, sources
 
 from portcullis.operators import scan
 from portcullis.operators.scan import Lines, Places, Untouched, words_of
+from portcullis.plans import scans
 from portcullis.syntax import lexer, parse, parse_parts
 from portcullis.syntax.lexer import token_runs
 from portcullis.syntax.plain import plain_run
@@ -146,3 +147,20 @@ def test_words_of_patterns():
     assert MATCHER.fitting("ſtaff.belongsTo(1)\nuſe", "typescript") == [r for r in MATCHER.by_language["typescript"] if all(p.search("ſtaff.belongsTo(1)\nuſe") for p in r[-1])]
     for text in ("x" * scan.WINDOW + "hasRole(1)", "x" * (scan.WINDOW - 4) + "hasRole(1)"):
         assert any(r[1].id == "ts-has-role-call" for r in MATCHER.fitting(text, "typescript"))
+
+
+def test_texts_are_found_as_without_their_words(monkeypatch):
+    monkeypatch.setattr(scan, "STEP", 7)
+    rng = random.Random(1)
+    for pattern in ("(role|roles|roleName|userRole)", "use", "(?i)(role|x)", "[a-z][A-Za-z]*Role"):
+        p = scan.re.compile(pattern)
+        for _ in range(300):
+            text = "".join(rng.choice(["role", "Role", "roles", "roleName", "use", "user", "Name", "x", " ", " ", "s", "é" if rng.random() < 0.1 else "."]) for _ in range(rng.randrange(40)))
+            assert [m.span() for m in scan.texts_of(text, p, words_of(pattern))] == [m.span() for m in p.finditer(text)], (pattern, text)
+
+
+def test_files_are_dealt_before_they_are_put_together(spark):
+    """Their rows go round once, and no content does."""
+    for files in (scans.plain_blocks(spark, "/root/testdata/sf0.001", "ts"), scans.plain_code(spark, "/root/testdata/sf0.001")):
+        plan = files._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
